@@ -1,0 +1,4 @@
+"""Intentionally empty: every operator of this library is a batch job.
+
+The workload has no streams, watermarks or state; see README.md.
+"""
