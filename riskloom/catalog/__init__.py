@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins, grouped by area."""
 
-from riskloom.catalog import cohort
+from riskloom.catalog import cohort, features
 
-MODULES = (cohort,)
+MODULES = (cohort, features)
