@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins, grouped by area."""
 
-from riskloom.catalog import cohort, features
+from riskloom.catalog import audit, cohort, features
 
-MODULES = (cohort, features)
+MODULES = (cohort, features, audit)

@@ -65,11 +65,15 @@ def slice_column(df: DataFrame, keys: Sequence[str], order: str, slices: int = S
         .orderBy(F.xxhash64(*identity), *identity)
         .limit(slices - 1)
     )
-    bounds = sample.agg(F.array_sort(F.collect_list(order))).scalar()
+    # One row holding at most `slices - 1` values.
+    bounds = sample.agg(F.array_sort(F.collect_list(order)).alias("_bounds")).withColumn(
+        "_one", F.lit(1)
+    )
     return (
-        df.withColumn("_bounds", bounds)
+        df.withColumn("_one", F.lit(1))
+        .join(F.broadcast(bounds), "_one")
         .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-        .drop("_bounds")
+        .drop("_bounds", "_one")
     )
 
 
