@@ -8,12 +8,15 @@ replayed task puts its rows where the first attempt put them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.joins import fits_broadcast
 from riskloom.functions.keys import digest
+from riskloom.session import materialize
 
 HEX_DIGITS = 4
 MAX_SLICES = 16**HEX_DIGITS
@@ -52,12 +55,14 @@ def dense_index(
     return numbered.drop("_d", "_slice", "_rn", "_offset", "_total")
 
 
-def slice_column(df: DataFrame, keys: Sequence[str], order: str, slices: int = SLICES) -> DataFrame:
-    """Add ``_slice``: how many of ``slices - 1`` sampled order values lie below the row's.
+def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int = SLICES) -> DataFrame:
+    """Materialise ``df`` and add ``_slice``: how many of ``slices - 1`` sampled order values
+    lie below the row's.
 
     The sample is the rows with the smallest hash, i.e. uniform, bounded and the
     same on every evaluation. Equal order values always share a slice.
     """
+    df = materialize(df)
     identity = [*keys, order]
     sample = (
         df.select(*identity)
@@ -77,70 +82,80 @@ def slice_column(df: DataFrame, keys: Sequence[str], order: str, slices: int = S
     )
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    sums: dict[str, str] | None = None,
-    nexts: dict[str, Column] | None = None,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Running totals and look-ahead per ``keys`` along ``order``.
+@dataclass(frozen=True)
+class Level:
+    """What to add along the order within ``keys``.
 
     ``sums`` maps an output prefix to a column: ``cum_<prefix>`` is its sum over
     the rows of the same keys up to and including equal order values,
     ``at_<prefix>`` the sum over equal order values, ``tot_<prefix>`` the sum
-    over all rows of the keys. ``nexts`` maps an output name to an expression
-    that does not decrease along ``order``: the smallest non-null value found on
-    a later row, or null.
+    over all rows of the keys. ``nexts`` maps an output name to a column that
+    does not decrease along the order: its smallest non-null value on the rows
+    after this one, or null.
     """
-    sums = sums or {}
-    nexts = nexts or {}
-    keys = list(keys)
-    work = slice_column(df, keys, order, slices)
-    for name, expr in nexts.items():
-        work = work.withColumn(f"_v_{name}", expr)
-
-    parts = work.groupBy(*keys, "_slice").agg(
-        *[F.sum(col).alias(f"_s_{p}") for p, col in sums.items()],
-        *[F.min(f"_v_{n}").alias(f"_m_{n}") for n in nexts],
-    )
-    # One row per slice: at most `slices` rows for each key.
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    whole = Window.partitionBy(*keys)
-    offsets = parts.select(
-        *keys,
-        "_slice",
-        *[F.coalesce(F.sum(f"_s_{p}").over(earlier), F.lit(0)).alias(f"_o_{p}") for p in sums],
-        *[F.sum(f"_s_{p}").over(whole).alias(f"tot_{p}") for p in sums],
-        *[F.min(f"_m_{n}").over(later).alias(f"_l_{n}") for n in nexts],
-    )
 
-    slice_keys = [*keys, "_slice"]
-    up_to = Window.partitionBy(*slice_keys).orderBy(order).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    peers = Window.partitionBy(*slice_keys).orderBy(order).rangeBetween(
-        Window.currentRow, Window.currentRow
-    )
-    after = Window.partitionBy(*slice_keys).orderBy(F.desc(order)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    local = work.select(
-        "*",
-        *[F.sum(col).over(up_to).alias(f"_c_{p}") for p, col in sums.items()],
-        *[F.sum(col).over(peers).alias(f"at_{p}") for p, col in sums.items()],
-        *[F.min(f"_v_{n}").over(after).alias(f"_a_{n}") for n in nexts],
-    )
-    joined = local.join(offsets, slice_keys)
-    for p in sums:
-        joined = joined.withColumn(f"cum_{p}", F.col(f"_c_{p}") + F.col(f"_o_{p}"))
-    for n in nexts:
-        joined = joined.withColumn(n, F.coalesce(F.col(f"_a_{n}"), F.col(f"_l_{n}")))
-    extra = [c for c in joined.columns if c.startswith("_")]
-    return joined.drop(*extra)
+    keys: Sequence[str]
+    sums: Mapping[str, str] = field(default_factory=dict)
+    nexts: Mapping[str, str] = field(default_factory=dict)
+    ties: Sequence[str] = ()
+
+
+def running(sliced: DataFrame, order: str, *levels: Level) -> DataFrame:
+    """Running totals and look-ahead along ``order`` for one or more key levels.
+
+    ``sliced`` has a ``_slice`` column that does not decrease along the order,
+    from :func:`with_slices` or a rule of the caller. Rows are shuffled once by
+    the first level's keys and slice; a level that adds keys to the first is
+    sorted within the same partitions. What earlier and later slices contribute
+    is a table of one row per keys and slice, broadcast when its size is proven.
+    """
+    result = sliced
+    offsets = []
+    for level in levels:
+        keys = list(level.keys)
+        parts = sliced.groupBy(*keys, "_slice").agg(
+            *[F.sum(c).alias(f"_s_{p}") for p, c in level.sums.items()],
+            *[F.min(c).alias(f"_m_{n}") for n, c in level.nexts.items()],
+        )
+        # One row per slice: no key has more rows here than there are slices.
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        whole = Window.partitionBy(*keys)
+        offsets.append(
+            parts.select(
+                *keys,
+                "_slice",
+                *[F.coalesce(F.sum(f"_s_{p}").over(earlier), F.lit(0)).alias(f"_o_{p}") for p in level.sums],
+                *[F.sum(f"_s_{p}").over(whole).alias(f"tot_{p}") for p in level.sums],
+                *[F.min(f"_m_{n}").over(later).alias(f"_l_{n}") for n in level.nexts],
+            )
+        )
+        slice_keys = [*keys, "_slice"]
+        ascending = Window.partitionBy(*slice_keys).orderBy(order)
+        up_to = ascending.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        peers = ascending.rangeBetween(Window.currentRow, Window.currentRow)
+        after = (
+            Window.partitionBy(*slice_keys)
+            .orderBy(F.desc(order), *level.ties)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        result = result.select(
+            "*",
+            *[F.sum(c).over(up_to).alias(f"_c_{p}") for p, c in level.sums.items()],
+            *[F.sum(c).over(peers).alias(f"at_{p}") for p, c in level.sums.items()],
+            *[F.min(c).over(after).alias(f"_a_{n}") for n, c in level.nexts.items()],
+        )
+    for level, table in zip(levels, offsets):
+        table = materialize(table)
+        if fits_broadcast(table):
+            table = F.broadcast(table)
+        result = result.join(table, [*level.keys, "_slice"])
+        for p in level.sums:
+            result = result.withColumn(f"cum_{p}", F.col(f"_c_{p}") + F.col(f"_o_{p}"))
+        for n in level.nexts:
+            result = result.withColumn(n, F.coalesce(F.col(f"_a_{n}"), F.col(f"_l_{n}")))
+    return result.drop(*[c for c in result.columns if c.startswith("_")])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.dates import as_ntz, micros_between, number_text, year_diff
 from riskloom.functions.joins import lookup_join, salted_join
-from riskloom.functions.ordered import running
+from riskloom.functions.ordered import Level, running, with_slices
 from riskloom.sources.omop import union_all
 
 # Default bin edges and the bound of the all-history bin, in days or hours.
@@ -285,7 +285,7 @@ def value_bins(counted: DataFrame, keys: Sequence[str], num_bins: int) -> DataFr
     concept does not sit in one task.
     """
     values = counted.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    ranked = running(values, keys, "value", sums={"n": "n"})
+    ranked = running(with_slices(values, keys, "value"), "value", Level(keys, {"n": "n"}))
     shares = F.array(*[F.lit(i) for i in range(num_bins + 1)])
     wanted = F.greatest(
         F.lit(1),

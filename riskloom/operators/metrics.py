@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordered import running
+from riskloom.functions.ordered import SLICES, Level, running, with_slices
+from riskloom.session import materialize
 from riskloom.sources.omop import union_all
 
 DEFAULT_KEYS = ("task", "attribute", "phase", "sensitive_attribute", "config_filename")
@@ -65,28 +66,24 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
-def _auc(positives: Column, negatives_upto: Column, negatives_at: Column) -> Column:
-    """Sum of (positive, negative) wins, ties counting half."""
-    return F.sum(positives * (negatives_upto - F.lit(0.5) * negatives_at))
-
-
 def _clipped(p: Column) -> Column:
     return F.greatest(F.lit(LOG_EPS), F.least(F.lit(1.0 - LOG_EPS), p))
 
 
-def _rank_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AUC and average precision per keys from running counts."""
-    curve = running(counts, keys, "p", sums={"np": "np", "nn": "nn"})
+def _rank_metrics(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AUC and average precision per keys from running counts.
+
+    Several rows may share a score, as the groups do when all are taken together.
+    """
+    curve = running(sliced, "p", Level(keys, {"np": "np", "nn": "nn"}))
     # Counts at or above the score.
-    true_pos = F.col("tot_np") - F.col("cum_np") + F.col("np")
-    flagged = F.col("tot_nn") - F.col("cum_nn") + F.col("nn")
+    true_pos = F.col("tot_np") - F.col("cum_np") + F.col("at_np")
+    false_pos = F.col("tot_nn") - F.col("cum_nn") + F.col("at_nn")
     total = F.max("tot_np").cast("double")
+    wins = F.sum(F.col("np") * (F.col("cum_nn") - F.lit(0.5) * F.col("at_nn")))
     return curve.groupBy(*keys).agg(
-        F.coalesce(
-            _ratio(_auc(F.col("np"), F.col("cum_nn"), F.col("nn")), total * F.max("tot_nn")),
-            F.lit(AUC_FLAG),
-        ).alias("auc"),
-        _ratio(F.sum(F.col("np") * _ratio(true_pos, true_pos + flagged)), total).alias("auprc"),
+        F.coalesce(_ratio(wins, total * F.max("tot_nn")), F.lit(AUC_FLAG)).alias("auc"),
+        _ratio(F.sum(F.col("np") * _ratio(true_pos, true_pos + false_pos)), total).alias("auprc"),
     )
 
 
@@ -132,12 +129,17 @@ def evaluate(
     value: str = "performance",
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Long metric table per keys: ``keys..., metric, <value>``; undefined values keep their flags."""
+    """Long metric table per keys: ``keys..., metric, <value>``; undefined values keep their flags.
+
+    ``counts`` passes sliced score counts that several calls share.
+    """
     keys = list(keys)
     names = metric_names(metrics, thresholds)
-    counts = collapse(df, keys) if counts is None else counts
     ranked = [m for m in names if m in ("auc", "auprc")]
     summed = [m for m in names if m not in ranked]
+    if counts is None:
+        counts = collapse(df, keys)
+        counts = with_slices(counts, keys, "p") if ranked else counts
     parts = []
     if ranked:
         parts.append(melt(_rank_metrics(counts, keys), keys, ranked, value))
@@ -164,15 +166,16 @@ def standard_report(
 ) -> DataFrame:
     """Metrics by group next to the same metrics of all groups together.
 
-    Undefined group values are left out; overall values keep their flags. Both
-    sides start from one collapse of the predictions.
+    Undefined group values are left out; overall values keep their flags and
+    include rows without a group. Both sides start from one collapse of the
+    predictions.
     """
     keys = present_keys(df, keys)
-    counts = collapse(df, [*keys, "group"]) if "group" in df.columns else None
-    if counts is None:
+    if "group" not in df.columns:
         raise ValueError("a group column is needed")
-    by_group = defined(evaluate(df, [*keys, "group"], metrics, thresholds, counts=counts))
-    overall = evaluate(df, keys, metrics, thresholds, "performance_overall")
+    counts = with_slices(group_counts(df, keys), [*keys, "group"], "p")
+    by_group = defined(evaluate(df, [*keys, "group"], metrics, thresholds, counts=_grouped(counts)))
+    overall = evaluate(df, keys, metrics, thresholds, "performance_overall", counts=counts)
     return by_group.join(overall, [*keys, "metric"])
 
 
@@ -180,7 +183,7 @@ def standard_report(
 
 
 def group_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts per (keys, group, score); rows without a group stay, they are part of everyone."""
+    """Counts per (keys, group, score). Rows without a group stay: they are part of everyone."""
     positive = (F.col("labels") > 0).cast("bigint")
     return (
         _not_null(df, keys)
@@ -201,8 +204,14 @@ def cross_auc(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     own running count, so no group is joined with another.
     """
     c = F.col
-    everyone = running(counts, keys, "p", sums={"all_np": "np", "all_nn": "nn"})
-    curve = running(_grouped(everyone), [*keys, "group"], "p", sums={"np": "np", "nn": "nn"})
+    curve = _grouped(
+        running(
+            counts,
+            "p",
+            Level(keys, {"all_np": "np", "all_nn": "nn"}),
+            Level([*keys, "group"], {"np": "np", "nn": "nn"}),
+        )
+    )
 
     def share(wins: Column, own: str, other_total: Column) -> Column:
         pairs = F.max(f"tot_{own}").cast("double") * other_total
@@ -245,58 +254,65 @@ def mean_gaps(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def wasserstein(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wasserstein-1 distance of each group's scores to everyone's: ``keys..., group, emd``.
 
-    ``counts`` holds ``n`` per (keys, group, p); rows without a group count
-    towards everyone. Let F and G be the distribution functions of everyone and
-    of a group. Between two scores of the group G is constant while F grows, so
-    the area between them is a difference of integrals of F, split where F
-    passes G. The integral of F up to x is ``(x * W(x) - S(x)) / total`` with W
-    and S the running weight and weighted score. Each group score thus needs
-    three running lookups, and no grid of groups by scores is built.
+    ``counts`` holds sliced counts ``n`` per (keys, group, p); rows without a
+    group count towards everyone. Let F and G be the distribution functions of
+    everyone and of a group. Between two neighbouring scores a and b of the
+    group, G is a constant g while F grows, so the area between them follows from
+    H(x) = I(x) - g * x with I the integral of F: it is +-(H(b) - H(a)), or
+    H(a) + H(b) - 2 H(x) when F passes g at a score x in between. I is
+    ``(x * W(x) - S(x)) / total`` with W and S the running weight and weighted
+    score, so a group score needs running sums and one look-ahead for x, and no
+    grid of groups by scores is built.
     """
     c = F.col
     keys = list(keys)
     group_keys = [*keys, "group"]
-    weighted = counts.where(c("n") > 0).withColumn("np_", c("n") * c("p"))
-    everyone = running(weighted, keys, "p", sums={"w": "n", "s": "np_"}).select(
-        *group_keys, "p", "n", "cum_w", "cum_s", "tot_w", "tot_s"
+    weighted = counts.withColumn("weighted", c("n") * c("p"))
+    curve = running(
+        weighted.withColumn("at", c("p")),
+        "p",
+        Level(keys, {"w": "n", "s": "weighted"}),
+        Level(group_keys, {"g": "n"}, {"after": "at"}),
+    ).select(
+        *group_keys, "p", "n", "cum_w", "at_w", "tot_w", "cum_s", "tot_s", "cum_g", "tot_g", "after"
     )
-    point = F.struct(c("p").alias("p"), c("cum_w").alias("w"), c("cum_s").alias("s"))
-    own = running(
-        _grouped(everyone), group_keys, "p", sums={"g": "n"}, nexts={"after": point}
-    ).drop("at_g")
-
-    # F passes the group's share at the first score of everyone with a larger running weight.
-    asks = own.withColumn("v", c("cum_g") * c("tot_w") / c("tot_g"))
-    marks = everyone.select(*keys, c("cum_w").cast("double").alias("v"), point.alias("mark"))
-    line = asks.unionByName(marks, allowMissingColumns=True)
-    steps = running(line, keys, "v", nexts={"cross": c("mark")}).where(c("tot_g").isNotNull())
-
-    total = c("tot_w").cast("double")
-    share = c("cum_g") / c("tot_g").cast("double")
-
-    def integral(x: str, w: str, s: str) -> Column:
-        return (c(x) * c(w) - c(s)) / total
-
-    start, end = c("p"), c("after.p")
-    upto_start = integral("p", "cum_w", "cum_s")
-    upto_end = integral("after.p", "after.w", "after.s")
-    middle = F.greatest(start, F.least(end, F.coalesce(c("cross.p"), end)))
-    upto_middle = (
-        F.when(middle <= start, upto_start)
-        .when(middle >= end, upto_end)
-        .otherwise(integral("cross.p", "cross.w", "cross.s"))
+    curve = materialize(curve)
+
+    # Weight of everyone at which F equals the group's share. Both sides of every later
+    # comparison are this same expression, so rounding cannot make them disagree.
+    def level(share: Column) -> Column:
+        return share * c("tot_w") / c("tot_g")
+
+    # Slices of equal weight: one holds at most total / SLICES scores.
+    asks = _grouped(curve).select("*", level(c("cum_g")).alias("v"), F.lit(0).alias("kind"))
+    marks = curve.select(
+        *keys,
+        "tot_w",
+        c("cum_w").cast("double").alias("v"),
+        F.lit(1).alias("kind"),
+        F.struct(c("p").alias("p"), c("cum_w").alias("w"), c("cum_s").alias("s")).alias("mark"),
     )
-    between = (
-        share * (middle - start)
-        - (upto_middle - upto_start)
-        + (upto_end - upto_middle)
-        - share * (end - middle)
+    line = asks.unionByName(marks, allowMissingColumns=True).withColumn(
+        "_slice", F.floor(c("v") * SLICES / c("tot_w")).cast("int")
     )
-    # Left of the group's first score G is 0; right of its last one G is 1.
-    head = F.when(c("cum_g") == c("n"), upto_start).otherwise(F.lit(0.0))
-    tail = ((c("tot_s") - c("cum_s")) - start * (c("tot_w") - c("cum_w"))) / total
+    # Of equal values the marks come first along the order, so the next mark is strictly larger.
+    steps = running(line, "v", Level(keys, nexts={"cross": "mark"}, ties=["kind"])).where(c("kind") == 0)
+
+    total, size = c("tot_w").cast("double"), c("tot_g").cast("double")
+    share, share_before = c("cum_g") / size, (c("cum_g") - c("n")) / size
+    area = (c("p") * c("cum_w") - c("cum_s")) / total
+    last = c("after").isNull()
+    leaving = F.when(c("cum_w") > c("v"), -1.0).otherwise(1.0) * (area - share * c("p"))
+    above_before = (c("cum_w") - c("at_w")) > level(c("cum_g") - c("n"))
+    arriving = F.when(above_before, 1.0).otherwise(-1.0) * (area - share_before * c("p"))
+    passing = F.when(
+        (c("cum_w") <= c("v")) & (c("cross.p") < c("after")),
+        -2.0 * ((c("cross.p") * c("cross.w") - c("cross.s")) / total - share * c("cross.p")),
+    ).otherwise(0.0)
+    # Right of the group's last score G is 1.
+    tail = ((c("tot_s") - c("cum_s")) - c("p") * (c("tot_w") - c("cum_w"))) / total
     return steps.groupBy(*group_keys).agg(
-        F.sum(head + F.when(end.isNotNull(), between).otherwise(tail)).alias("emd")
+        F.sum(arriving + F.when(last, tail).otherwise(leaving + passing)).alias("emd")
     )
 
 
@@ -309,7 +325,7 @@ def emd_ova(counts: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> D
     sides = {"emd_ova": F.col("np") + F.col("nn"), "emd_ova_1": F.col("np"), "emd_ova_0": F.col("nn")}
     chosen = [m for m in sides if m in metrics]
     variants = F.array(*[F.struct(F.lit(m).alias("metric"), sides[m].alias("n")) for m in chosen])
-    long = counts.select(*keys, "group", "p", F.inline(variants))
+    long = counts.select(*keys, "group", "p", "_slice", F.inline(variants)).where(F.col("n") > 0)
     distance = wasserstein(long, [*keys, "metric"])
     groups = _grouped(counts.select(*keys, "group").distinct()).withColumn(
         "metric", F.explode(F.array(*[F.lit(m) for m in chosen]))
@@ -326,7 +342,7 @@ def ova_report(
     """One-versus-all metrics of every group as ``keys..., group, metric, performance``."""
     keys = present_keys(df, keys)
     names = [m for m in (OVA_METRICS if metrics is None else metrics) if m in OVA_METRICS]
-    counts = group_counts(df, keys)
+    counts = with_slices(group_counts(df, keys), [*keys, "group"], "p")
     on = [*keys, "group"]
     parts = []
     if any(m.startswith("emd") for m in names):
