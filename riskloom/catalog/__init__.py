@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins, grouped by area."""
 
-from riskloom.catalog import audit, cohort, features
+from riskloom.catalog import audit, cohort, features, report, storage
 
-MODULES = (cohort, features, audit)
+MODULES = (storage, cohort, features, audit, report)

@@ -6,29 +6,26 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from riskloom.catalog.cohort import split_cohort
-from riskloom.catalog.features import MERGED, _admissions, visit_cohort
+from riskloom.catalog.cohort import FOLDS, SEED, TEST_FRACTION
+from riskloom.catalog.features import admissions, stored_features
 from riskloom.operators import calibration as cal
-from riskloom.operators import features as ft
 from riskloom.operators import merge as mg
 from riskloom.operators import metrics as mt
 from riskloom.operators import penalties as pn
 from riskloom.operators import scores as sc
 from riskloom.operators import splits as sp
-from riskloom.sources.omop import sample_omop, sample_view, sql_prefix
+from riskloom.sources.omop import sample_omop, sql_prefix
 
 ATTRIBUTES = ("attr_type", "attr_site")
 KEYS = ("phase", "task", "attribute")
 
 
 def rounded(df, *columns, digits=10):
-    for c in columns:
-        df = df.withColumn(c, F.round(c, digits))
-    return df
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def melted(spark, sf_dir):
-    return sc.melt_attributes(sample_view(spark, sf_dir, "predictions"), ATTRIBUTES)
+    return sc.melt_attributes(sample_omop(spark, sf_dir)["predictions"], ATTRIBUTES)
 
 
 def attribute_melt(spark, sf_dir):
@@ -37,7 +34,7 @@ def attribute_melt(spark, sf_dir):
 
 def score_softmax(spark, sf_dir):
     """Two raw outputs per event, as a classifier head would give them."""
-    events = sample_view(spark, sf_dir, "predictions").select(
+    events = sample_omop(spark, sf_dir)["predictions"].select(
         "row_id",
         (1.0 - F.col("pred_probs")).alias("output_0"),
         (4.0 * F.col("pred_probs") - F.col("labels")).alias("output_1"),
@@ -47,7 +44,7 @@ def score_softmax(spark, sf_dir):
 
 def prediction_table(spark, sf_dir):
     """Scores of two phases joined with the cohort columns kept for the audit."""
-    full = sample_view(spark, sf_dir, "predictions")
+    full = sample_omop(spark, sf_dir)["predictions"]
     scores = full.select("row_id", "phase", "pred_probs", F.log1p("pred_probs").alias("outputs"), "labels")
     phases = {p: scores.where(F.col("phase") == p).drop("phase") for p in ("val", "test")}
     return rounded(sc.prediction_table(phases, full.select("row_id", *ATTRIBUTES), "LOS_7"), "outputs")
@@ -137,10 +134,10 @@ def penalty_mmd(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     """Sparse rows, labels and groups of the sampled cohort with phases."""
-    cohort, frames = _admissions(spark, sf_dir, MERGED)
-    merged = mg.merge_features(frames, binary=True)
-    known = split_cohort(spark, sf_dir)
-    phased = sp.assign_phase(known, fold_id="1", label_col="LOS_7").select(
+    cohort = admissions(spark, sf_dir)
+    merged = mg.merge_features([stored_features(spark, sf_dir, cohort)], binary=True)
+    folds = sp.patient_split(cohort, test_frac=TEST_FRACTION, nfold=FOLDS, seed=SEED)
+    phased = sp.assign_phase(folds, fold_id="1", label_col="LOS_7").select(
         "prediction_id", "phase", "labels", F.col("gender_concept_name").alias("group")
     )
     return merged, phased

@@ -10,7 +10,7 @@ from riskloom.catalog.cohort import SAMPLED_WITH, sampled
 from riskloom.operators import features as ft
 from riskloom.operators import merge as mg
 from riskloom.sources import tables as io
-from riskloom.session import scratch_path
+from riskloom.session import materialize, scratch_path
 from riskloom.sources.omop import sample_omop, sql_prefix
 
 SHORT = {
@@ -44,48 +44,50 @@ def feature(spark, sf_dir, analysis_id):
     return ft.analyze(omop, visit_cohort(omop), analysis, index_date_field=_index_field(analysis))
 
 
-def _admissions(spark, sf_dir, analysis_ids):
-    omop = sample_omop(spark, sf_dir)
-    cohort = sampled(spark, sf_dir)
-    return cohort, [
-        ft.analyze(omop, cohort, a).withColumn("concept_id", F.col("concept_id").cast("string"))
-        for a in ft.select_analyses(analysis_ids)
-    ]
+def admissions(spark, sf_dir):
+    """The sampled cohort as a stored table, as every analysis reads it."""
+    return materialize(sampled(spark, sf_dir), "cohort")
+
+
+def stored_features(spark, sf_dir, cohort, analysis_ids=MERGED):
+    """Long features of the sampled cohort as a stored table."""
+    return materialize(ft.featurize(sample_omop(spark, sf_dir), cohort, analysis_ids), "features")
 
 
 def featurize_selected(spark, sf_dir):
-    omop = sample_omop(spark, sf_dir)
     return ft.featurize(
-        omop, sampled(spark, sf_dir), [*MERGED, "measurement_range", "race"], exclude_analysis_ids=["race"]
+        sample_omop(spark, sf_dir),
+        admissions(spark, sf_dir),
+        [*MERGED, "measurement_range", "race"],
+        exclude_analysis_ids=["race"],
     )
 
 
-def _merged_frames(spark, sf_dir):
-    return _admissions(spark, sf_dir, MERGED)[1]
+def _long(spark, sf_dir):
+    return stored_features(spark, sf_dir, admissions(spark, sf_dir))
 
 
 def merge_union(spark, sf_dir, binary=False):
-    return mg.merge_union(_merged_frames(spark, sf_dir), binary=binary)
+    return mg.merge_union([_long(spark, sf_dir)], binary=binary)
 
 
 def feature_vocab(spark, sf_dir):
-    return mg.build_vocab(mg.merge_union(_merged_frames(spark, sf_dir)))
+    return mg.build_vocab(_long(spark, sf_dir))
 
 
 def feature_row_map(spark, sf_dir):
-    return mg.row_map(mg.merge_union(_merged_frames(spark, sf_dir)))
+    return mg.row_map(_long(spark, sf_dir))
 
 
 def merge_with_vocab(spark, sf_dir):
     """Merge with the vocabulary of an earlier extraction that had no drugs."""
-    cohort, frames = _admissions(spark, sf_dir, MERGED)
-    earlier = [f for f, name in zip(frames, MERGED) if name != "drug_exposure"]
-    return mg.merge_features(frames, binary=True, vocab=mg.build_vocab(mg.merge_union(earlier)))
+    long = _long(spark, sf_dir)
+    earlier = mg.build_vocab(long.where(F.col("analysis_id") != "drug_exposure"))
+    return mg.merge_features([long], binary=True, vocab=materialize(earlier, "vocabulary"))
 
 
 def sparse_rows(spark, sf_dir):
-    merged = mg.merge_features(_merged_frames(spark, sf_dir))
-    return mg.to_sparse(merged).select(
+    return mg.to_sparse(mg.merge_features([_long(spark, sf_dir)])).select(
         "prediction_id",
         F.size("indices").alias("n_features"),
         F.concat_ws(",", F.transform("indices", lambda c: c.cast("string"))).alias("indices"),
@@ -95,15 +97,14 @@ def sparse_rows(spark, sf_dir):
 
 def merged_parquet(spark, sf_dir):
     path = scratch_path(spark, "merged")
-    mg.write_merged(mg.merge_features(_merged_frames(spark, sf_dir), binary=True), path)
+    mg.write_merged(mg.merge_features([_long(spark, sf_dir)], binary=True), path)
     return io.read_table(spark, path)
 
 
 def cohort_row_map(spark, sf_dir):
-    cohort, frames = _admissions(spark, sf_dir, MERGED)
-    return mg.cohort_row_map(
-        cohort, mg.row_map(mg.merge_union(frames)), ["hospital_mortality", "LOS_7", "race_eth"]
-    )
+    cohort = admissions(spark, sf_dir)
+    rows = mg.row_map(stored_features(spark, sf_dir, cohort))
+    return mg.cohort_row_map(cohort, rows, ["hospital_mortality", "LOS_7", "race_eth"])
 
 
 QUERIES = {

@@ -154,8 +154,10 @@ def running(sliced: DataFrame, order: str, *levels: Level) -> DataFrame:
         if fits_broadcast(table):
             table = F.broadcast(table)
         result = result.join(table, [*level.keys, "_slice"])
-        for p in level.sums:
-            result = result.withColumn(f"cum_{p}", F.col(f"_c_{p}") + F.col(f"_o_{p}"))
-        for n in level.nexts:
-            result = result.withColumn(n, F.coalesce(F.col(f"_a_{n}"), F.col(f"_l_{n}")))
+        result = result.withColumns(
+            {
+                **{f"cum_{p}": F.col(f"_c_{p}") + F.col(f"_o_{p}") for p in level.sums},
+                **{n: F.coalesce(F.col(f"_a_{n}"), F.col(f"_l_{n}")) for n in level.nexts},
+            }
+        )
     return result.drop(*[c for c in result.columns if c.startswith("_")])

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import as_ntz, micros_between, number_text, year_diff
-from riskloom.functions.joins import lookup_join, salted_join
+from riskloom.functions.joins import fits_broadcast, lookup_join, salted_join
 from riskloom.functions.ordered import Level, running, with_slices
+from riskloom.session import materialize
 from riskloom.sources.omop import union_all
 
 # Default bin edges and the bound of the all-history bin, in days or hours.
@@ -110,6 +111,11 @@ def _standard(omop: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def vocabulary_fits(omop: Mapping[str, DataFrame]) -> bool:
+    """Whether the standard concepts are few enough to be broadcast."""
+    return fits_broadcast(_standard(omop))
+
+
 def _when(analysis: Analysis) -> Column:
     if analysis.hourly:
         return as_ntz(F.col(analysis.datetime))
@@ -125,10 +131,16 @@ def _drop_midnight(df: DataFrame, analysis: Analysis) -> DataFrame:
     )
 
 
-def _events(omop: Mapping[str, DataFrame], analysis: Analysis, collapse: bool = True) -> DataFrame:
+def _events(
+    omop: Mapping[str, DataFrame],
+    analysis: Analysis,
+    collapse: bool = True,
+    small_vocabulary: bool | None = None,
+) -> DataFrame:
     """Counted events: ``person_id, concept_id, at, n`` and ``value`` for quantile analyses.
 
-    ``collapse=False`` keeps one row per event.
+    ``collapse=False`` keeps one row per event; ``small_vocabulary`` is the
+    outcome of :func:`vocabulary_fits` if it is known already.
     """
     standard = _standard(omop)
     source = _drop_midnight(omop[analysis.table], analysis).where(
@@ -141,7 +153,7 @@ def _events(omop: Mapping[str, DataFrame], analysis: Analysis, collapse: bool =
         terms = omop["note_nlp"].select(
             "note_id", F.col(analysis.concept).cast("bigint").alias("_concept"), "term_exists"
         )
-        terms = lookup_join(terms, standard, ["_concept"], spread=["note_id"], how="left_semi")
+        terms = lookup_join(terms, standard, ["_concept"], ["note_id"], "left_semi", small=small_vocabulary)
         terms = terms.withColumn("_terms", F.lit(1))
         if collapse:
             # One row per distinct term of a note, so a very long note does not fill one task.
@@ -172,7 +184,7 @@ def _events(omop: Mapping[str, DataFrame], analysis: Analysis, collapse: bool =
             source = source.where(F.col("value_as_number").isNotNull())
         # Standard concepts only. The vocabulary is a table of checked size.
         source = lookup_join(
-            source.select(*columns), standard, ["_concept"], spread=["person_id", "at"], how="left_semi"
+            source.select(*columns), standard, ["_concept"], ["person_id", "at"], "left_semi", small=small_vocabulary
         )
     source = source.select("person_id", concept.alias("concept_id"), "at", *extra, weight.alias("n"))
     if not collapse:
@@ -249,13 +261,14 @@ def count_concepts(
     row_id_field: str = ROW_ID,
     index_date_field: str = "admit_date",
     limit: int | None = None,
+    small_vocabulary: bool | None = None,
 ) -> DataFrame:
     """Counts per (row, concept, bin) of a 'count', 'nlp' or 'range' analysis.
 
     The slice belongs to the concept, so grouping by it changes no group and lets
     the aggregate reuse the partitioning of the join.
     """
-    events = _events(omop, analysis, collapse=not limit)
+    events = _events(omop, analysis, not limit, small_vocabulary)
     rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
     pairs = _pairs(events, rows, analysis, edges)
     if limit:
@@ -309,13 +322,14 @@ def measurement_bins(
     row_id_field: str = ROW_ID,
     index_date_field: str = "admit_date",
     num_bins: int = 5,
+    small_vocabulary: bool | None = None,
 ) -> DataFrame:
     """Counts per (row, value bin, time bin); bins are quantiles per concept and time bin.
 
     Value bins are closed on both ends, so a value on an inner bound counts twice.
     A row limit does not apply here.
     """
-    events = _events(omop, analysis)
+    events = _events(omop, analysis, True, small_vocabulary)
     rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
     bins = F.array(
         *[F.when(_inside(e, analysis), F.lit(bin_name(e))) for e in edges]
@@ -327,6 +341,8 @@ def measurement_bins(
         .groupBy(*row_keys, "concept_id", "time_bin", "value")
         .agg(F.sum("n").alias("n"))
     )
+    # Read twice, for the bounds and for the counts: the join behind it must not run twice.
+    counted = materialize(counted)
     keys = ["concept_id", "time_bin"]
     bounds = value_bins(counted, keys, num_bins)
     pieces = F.transform(
@@ -431,6 +447,7 @@ def analyze(
     num_bins_measurement: int = 5,
     age_bin_size: int = 5,
     limit: int | None = None,
+    small_vocabulary: bool | None = None,
 ) -> DataFrame:
     """Run one analysis by its kind."""
     names = {"row_id_field": row_id_field, "index_date_field": index_date_field}
@@ -445,8 +462,12 @@ def analyze(
         all_history_bound=all_history_bound,
     )
     if analysis.kind == "quantile":
-        return measurement_bins(omop, cohort, analysis, edges, num_bins=num_bins_measurement, **names)
-    return count_concepts(omop, cohort, analysis, edges, limit=limit, **names)
+        return measurement_bins(
+            omop, cohort, analysis, edges, num_bins=num_bins_measurement, small_vocabulary=small_vocabulary, **names
+        )
+    return count_concepts(
+        omop, cohort, analysis, edges, limit=limit, small_vocabulary=small_vocabulary, **names
+    )
 
 
 def select_analyses(
@@ -471,11 +492,16 @@ def featurize(
     exclude_analysis_ids: Sequence[str] | None = None,
     **settings,
 ) -> DataFrame:
-    """All chosen analyses as one long frame; concepts are text and index times zone-less."""
+    """All chosen analyses as one long frame; concepts are text and index times zone-less.
+
+    Every analysis reads the cohort, so pass a stored table.
+    """
+    chosen = select_analyses(analysis_ids, exclude_analysis_ids)
+    small = vocabulary_fits(omop) if any(a.kind not in ("static", "age") for a in chosen) else None
     frames = [
-        analyze(omop, cohort, a, **settings)
-        .withColumn("concept_id", F.col("concept_id").cast("string"))
-        .withColumn("index_date", as_ntz(F.col("index_date")))
-        for a in select_analyses(analysis_ids, exclude_analysis_ids)
+        analyze(omop, cohort, a, small_vocabulary=small, **settings).withColumns(
+            {"concept_id": F.col("concept_id").cast("string"), "index_date": as_ntz(F.col("index_date"))}
+        )
+        for a in chosen
     ]
     return union_all(frames)

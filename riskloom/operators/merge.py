@@ -45,7 +45,8 @@ def merge_features(
 
     With a given vocabulary, features outside it are dropped. A (row, feature)
     found in several tables is added up, or is 1 if ``binary``. The sum comes
-    first, so the join with the vocabulary sees a feature once per row.
+    first, so the join with the vocabulary sees a feature once per row. Without a
+    vocabulary the tables are read twice: pass stored ones.
     """
     keys = [row_id_field, "person_id", "feature_id"]
     long = union_all([f.select(*keys, "concept_count") for f in frames])

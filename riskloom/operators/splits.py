@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.keys import digest
@@ -96,33 +96,35 @@ FAIR_METHODS = {
 }
 
 
-def expand_grid(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
-    """Every row of ``df`` with every combination of the listed values, as new columns."""
+def expand_grid(df: DataFrame, grid: Mapping[str, Sequence], index: str = "id") -> DataFrame:
+    """Every row of ``df`` with every combination of the listed values and its number.
+
+    The last listed setting varies fastest.
+    """
+    df = df.withColumn(index, F.lit(0))
     for name, values in grid.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        df = df.select(
+            "*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("_pos", name)
+        ).withColumn(index, F.col(index) * len(values) + F.col("_pos")).drop("_pos")
     return df
 
 
-def _config_text(names: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.col(n).cast("string") for n in names])
-
-
 def config_grid_baseline(
     tasks: DataFrame,
     grid: Mapping[str, Sequence] = BASELINE_GRID,
     grid_size: int = 50,
     seed: int = 234,
 ) -> DataFrame:
-    """The same ``grid_size`` configurations, drawn by digest, for each row of ``tasks``.
+    """The same ``grid_size`` combinations, drawn by digest, for each row of ``tasks``.
 
-    The draw compares digests of the configuration text only, so all tasks share
-    it. The grid is a parameter of a few hundred combinations.
+    The draw depends on the combination's number only, so all tasks share it;
+    ``id`` numbers the drawn ones. The grid is a parameter of a few hundred
+    combinations and travels as one array value.
     """
     names = list(grid)
-    spark = tasks.sparkSession
-    every = expand_grid(spark.range(1).select(F.lit(1).alias("_one")), grid).drop("_one")
+    combinations = expand_grid(tasks.sparkSession.range(1).select(F.lit(0).alias("_one")), grid)
     drawn = (
-        every.withColumn("_d", digest(_config_text(names), seed=str(seed)))
+        combinations.withColumn("_d", digest("id", seed=str(seed)))
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", *names))), 1, grid_size).alias("c"))
         .scalar()
     )
@@ -138,20 +140,28 @@ def log_space(low: float, high: float, count: int) -> list[float]:
     return [math.pow(10.0, low + step * i) for i in range(count)]
 
 
+def fair_methods() -> list[tuple[str, str]]:
+    """Each penalty with each of its modes."""
+    return [(metric, mode) for metric, modes in FAIR_METHODS.items() for mode in modes]
+
+
 def config_grid_fair(base_configs: DataFrame, lambdas: Sequence[float] | None = None) -> DataFrame:
-    """Each selected base configuration with every penalty weight, penalty and mode."""
+    """Each selected base configuration with every penalty weight, penalty and mode.
+
+    ``id`` numbers the combinations of one base configuration. Every task starts
+    from its own base settings.
+    """
     weights = list(lambdas) if lambdas is not None else log_space(-3.0, 1.0, 10)
-    methods = F.array(
-        *[
-            F.struct(
-                F.lit(metric).alias("regularization_metric"),
-                F.lit(mode if metric == "mean_prediction" else None).cast("string").alias("mean_prediction_mode"),
-                F.lit(mode if metric == "mmd" else None).cast("string").alias("mmd_mode"),
-            )
-            for metric, modes in FAIR_METHODS.items()
-            for mode in modes
-        ]
-    )
-    return expand_grid(base_configs, {"lambda_group_regularization": weights}).select(
-        "*", F.inline(methods)
+    numbers = list(range(len(fair_methods())))
+    grid = expand_grid(
+        base_configs.drop("id"), {"lambda_group_regularization": weights, "_method": numbers}
     )
+    metric = F.element_at(F.array(*[F.lit(m) for m, _ in fair_methods()]), F.col("_method") + 1)
+    mode = F.element_at(F.array(*[F.lit(m) for _, m in fair_methods()]), F.col("_method") + 1)
+    return grid.withColumns(
+        {
+            "regularization_metric": metric,
+            "mean_prediction_mode": F.when(metric == "mean_prediction", mode),
+            "mmd_mode": F.when(metric == "mmd", mode),
+        }
+    ).drop("_method")

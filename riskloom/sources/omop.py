@@ -141,8 +141,15 @@ def load_omop(spark: SparkSession, folder: str) -> Tables:
     return Tables(lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}"), TABLES)
 
 
+_OPENED: dict[tuple[str, str], Tables] = {}
+
+
 def sample_omop(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(lambda name: sample_view(spark, sf_dir, name), VIEWS)
+    """The derived tables; their (unevaluated) definitions are kept per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPENED:
+        _OPENED[key] = Tables(lambda name: sample_view(spark, sf_dir, name), VIEWS)
+    return _OPENED[key]
 
 
 def sql_prefix(*names: str) -> str:

@@ -48,7 +48,7 @@ def read_with_path_keys(
     """Read a result tree and add one column for each of the last directories.
 
     ``names`` label the directories just above the file, outermost first; a null
-    name skips its directory.
+    name skips its directory. A directory ``key=value`` gives its value.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if file_glob:
@@ -61,7 +61,8 @@ def read_with_path_keys(
     depth = len(names)
     for position, name in enumerate(names):
         if name is not None:
-            df = df.withColumn(name, F.url_decode(F.element_at("_dirs", position - depth - 1)))
+            directory = F.url_decode(F.element_at("_dirs", position - depth - 1))
+            df = df.withColumn(name, F.regexp_replace(directory, "^[^=]*=", ""))
     return df.drop("_dirs")
 
 
