@@ -14,6 +14,7 @@ from riskloom.operators import metrics as mt
 from riskloom.operators import penalties as pn
 from riskloom.operators import scores as sc
 from riskloom.operators import splits as sp
+from riskloom.session import materialize
 from riskloom.sources.omop import sample_omop, sql_prefix
 
 ATTRIBUTES = ("attr_type", "attr_site")
@@ -145,20 +146,20 @@ def _training_rows(spark, sf_dir):
 
 def score_logistic(spark, sf_dir):
     merged, phased = _training_rows(spark, sf_dir)
-    merged = sc.materialize(merged)
+    merged = materialize(merged)
     n_cols = merged.agg(F.max("col_id")).first()[0] + 1
     rows = sc.with_vectors(mg.to_sparse(merged), n_cols).join(phased, "prediction_id")
-    rows = sc.materialize(rows.select("prediction_id", "phase", "labels", "group", "features"))
+    rows = materialize(rows.select("prediction_id", "phase", "labels", "group", "features"))
     model = sc.fit_logistic(rows.where(F.col("phase") == "train"))
     return sc.score_logistic(model, rows, ["prediction_id", "phase", "labels", "group"])
 
 
 def score_fair_logistic(spark, sf_dir):
     merged, phased = _training_rows(spark, sf_dir)
-    long = sc.materialize(
+    long = materialize(
         merged.select(F.col("prediction_id").alias("row_id"), "col_id", F.col("concept_count").alias("value"))
     )
-    rows = sc.materialize(phased.withColumnRenamed("prediction_id", "row_id"))
+    rows = materialize(phased.withColumnRenamed("prediction_id", "row_id"))
     train = rows.where(F.col("phase") == "train").drop("phase")
     weights = sc.fit_score_fair(long, train, lam=1.0, mode="conditional", steps=5, lr=0.1)
     return sc.apply_weights(long, weights, rows)

@@ -7,53 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import salted_join
+from riskloom.functions.joins import fits_broadcast, lookup_join
 from riskloom.operators.metrics import present_keys
 from riskloom.session import materialize
 
-STEPS = 10
+STEPS = 8
 # Fixed value: a Newton system below this determinant is treated as singular and left as it is.
 SINGULAR = 1e-12
 
 
 def _score_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts per keys and positive score, for the keys that have a positive label."""
-    positive = F.col("labels").cast("bigint")
+    """Counts per keys and positive score."""
     for k in keys:
         df = df.where(F.col(k).isNotNull())
     return (
-        df.groupBy(*keys, F.col("pred_probs").cast("double").alias("p"))
-        .agg(F.sum(positive).alias("np"), F.sum(1 - positive).alias("nn"))
-        .where(F.col("p") > 0)
-        .withColumn("x", F.log("p"))
+        df.where(F.col("pred_probs") > 0)
+        .groupBy(*keys, F.log(F.col("pred_probs").cast("double")).alias("x"))
+        .agg(
+            F.sum(F.col("labels").cast("bigint")).alias("np"), F.count(F.lit(1)).alias("n")
+        )
     )
 
 
 def fit_curves(df: DataFrame, keys: Sequence[str], steps: int = STEPS) -> DataFrame:
     """Unpenalised logistic fits of label on log score, one per keys: ``keys..., a, b``.
 
-    All fits advance together: a Newton step is one aggregate of five sums per
-    keys followed by a closed-form 2x2 solve. The score counts are written once;
-    each step then reads the counts, never the predictions. Keys without a
-    positive label get no fit.
+    All fits advance together: a Newton step reads the stored score counts next
+    to the stored coefficients, forms five sums per keys before any shuffle and
+    solves the 2x2 systems in closed form. Keys without a positive label get no
+    fit.
     """
     keys = list(keys)
-    fit_keys = keys or ["_all"]
-    frame = df if keys else df.withColumn("_all", F.lit(1))
-    counts = materialize(_score_counts(frame, fit_keys))
-    totals = (
-        frame.groupBy(*fit_keys).agg(F.sum("labels").alias("_pos")).where(F.col("_pos") > 0)
-    )
-    coef = totals.select(*fit_keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    x, n = F.col("x"), F.col("np") + F.col("nn")
-    mu = 1.0 / (1.0 + F.exp(-(F.col("a") + F.col("b") * x)))
-    w = n * F.col("mu") * (1.0 - F.col("mu"))
-    r = F.col("np") - n * F.col("mu")
+    counts = materialize(_score_counts(df, keys), "score_counts")
+    # The labels of zero scores count when keys are checked for positives.
+    positives = df.groupBy(*keys).agg(F.sum("labels").alias("_pos")).where(F.col("_pos") > 0)
+    coef = materialize(positives.select(*keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), "fits")
+    small = fits_broadcast(coef)
+    x, mu = F.col("x"), F.col("mu")
+    w = F.col("n") * mu * (1.0 - mu)
+    r = F.col("np") - F.col("n") * mu
+    det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
+    solvable = F.abs(det) > SINGULAR
+    step_a = (F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1")) / det
+    step_b = (F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0")) / det
     for _ in range(steps):
         sums = (
-            salted_join(counts, coef, fit_keys, spread=["p"])
-            .withColumn("mu", mu)
-            .groupBy(*fit_keys, "a", "b")
+            lookup_join(counts, coef, keys, spread=["x"], small=small)
+            .withColumn("mu", 1.0 / (1.0 + F.exp(-(F.col("a") + F.col("b") * x))))
+            .groupBy(*keys, "a", "b")
             .agg(
                 F.sum(r).alias("r0"),
                 F.sum(r * x).alias("r1"),
@@ -62,37 +63,51 @@ def fit_curves(df: DataFrame, keys: Sequence[str], steps: int = STEPS) -> DataFr
                 F.sum(w * x * x).alias("w2"),
             )
         )
-        det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
-        solvable = F.abs(det) > SINGULAR
-        step_a = (F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1")) / det
-        step_b = (F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0")) / det
-        coef = sums.select(
-            *fit_keys,
-            (F.col("a") + F.when(solvable, step_a).otherwise(0.0)).alias("a"),
-            (F.col("b") + F.when(solvable, step_b).otherwise(0.0)).alias("b"),
+        coef = materialize(
+            sums.select(
+                *keys,
+                (F.col("a") + F.when(solvable, step_a).otherwise(0.0)).alias("a"),
+                (F.col("b") + F.when(solvable, step_b).otherwise(0.0)).alias("b"),
+            ),
+            "fits",
         )
-    return coef if keys else coef.drop("_all")
+    return coef
 
 
 def calibration_curves(
     df: DataFrame, keys: Sequence[str] | None = None, steps: int = STEPS
 ) -> DataFrame:
     """Rows with a positive score and the probability of the label by the group's fit and by
-    everyone's fit, both evaluated on the same row."""
+    everyone's fit, both evaluated on the same row.
+
+    Group fits and fits of everyone are steps of the same loop: everyone is one
+    more member next to the groups.
+    """
     keys = present_keys(df, keys)
     rows = df.select(*keys, "group", "pred_probs", "labels")
-    own = materialize(fit_curves(rows, [*keys, "group"], steps))
-    everyone = materialize(fit_curves(rows, keys, steps)).select(
+    everyone = F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("name"))
+    member = F.struct(F.lit(False).alias("all"), F.col("group").cast("string").alias("name"))
+    members = rows.withColumn(
+        "member",
+        F.explode(F.when(F.col("group").isNull(), F.array(everyone)).otherwise(F.array(everyone, member))),
+    ).select(*keys, F.to_json("member").alias("member"), "pred_probs", "labels")
+    fits = fit_curves(members, [*keys, "member"], steps).withColumn(
+        "member", F.from_json("member", "all boolean, name string")
+    )
+    shared = fits.where(F.col("member.all")).select(
         *keys, F.lit(1).alias("_all"), F.col("a").alias("all_a"), F.col("b").alias("all_b")
     )
-    fits = own.withColumn("_all", F.lit(1)).join(everyone, [*keys, "_all"])
+    own = fits.where(~F.col("member.all")).select(
+        *keys, F.col("member.name").alias("group"), F.lit(1).alias("_all"), "a", "b"
+    )
+    table = materialize(own.join(shared, [*keys, "_all"]), "fits")
     log_p = F.log("pred_probs")
 
     def curve(a: str, b: str):
         return 1.0 / (1.0 + F.exp(-(F.col(a) + F.col(b) * log_p)))
 
     scored = rows.where((F.col("pred_probs") > 0) & F.col("group").isNotNull())
-    return salted_join(scored, fits, [*keys, "group"], spread=["pred_probs", "labels"]).select(
+    return lookup_join(scored, table, [*keys, "group"], spread=["pred_probs", "labels"]).select(
         *keys,
         "group",
         "pred_probs",

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import fits_broadcast, salted_join
-from riskloom.session import materialize
+from riskloom.functions.joins import fits_broadcast, lookup_join, salted_join
+from riskloom.session import bucketed, materialize
 from riskloom.sources.omop import union_all
 
+# Smallest probability inside a logarithm, column of the intercept.
 LOG_FLOOR = 1e-15
+BIAS = -1
 PENALTY_MODES = ("unconditional", "conditional", "conditional_pos", "conditional_neg")
 
 
@@ -91,33 +93,44 @@ def _strata(mode: str) -> Column:
     raise ValueError(f"mode must be one of {PENALTY_MODES}")
 
 
-def penalty_slopes(scored: DataFrame, mode: str, lam: float) -> DataFrame:
-    """Per row, the derivative of loss + lam * penalty with respect to its logit.
+def penalty_slopes(scored: DataFrame, mode: str, lam: float, n_rows: int) -> DataFrame:
+    """Per row, the derivative of mean loss + lam * penalty with respect to its logit.
 
     ``scored`` holds ``row_id, labels, group, z``. The penalty is the sum over
     groups of the squared gap between the mean log-probability of the group and
-    of its stratum.
+    of its stratum. The groups' means are a small table that is joined back with
+    a salt, since a group may hold most rows.
     """
     prob = sigmoid(F.col("z"))
+    loss = (prob - F.col("labels")) / F.lit(float(n_rows))
+    if lam == 0:
+        return scored.select("row_id", loss.alias("slope"))
     log_prob = -(F.greatest(-F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("z")))))
-    rows = scored.withColumn("_s", _strata(mode)).withColumn("_lp", log_prob)
+    rows = scored.withColumn("_s", _strata(mode))
     groups = rows.where(F.col("_s").isNotNull()).groupBy("_s", "group").agg(
-        F.count(F.lit(1)).alias("_ng"), F.sum("_lp").alias("_sum")
+        F.count(F.lit(1)).alias("_ng"), F.sum(log_prob).alias("_sum")
     )
-    strata = groups.groupBy("_s").agg(
-        F.sum("_ng").alias("_n"), (F.sum("_sum") / F.sum("_ng")).alias("_mean")
+    # A window over the groups of a stratum; their number is that of the attribute's values.
+    stratum = Window.partitionBy("_s")
+    size = F.sum("_ng").over(stratum)
+    gap = 2.0 * (F.col("_sum") / F.col("_ng") - F.sum("_sum").over(stratum) / size)
+    table = (
+        groups.withColumns({"_gap": gap, "_n": size})
+        .withColumn("_w", F.col("_gap") / F.col("_ng") - F.sum("_gap").over(stratum) / F.col("_n"))
+        .select("_s", "group", "_w")
     )
-    gaps = groups.join(strata, "_s").withColumn("_gap", 2.0 * (F.col("_sum") / F.col("_ng") - F.col("_mean")))
-    pull = gaps.groupBy("_s").agg(F.sum("_gap").alias("_pull"))
-    table = gaps.join(pull, "_s").select(
-        "_s", "group", (F.col("_gap") / F.col("_ng") - F.col("_pull") / F.col("_n")).alias("_w")
-    )
-    total = scored.agg(F.count(F.lit(1))).scalar()
     joined = salted_join(rows, table, ["_s", "group"], spread=["row_id"], how="left")
-    slope = (prob - F.col("labels")) / F.col("_rows") + F.lit(lam) * F.coalesce(
-        F.col("_w"), F.lit(0.0)
-    ) * (1.0 - prob)
-    return joined.withColumn("_rows", total).select("row_id", slope.alias("slope"))
+    pull = F.lit(lam) * F.coalesce(F.col("_w"), F.lit(0.0)) * (1.0 - prob)
+    return joined.select("row_id", (loss + pull).alias("slope"))
+
+
+def _with_bias(long: DataFrame, rows: DataFrame) -> DataFrame:
+    """Features of ``rows`` plus a constant 1 under col_id -1."""
+    typed = long.select(
+        "row_id", F.col("col_id").cast("bigint").alias("col_id"), F.col("value").cast("double").alias("value")
+    )
+    bias = rows.select("row_id", F.lit(BIAS).cast("bigint").alias("col_id"), F.lit(1.0).alias("value"))
+    return typed.join(rows.select("row_id"), "row_id", "left_semi").unionByName(bias)
 
 
 def fit_score_fair(
@@ -127,56 +140,44 @@ def fit_score_fair(
     mode: str = "unconditional",
     steps: int = 10,
     lr: float = 0.1,
-    checkpoint_every: int = 1,
 ) -> DataFrame:
-    """Linear model fitted by full-batch descent on loss + lam * group penalty.
+    """Linear model fitted by full-batch descent on mean loss + lam * group penalty.
 
     ``long`` holds ``row_id, col_id, value`` and ``rows`` holds ``row_id, labels,
-    group``. Returns ``col_id, weight`` with the intercept under col_id -1. A step
-    is two joins and two map-side combined sums over the long features: weights
-    to logits, slopes to gradient. The weights are materialised every few steps.
+    group``. Returns ``col_id, weight`` with the intercept under col_id -1.
+
+    The features are stored once, bucketed by row id, so that summing them to
+    logits and joining the slopes back moves only the rows, never the features.
+    Logits and weights of each step are stored: a lost executor re-reads them.
     """
     if mode not in PENALTY_MODES:
         raise ValueError(f"mode must be one of {PENALTY_MODES}")
-    bias = rows.select("row_id", F.lit(-1).cast("bigint").alias("col_id"), F.lit(1.0).alias("value"))
-    features = materialize(
-        long.select("row_id", F.col("col_id").cast("bigint").alias("col_id"), F.col("value").cast("double").alias("value"))
-        .join(rows.select("row_id"), "row_id", "left_semi")
-        .unionByName(bias)
-    )
-    weights = materialize(features.select("col_id").distinct().withColumn("weight", F.lit(0.0)))
-    small = fits_broadcast(weights)
-    for step in range(1, steps + 1):
-        slopes = penalty_slopes(logits(features, weights, rows, small), mode, lam)
-        gradient = (
-            features.join(slopes, "row_id")
-            .groupBy("col_id")
-            .agg(F.sum(F.col("value") * F.col("slope")).alias("gradient"))
-        )
-        weights = weights.join(gradient, "col_id").select(
-            "col_id", (F.col("weight") - F.lit(lr) * F.col("gradient")).alias("weight")
-        )
-        if step % checkpoint_every == 0 or step == steps:
-            weights = materialize(weights)
+    with bucketed(_with_bias(long, rows), "row_id") as features:
+        weights = materialize(features.select("col_id").distinct().withColumn("weight", F.lit(0.0)), "weights")
+        small = fits_broadcast(weights)
+        n_rows = rows.count()
+        for _ in range(steps):
+            scored = materialize(logits(features, weights, rows, small), "logits")
+            gradient = (
+                features.join(penalty_slopes(scored, mode, lam, n_rows), "row_id")
+                .groupBy("col_id")
+                .agg(F.sum(F.col("value") * F.col("slope")).alias("gradient"))
+            )
+            updated = weights.join(gradient, "col_id").select(
+                "col_id", (F.col("weight") - F.lit(lr) * F.col("gradient")).alias("weight")
+            )
+            weights = materialize(updated, "weights")
     return weights
 
 
 def logits(features: DataFrame, weights: DataFrame, rows: DataFrame, small: bool | None = None) -> DataFrame:
     """``rows`` with their linear score ``z``; a weight table of proven size is broadcast."""
-    small = fits_broadcast(weights) if small is None else small
-    if small:
-        weighted = features.join(F.broadcast(weights), "col_id")
-    else:
-        weighted = salted_join(features, weights, ["col_id"], spread=["row_id"])
+    weighted = lookup_join(features, weights, ["col_id"], spread=["row_id"], small=small)
     z = weighted.groupBy("row_id").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
     return rows.join(z, "row_id")
 
 
 def apply_weights(long: DataFrame, weights: DataFrame, rows: DataFrame) -> DataFrame:
     """Score ``rows`` with fitted weights: adds ``outputs`` and ``pred_probs``."""
-    bias = rows.select("row_id", F.lit(-1).cast("bigint").alias("col_id"), F.lit(1.0).alias("value"))
-    features = long.select(
-        "row_id", F.col("col_id").cast("bigint").alias("col_id"), F.col("value").cast("double").alias("value")
-    ).unionByName(bias)
-    scored = logits(features, weights, rows)
+    scored = logits(_with_bias(long, rows), weights, rows)
     return scored.withColumn("pred_probs", sigmoid(F.col("z"))).withColumnRenamed("z", "outputs")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,26 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, name: str = "buckets") -> Iterator[DataFrame]:
+    """Store a frame bucketed by ``key`` for the time of the block.
+
+    Aggregates and joins on the key then read it without a shuffle. There are as
+    many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    table = f"riskloom_{name}_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One writing task per bucket, so a bucket is one file.
+    (
+        df.repartition(count, key)
+        .write.bucketBy(count, key)
+        .option("path", scratch_path(spark, name))
+        .saveAsTable(table)
+    )
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
