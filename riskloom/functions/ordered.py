@@ -160,4 +160,8 @@ def running(sliced: DataFrame, order: str, *levels: Level) -> DataFrame:
                 **{n: F.coalesce(F.col(f"_a_{n}"), F.col(f"_l_{n}")) for n in level.nexts},
             }
         )
-    return result.drop(*[c for c in result.columns if c.startswith("_")])
+    helpers = ["_slice"]
+    for level in levels:
+        helpers += [f"_{kind}_{p}" for p in level.sums for kind in "co"]
+        helpers += [f"_{kind}_{n}" for n in level.nexts for kind in "al"]
+    return result.drop(*helpers)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import as_ntz, micros_between, number_text, year_diff
-from riskloom.functions.joins import fits_broadcast, lookup_join, salted_join
+from riskloom.functions.joins import fits_broadcast, lookup_join
 from riskloom.functions.ordered import Level, running, with_slices
 from riskloom.session import materialize
 from riskloom.sources.omop import union_all
@@ -331,20 +331,17 @@ def measurement_bins(
     """
     events = _events(omop, analysis, True, small_vocabulary)
     rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
-    bins = F.array(
-        *[F.when(_inside(e, analysis), F.lit(bin_name(e))) for e in edges]
-    )
     row_keys = [row_id_field, "person_id", "index_date"]
-    counted = (
-        _pairs(events, rows, analysis, edges)
-        .select(*row_keys, "concept_id", "value", "n", F.explode(F.array_compact(bins)).alias("time_bin"))
-        .groupBy(*row_keys, "concept_id", "time_bin", "value")
-        .agg(F.sum("n").alias("n"))
+    # Read twice, for the bounds and for the counts: the join must not run twice.
+    pairs = materialize(
+        _pairs(events, rows, analysis, edges).select(*row_keys, "concept_id", "value", "n", "_off"), "pairs"
+    )
+    codes = F.array(*[F.when(_inside(e, analysis), F.lit(i + 1)) for i, e in enumerate(edges)])
+    hits = pairs.select(*row_keys, "concept_id", "value", "n", F.explode(codes).alias("_bin")).where(
+        F.col("_bin").isNotNull()
     )
-    # Read twice, for the bounds and for the counts: the join behind it must not run twice.
-    counted = materialize(counted)
-    keys = ["concept_id", "time_bin"]
-    bounds = value_bins(counted, keys, num_bins)
+    keys = ["concept_id", "_bin"]
+    bounds = materialize(value_bins(hits, keys, num_bins), "bounds")
     pieces = F.transform(
         F.sequence(F.lit(1), F.lit(num_bins)),
         lambda i: F.struct(
@@ -353,8 +350,13 @@ def measurement_bins(
             F.element_at("bounds", i + 1).alias("high"),
         ),
     )
-    hit = salted_join(counted, bounds, keys, spread=[row_id_field]).select(
-        *row_keys, "concept_id", "time_bin", "value", "n", F.inline(pieces)
+    # One row per concept and time bin; beyond a broadcast the join is salted by row.
+    binned = (
+        lookup_join(hits, bounds.select(*keys, pieces.alias("_pieces")), keys, spread=[row_id_field])
+        .select(*row_keys, *keys, "value", "n", F.inline("_pieces"))
+        .where(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*row_keys, *keys, "k", "low", "high")
+        .agg(F.sum("n").alias("concept_count"))
     )
     label = F.concat_ws(
         "_",
@@ -364,13 +366,12 @@ def measurement_bins(
         number_text(F.col("low")),
         number_text(F.col("high")),
     )
-    binned = (
-        hit.where(F.col("value").between(F.col("low"), F.col("high")))
-        .withColumn("concept_id", label)
-        .groupBy(*row_keys, "concept_id", "time_bin")
-        .agg(F.sum("n").alias("concept_count"))
+    names = F.array(*[F.lit(bin_name(e)) for e in edges])
+    return _named(
+        binned.withColumns({"concept_id": label, "time_bin": F.element_at(names, F.col("_bin"))}),
+        analysis,
+        row_id_field,
     )
-    return _named(binned, analysis, row_id_field)
 
 
 def _static(df: DataFrame, analysis: Analysis, row_id: str) -> DataFrame:
