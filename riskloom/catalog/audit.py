@@ -86,7 +86,7 @@ CALIBRATION_COLUMNS = (
 
 
 def calibration_summary(spark, sf_dir):
-    return rounded(cal.calibration_summary(_curves(spark, sf_dir), KEYS), *CALIBRATION_COLUMNS, digits=6)
+    return rounded(cal.calibration_summary(_curves(spark, sf_dir), KEYS), *CALIBRATION_COLUMNS, digits=8)
 
 
 def filter_group_spec(spark, sf_dir):
@@ -360,11 +360,11 @@ SELECT row_id, phase, pred_probs, ROUND(ln(1 + pred_probs), 10) AS outputs, labe
 SELECT {_KG}, pred_probs, labels, ROUND(density_conditional_y1, 6) AS density_conditional_y1,
  ROUND(density_conditional_y1_overall, 6) AS density_conditional_y1_overall FROM curves""",
     "calibration_summary": f"""{CURVES_SQL}
-SELECT {_KG}, ROUND(AVG((labels - pred_probs) ** 2), 6) AS brier, ROUND(AVG(labels - pred_probs), 6) AS brier_signed,
- ROUND(AVG((density_conditional_y1 - pred_probs) ** 2), 6) AS calib_error,
- ROUND(AVG(density_conditional_y1 - pred_probs), 6) AS calib_error_signed,
- ROUND(AVG((density_conditional_y1 - density_conditional_y1_overall) ** 2), 6) AS calib_group_error,
- ROUND(AVG(density_conditional_y1 - density_conditional_y1_overall), 6) AS calib_group_error_signed
+SELECT {_KG}, ROUND(AVG((labels - pred_probs) ** 2), 8) AS brier, ROUND(AVG(labels - pred_probs), 8) AS brier_signed,
+ ROUND(AVG((density_conditional_y1 - pred_probs) ** 2), 8) AS calib_error,
+ ROUND(AVG(density_conditional_y1 - pred_probs), 8) AS calib_error_signed,
+ ROUND(AVG((density_conditional_y1 - density_conditional_y1_overall) ** 2), 8) AS calib_group_error,
+ ROUND(AVG(density_conditional_y1 - density_conditional_y1_overall), 8) AS calib_group_error_signed
 FROM curves GROUP BY {_KG}""",
     "filter_group_spec": f"""{MELTED},\n{sums_sql('m', _KG)}
 SELECT * FROM ({long_sql('m', _KG, ['brier'])}) t WHERE phase = 'test' AND attribute = 'attr_site'""",

@@ -58,18 +58,18 @@ def _calibration(spark, sf_dir):
 
 def metric_melt(spark, sf_dir):
     long = rp.melt_metrics(_calibration(spark, sf_dir), [*au.KEYS, "group"])
-    return au.rounded(long, "performance", digits=6)
+    return au.rounded(long, "performance", digits=8)
 
 
 def metric_concat(spark, sf_dir):
     df = au.melted(spark, sf_dir)
-    standard = mt.standard_report(df, au.KEYS, ["auc", "brier"])
-    everything = rp.concat_metrics(
-        standard,
-        rp.melt_metrics(_calibration(spark, sf_dir), [*au.KEYS, "group"]),
-        mt.ova_report(df, au.KEYS, ["mean_prediction"]),
+    return rp.concat_metrics(
+        au.rounded(
+            mt.standard_report(df, au.KEYS, ["auc", "brier"]), "performance", "performance_overall"
+        ),
+        metric_melt(spark, sf_dir),
+        au.rounded(mt.ova_report(df, au.KEYS, ["mean_prediction"]), "performance"),
     )
-    return au.rounded(everything, "performance", "performance_overall", digits=6)
 
 
 def _stat_columns(df):
@@ -233,7 +233,7 @@ _CAL = f"""calib AS (
  AVG((density_conditional_y1 - density_conditional_y1_overall) ** 2) AS calib_group_error,
  AVG(density_conditional_y1 - density_conditional_y1_overall) AS calib_group_error_signed
  FROM curves GROUP BY {_KG}),
-calib_long AS ({" UNION ALL ".join(f"SELECT {_KG}, '{c}' AS metric, ROUND({c}, 6) AS performance FROM calib" for c in _CAL_NAMES)})"""
+calib_long AS ({" UNION ALL ".join(f"SELECT {_KG}, '{c}' AS metric, ROUND({c}, 8) AS performance FROM calib" for c in _CAL_NAMES)})"""
 
 ORACLE = {
     "training_log": """SELECT metric, phase, epoch, ROUND(SUM(v * l_quantity) / SUM(l_quantity), 10) AS performance FROM (
@@ -251,9 +251,9 @@ SELECT task, config_filename, COUNT(DISTINCT fold_id) AS num_folds FROM fold_met
 {au._both(_K, 'o', 'performance_overall')},
 standard AS (SELECT g.*, o.performance_overall FROM lg g JOIN lo o USING ({_K}, metric)
  {au._DEFINED} AND metric IN ('auc', 'brier'))
-SELECT {_KG}, metric, ROUND(performance, 6) AS performance, ROUND(performance_overall, 6) AS performance_overall FROM standard
+SELECT {_KG}, metric, performance, performance_overall FROM standard
 UNION ALL SELECT {_KG}, metric, performance, NULL FROM calib_long
-UNION ALL SELECT {_KG}, 'mean_prediction', ROUND(a.m - b.m, 6), NULL
+UNION ALL SELECT {_KG}, 'mean_prediction', ROUND(a.m - b.m, 10), NULL
  FROM (SELECT {_KG}, AVG(pred_probs) AS m FROM melted GROUP BY ALL) a JOIN (SELECT {_K}, AVG(pred_probs) AS m FROM melted GROUP BY ALL) b USING ({_K})""",
     "fold_stats": f"""{_FOLDS}
 SELECT task, config_filename, phase, metric, {_STATS.format(s='')} FROM fold_metrics GROUP BY ALL""",
