@@ -85,20 +85,20 @@ def calibration_curves(
     """
     keys = present_keys(df, keys)
     rows = df.select(*keys, "group", "pred_probs", "labels")
-    everyone = F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("name"))
-    member = F.struct(F.lit(False).alias("all"), F.col("group").cast("string").alias("name"))
-    members = rows.withColumn(
-        "member",
-        F.explode(F.when(F.col("group").isNull(), F.array(everyone)).otherwise(F.array(everyone, member))),
-    ).select(*keys, F.to_json("member").alias("member"), "pred_probs", "labels")
-    fits = fit_curves(members, [*keys, "member"], steps).withColumn(
-        "member", F.from_json("member", "all boolean, name string")
+    everyone = F.struct(F.lit(True).alias("_everyone"), F.lit("").alias("_name"))
+    member = F.struct(F.lit(False).alias("_everyone"), F.col("group").cast("string").alias("_name"))
+    members = rows.select(
+        *keys,
+        "pred_probs",
+        "labels",
+        F.inline(F.when(F.col("group").isNull(), F.array(everyone)).otherwise(F.array(everyone, member))),
     )
-    shared = fits.where(F.col("member.all")).select(
+    fits = fit_curves(members, [*keys, "_everyone", "_name"], steps)
+    shared = fits.where("_everyone").select(
         *keys, F.lit(1).alias("_all"), F.col("a").alias("all_a"), F.col("b").alias("all_b")
     )
-    own = fits.where(~F.col("member.all")).select(
-        *keys, F.col("member.name").alias("group"), F.lit(1).alias("_all"), "a", "b"
+    own = fits.where("NOT _everyone").select(
+        *keys, F.col("_name").alias("group"), F.lit(1).alias("_all"), "a", "b"
     )
     table = materialize(own.join(shared, [*keys, "_all"]), "fits")
     log_p = F.log("pred_probs")
