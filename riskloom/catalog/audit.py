@@ -6,8 +6,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from riskloom.catalog.cohort import FOLDS, SEED, TEST_FRACTION
-from riskloom.catalog.features import admissions, stored_features
+from riskloom.catalog.cohort import FOLDS, SEED, SPLIT_SQL, TEST_FRACTION
+from riskloom.catalog.features import MERGED, admissions, admissions_with, stored_features
 from riskloom.operators import calibration as cal
 from riskloom.operators import merge as mg
 from riskloom.operators import metrics as mt
@@ -19,6 +19,7 @@ from riskloom.sources.omop import sample_omop, sql_prefix
 
 ATTRIBUTES = ("attr_type", "attr_site")
 KEYS = ("phase", "task", "attribute")
+FAIR_LAMBDA, FAIR_STEPS, FAIR_RATE = 1.0, 5, 0.1
 
 
 def rounded(df, *columns, digits=10):
@@ -161,8 +162,8 @@ def score_fair_logistic(spark, sf_dir):
     )
     rows = materialize(phased.withColumnRenamed("prediction_id", "row_id"))
     train = rows.where(F.col("phase") == "train").drop("phase")
-    weights = sc.fit_score_fair(long, train, lam=1.0, mode="conditional", steps=5, lr=0.1)
-    return sc.apply_weights(long, weights, rows)
+    weights = sc.fit_score_fair(long, train, FAIR_LAMBDA, "conditional", FAIR_STEPS, FAIR_RATE)
+    return rounded(sc.apply_weights(long, weights, rows), "outputs", "pred_probs", digits=9)
 
 
 QUERIES = {
@@ -337,7 +338,44 @@ logs AS (
  SELECT {_KG}, mode, CASE WHEN mode = 'unconditional' THEN -1 ELSE labels END AS s, ln(greatest(1e-15, pred_probs)) AS x
  FROM melted JOIN modes USING (labels))"""
 
+
+
+def descent_sql():
+    """The penalised descent as a chain of stored CTEs, and the scores of all rows."""
+    ctes = [
+        """study AS (
+ SELECT prediction_id AS row_id, CASE fold_id WHEN 'test' THEN 'test' WHEN '1' THEN 'val' ELSE 'train' END AS phase,
+  LOS_7 AS labels, gender_concept_name AS "group" FROM split)""",
+        "train AS MATERIALIZED (SELECT * FROM study WHERE phase = 'train')",
+        """cells AS MATERIALIZED (
+ SELECT DISTINCT prediction_id AS row_id, feature_id AS col FROM long_features
+ UNION ALL SELECT row_id, 'bias' FROM study)""",
+        "seen AS MATERIALIZED (SELECT c.* FROM cells c JOIN train USING (row_id))",
+        "w_0 AS MATERIALIZED (SELECT DISTINCT col, 0.0E0 AS w FROM seen)",
+    ]
+    for i in range(FAIR_STEPS):
+        ctes.append(
+            f"""s_{i} AS MATERIALIZED (
+ SELECT row_id, labels, "group", 1 / (1 + exp(-z)) AS p, -ln(1 + exp(-z)) AS lp
+ FROM train JOIN (SELECT row_id, SUM(w) AS z FROM seen JOIN w_{i} USING (col) GROUP BY row_id) t USING (row_id)),
+g_{i} AS (SELECT labels, "group", COUNT(*) AS ng, AVG(lp) AS m FROM s_{i} GROUP BY ALL),
+h_{i} AS (SELECT *, SUM(ng) OVER v AS n, 2 * (m - SUM(m * ng) OVER v / SUM(ng) OVER v) AS gap FROM g_{i} WINDOW v AS (PARTITION BY labels)),
+k_{i} AS MATERIALIZED (SELECT labels, "group", gap / ng - SUM(gap) OVER (PARTITION BY labels) / n AS pull FROM h_{i}),
+d_{i} AS MATERIALIZED (
+ SELECT row_id, (p - labels) / (SELECT COUNT(*) FROM train) + {FAIR_LAMBDA} * pull * (1 - p) AS slope
+ FROM s_{i} JOIN k_{i} USING (labels, "group")),
+w_{i + 1} AS MATERIALIZED (
+ SELECT col, w - {FAIR_RATE}E0 * g AS w FROM w_{i} JOIN (SELECT col, SUM(slope) AS g FROM seen JOIN d_{i} USING (row_id) GROUP BY col) t USING (col))"""
+        )
+    body = ",\n".join(ctes)
+    return f"""{admissions_with(MERGED, SPLIT_SQL).rstrip()},
+{body}
+SELECT row_id, phase, labels, "group", ROUND(z, 9) AS outputs, ROUND(1 / (1 + exp(-z)), 9) AS pred_probs
+FROM study JOIN (SELECT row_id, SUM(w) AS z FROM cells JOIN w_{FAIR_STEPS} USING (col) GROUP BY row_id) t USING (row_id)"""
+
+
 ORACLE = {
+    "score_fair_logistic": descent_sql(),
     "score_softmax": f"""WITH {sql_prefix('predictions')}
 SELECT row_id, ROUND(1 / (1 + exp(-m)), 10) AS pred_probs, ROUND(-ln(1 + exp(-m)), 10) AS log_prob FROM (
  SELECT row_id, (4.0E0 * pred_probs - labels) - (1.0E0 - pred_probs) AS m FROM predictions) t""",

@@ -85,7 +85,19 @@ def test_logistic_ranks_better_than_chance(data):
         long.select(F.col("row_id").alias("prediction_id"), "col_id", F.col("value").alias("concept_count"))
     )
     frame = sc.with_vectors(sparse, 3).join(rows.withColumnRenamed("row_id", "prediction_id"), "prediction_id")
-    scored = sc.score_logistic(sc.fit_logistic(frame, c=1.0), frame, ["prediction_id", "labels"])
+    model = sc.fit_logistic(frame, c=1.0)
+    # The optimum of C * summed loss + |w|^2 / 2 with a free intercept, by Newton steps.
+    present = {r.prediction_id for r in frame.select("prediction_id").collect()}
+    x, y, _ = design(data[2], data[3])
+    keep = np.array([i in present for i in range(len(y))])
+    x, y, w = x[keep], y[keep], np.zeros(4)
+    ridge = np.diag([1.0, 1.0, 1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = x.T @ (x * (p * (1 - p))[:, None]) + ridge
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + ridge @ w)
+    assert list(model.coefficients) + [model.intercept] == pytest.approx(list(w), abs=1e-4)
+    scored = sc.score_logistic(model, frame, ["prediction_id", "labels"])
     got = mt.evaluate(scored.withColumn("phase", F.lit("train")), ["phase"], ["auc"]).first()
     assert 0.6 < got.performance <= 1.0
 
