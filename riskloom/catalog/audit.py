@@ -96,11 +96,7 @@ def filter_group_spec(spark, sf_dir):
 
 
 def penalty_mean_prediction(spark, sf_dir):
-    df = melted(spark, sf_dir)
-    parts = [
-        pn.penalty_mean(df, mode, KEYS).withColumn("mode", F.lit(mode)) for mode in sc.PENALTY_MODES
-    ]
-    return rounded(mt.union_all(parts), "penalty")
+    return rounded(pn.mean_penalties(melted(spark, sf_dir), sc.PENALTY_MODES, KEYS), "penalty")
 
 
 def penalty_group_pairs(spark, sf_dir):
@@ -123,15 +119,8 @@ def penalty_group_pairs(spark, sf_dir):
 
 
 def penalty_mmd(spark, sf_dir):
-    df = melted(spark, sf_dir)
-    parts = [
-        pn.penalty_mmd(df, mode, against, KEYS)
-        .withColumn("mode", F.lit(mode))
-        .withColumn("against", F.lit(against))
-        for mode in ("unconditional", "conditional")
-        for against in pn.AGAINST
-    ]
-    return rounded(mt.union_all(parts), "penalty")
+    modes = ("unconditional", "conditional")
+    return rounded(pn.mmd_penalties(melted(spark, sf_dir), modes, pn.AGAINST, KEYS), "penalty")
 
 
 def _training_rows(spark, sf_dir):

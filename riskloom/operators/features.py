@@ -29,6 +29,7 @@ ALL_HISTORY = -36500
 ROW_ID = "prediction_id"
 CONCEPT_SLICES = 8
 MICROS_PER_HOUR = 3_600_000_000
+EPOCH = "1970-01-01 00:00:00"
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,13 @@ def _when(analysis: Analysis) -> Column:
     return F.col(analysis.date).cast("date")
 
 
+def _position(stamp: Column, analysis: Analysis) -> Column:
+    """Days or microseconds since the epoch: a number per row, so that pairs only subtract."""
+    if analysis.hourly:
+        return micros_between(F.lit(EPOCH).cast("timestamp_ntz"), stamp)
+    return F.unix_date(stamp)
+
+
 def _drop_midnight(df: DataFrame, analysis: Analysis) -> DataFrame:
     """Hourly analyses leave out events whose time is just their date."""
     if not analysis.hourly:
@@ -139,7 +147,7 @@ def _events(
 ) -> DataFrame:
     """Counted events: ``person_id, concept_id, at, n`` and ``value`` for quantile analyses.
 
-    ``collapse=False`` keeps one row per event; ``small_vocabulary`` is the
+    ``at`` is a position in time, see :func:`_position`. ``collapse=False`` keeps one row per event; ``small_vocabulary`` is the
     outcome of :func:`vocabulary_fits` if it is known already.
     """
     standard = _standard(omop)
@@ -160,11 +168,16 @@ def _events(
             terms = terms.groupBy("note_id", "_concept", "term_exists").agg(
                 F.sum("_terms").alias("_terms")
             )
-        source = source.select("note_id", "person_id", _when(analysis).alias("at")).join(terms, "note_id")
+        at = _position(_when(analysis), analysis)
+        source = source.select("note_id", "person_id", at.alias("at")).join(terms, "note_id")
         concept = F.concat_ws("_", concept.cast("string"), F.col("term_exists"))
         weight = F.col("_terms")
     else:
-        columns = [F.col(analysis.concept).cast("bigint").alias("_concept"), "person_id", _when(analysis).alias("at")]
+        columns = [
+            F.col(analysis.concept).cast("bigint").alias("_concept"),
+            "person_id",
+            _position(_when(analysis), analysis).alias("at"),
+        ]
         if analysis.kind == "range":
             level = (
                 F.when(F.col("value_as_number") > F.col("range_high"), "abnormal_high")
@@ -194,7 +207,9 @@ def _events(
 
 def _index_rows(cohort: DataFrame, analysis: Analysis, row_id: str, index_date: str) -> DataFrame:
     stamp = as_ntz(F.col(index_date)) if analysis.hourly else F.col(index_date).cast("date")
-    return cohort.select(row_id, "person_id", stamp.alias("index_date"))
+    return cohort.select(
+        row_id, "person_id", stamp.alias("index_date"), _position(stamp, analysis).alias("_index")
+    )
 
 
 def _pairs(events: DataFrame, rows: DataFrame, analysis: Analysis, edges: Sequence[tuple[int, int]]) -> DataFrame:
@@ -205,13 +220,10 @@ def _pairs(events: DataFrame, rows: DataFrame, analysis: Analysis, edges: Sequen
         "_slice", F.pmod(F.xxhash64("concept_id"), F.lit(CONCEPT_SLICES)).cast("int")
     )
     if analysis.hourly:
-        distance = micros_between(F.col("index_date"), F.col("at"))
         first, last = first * MICROS_PER_HOUR, last * MICROS_PER_HOUR
-    else:
-        distance = F.datediff("at", "index_date")
     return (
         sliced.join(rows.withColumn("_slice", F.explode(slices)), ["person_id", "_slice"])
-        .withColumn("_off", distance)
+        .withColumn("_off", F.col("at") - F.col("_index"))
         .where(F.col("_off").between(first, last))
     )
 

@@ -13,43 +13,52 @@ from riskloom.operators.scores import LOG_FLOOR, PENALTY_MODES
 AGAINST = ("overall", "group")
 
 
-def _rows(df: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:
-    """Counts per keys, stratum, group and log-probability. Strata are label values."""
-    if mode not in PENALTY_MODES:
+def _rows(df: DataFrame, keys: Sequence[str], modes: Sequence[str]) -> DataFrame:
+    """Counts per keys, mode, stratum, group and log-probability; strata are label values.
+
+    Several modes share one scan: a row is emitted once per mode it takes part in.
+    """
+    unknown = [m for m in modes if m not in PENALTY_MODES]
+    if unknown:
         raise ValueError(f"mode must be one of {PENALTY_MODES}")
-    stratum = F.lit(-1) if mode == "unconditional" else F.col("labels").cast("int")
-    if mode == "conditional_pos":
-        df = df.where(F.col("labels") == 1)
-    elif mode == "conditional_neg":
-        df = df.where(F.col("labels") == 0)
+    label = F.col("labels").cast("int")
+    stratum = {
+        "unconditional": F.lit(-1),
+        "conditional": label,
+        "conditional_pos": F.when(label == 1, label),
+        "conditional_neg": F.when(label == 0, label),
+    }
+    parts = F.array(*[F.struct(F.lit(m).alias("mode"), stratum[m].alias("_s")) for m in modes])
     log_prob = F.log(F.greatest(F.lit(LOG_FLOOR), F.col("pred_probs").cast("double")))
     return (
         df.where(F.col("group").isNotNull())
-        .groupBy(*keys, stratum.alias("_s"), "group", log_prob.alias("x"))
+        .select(*keys, "group", log_prob.alias("x"), F.inline(parts))
+        .where(F.col("_s").isNotNull())
+        .groupBy(*keys, "mode", "_s", "group", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def penalty_mean(df: DataFrame, mode: str = "conditional", keys: Sequence[str] = ()) -> DataFrame:
-    """Sum over groups of (mean log-probability of the group - mean of all) squared, per keys.
+def mean_penalties(df: DataFrame, modes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Sum over groups of (mean log-probability of the group - mean of all) squared:
+    ``keys..., mode, penalty``.
 
     Conditional modes do this within each label and add up.
     """
-    keys = list(keys)
-    groups = _rows(df, keys, mode).groupBy(*keys, "_s", "group").agg(
+    keys = [*keys, "mode"]
+    groups = _rows(df, keys[:-1], modes).groupBy(*keys, "_s", "group").agg(
         F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("s")
     )
     # With g groups of means m and overall mean M: sum (m - M)^2 = sum m^2 - 2 M sum m + g M^2.
     m = F.col("s") / F.col("n")
     overall = F.sum("s") / F.sum("n")
-    return (
-        groups.groupBy(*keys, "_s")
-        .agg(
-            (F.sum(m * m) - 2.0 * overall * F.sum(m) + F.count(F.lit(1)) * overall * overall).alias("t")
-        )
-        .groupBy(*keys)
-        .agg(F.sum("t").alias("penalty"))
-    )
+    term = F.sum(m * m) - 2.0 * overall * F.sum(m) + F.count(F.lit(1)) * overall * overall
+    return groups.groupBy(*keys, "_s").agg(term.alias("t")).groupBy(*keys).agg(F.sum("t").alias("penalty"))
+
+
+def penalty_mean(df: DataFrame, mode: str = "conditional", keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`mean_penalties` of one mode: ``keys..., penalty``."""
+    return mean_penalties(df, [mode], keys).drop("mode")
 
 
 def penalty_group_pairs(
@@ -100,20 +109,22 @@ def _norm(re: Column, im: Column) -> Column:
     return re * re + im * im
 
 
-def penalty_mmd(
-    df: DataFrame, mode: str = "conditional", against: str = "overall", keys: Sequence[str] = ()
+def mmd_penalties(
+    df: DataFrame, modes: Sequence[str], against: Sequence[str] = AGAINST, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Squared maximum mean discrepancy of log-probabilities under exp(-d^2), per keys.
+    """Squared maximum mean discrepancy of log-probabilities under exp(-d^2):
+    ``keys..., mode, against, penalty``.
 
     The mean over group terms (each group against all, or each pair of groups)
     is taken per label stratum and strata are added up. The kernel is written as
     a fixed sum of cosines, so the mean kernel value between two groups is the
     product of their mean cosines and sines: one pass over the scores replaces
-    the table of all pairs, to double precision.
+    the table of all pairs, to double precision, for all modes together.
     """
-    if against not in AGAINST:
+    unknown = [a for a in against if a not in AGAINST]
+    if unknown:
         raise ValueError(f"against must be one of {AGAINST}")
-    keys = list(keys)
+    keys = [*keys, "mode"]
     nodes = F.array(
         *[
             F.struct(F.lit(f).alias("f"), F.lit(w).alias("w"))
@@ -121,7 +132,7 @@ def penalty_mmd(
         ]
     )
     waves = (
-        _rows(df, keys, mode)
+        _rows(df, keys[:-1], modes)
         .select(*keys, "_s", "group", "x", "n", F.inline(nodes))
         .groupBy(*keys, "_s", "group", "f", "w")
         .agg(
@@ -133,22 +144,27 @@ def penalty_mmd(
     c, s = F.col("c") / F.col("n"), F.col("s") / F.col("n")
     k = F.count(F.lit(1))
     own = F.sum(_norm(c, s))
-    if against == "overall":
-        all_c, all_s = F.sum("c") / F.sum("n"), F.sum("s") / F.sum("n")
-        spread = own - 2.0 * (all_c * F.sum(c) + all_s * F.sum(s)) + k * _norm(all_c, all_s)
-        terms = k
-    else:
-        spread = k * own - _norm(F.sum(c), F.sum(s))
-        terms = k * (k - 1) / 2
-    return (
-        waves.groupBy(*keys, "_s", "f", "w")
-        .agg(spread.alias("spread"), terms.cast("double").alias("terms"), k.alias("k"))
-        .groupBy(*keys, "_s")
-        .agg(
-            F.when(F.max("k") > 1, F.sum(F.col("w") * F.col("spread")) / F.max("terms"))
-            .otherwise(0.0)
-            .alias("t")
-        )
-        .groupBy(*keys)
-        .agg(F.sum("t").alias("penalty"))
+    all_c, all_s = F.sum("c") / F.sum("n"), F.sum("s") / F.sum("n")
+    spreads = {
+        "overall": own - 2.0 * (all_c * F.sum(c) + all_s * F.sum(s)) + k * _norm(all_c, all_s),
+        "group": k * own - _norm(F.sum(c), F.sum(s)),
+    }
+    terms = {"overall": F.col("k"), "group": F.col("k") * (F.col("k") - 1) / 2.0}
+    per_node = waves.groupBy(*keys, "_s", "f", "w").agg(
+        k.alias("k"), *[spreads[a].alias(f"_{a}") for a in against]
+    )
+    per_stratum = per_node.groupBy(*keys, "_s", "k").agg(
+        *[F.sum(F.col("w") * F.col(f"_{a}")).alias(f"_{a}") for a in against]
     )
+    # A stratum with a single group adds nothing.
+    means = [
+        F.sum(F.when(F.col("k") > 1, F.col(f"_{a}") / terms[a]).otherwise(0.0)).alias(a) for a in against
+    ]
+    return per_stratum.groupBy(*keys).agg(*means).unpivot(keys, list(against), "against", "penalty")
+
+
+def penalty_mmd(
+    df: DataFrame, mode: str = "conditional", against: str = "overall", keys: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`mmd_penalties` of one mode and comparison: ``keys..., penalty``."""
+    return mmd_penalties(df, [mode], [against], keys).drop("mode", "against")
