@@ -20,7 +20,9 @@ from riskloom.session import materialize
 
 HEX_DIGITS = 4
 MAX_SLICES = 16**HEX_DIGITS
-SLICES = 128
+MIN_SLICES, MAX_RUN_SLICES = 128, 4096
+ROWS_PER_SLICE = 1_000_000
+BLOCK = 64
 
 
 def dense_index(
@@ -56,7 +58,12 @@ def dense_index(
     return numbered.drop("_d", "_slice", "_rn", "_offset", "_total")
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int = SLICES) -> DataFrame:
+def slices_for(stored: DataFrame) -> int:
+    """How many slices a stored table needs to hold about a million rows in each."""
+    return max(MIN_SLICES, min(MAX_RUN_SLICES, stored.count() // ROWS_PER_SLICE))
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int | None = None) -> DataFrame:
     """Materialise ``df`` and add ``_slice``: how many of ``slices - 1`` sampled order values
     lie below the row's.
 
@@ -64,6 +71,7 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int = SL
     same on every evaluation. Equal order values always share a slice.
     """
     df = materialize(df)
+    slices = slices_for(df) if slices is None else slices
     identity = [*keys, order]
     sample = (
         df.select(*identity)
@@ -71,15 +79,26 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int = SL
         .orderBy(F.xxhash64(*identity), *identity)
         .limit(slices - 1)
     )
-    # One row holding at most `slices - 1` values.
-    bounds = sample.agg(F.array_sort(F.collect_list(order)).alias("_bounds")).withColumn(
-        "_one", F.lit(1)
+    # One row holding at most `slices - 1` sorted values, and the last value of each full block.
+    bounds = sample.agg(F.array_sort(F.collect_list(order)).alias("_bounds")).select(
+        F.lit(1).alias("_one"),
+        "_bounds",
+        F.filter("_bounds", lambda b, i: i % BLOCK == BLOCK - 1).alias("_ends"),
     )
+
+    def below(values):
+        return F.size(F.filter(values, lambda b: b < F.col(order)))
+
     return (
         df.withColumn("_one", F.lit(1))
         .join(F.broadcast(bounds), "_one")
-        .withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-        .drop("_bounds", "_one")
+        .withColumn("_blocks", below("_ends"))
+        .withColumn(
+            "_slice",
+            F.col("_blocks") * BLOCK
+            + below(F.slice("_bounds", F.col("_blocks") * BLOCK + 1, F.lit(BLOCK))),
+        )
+        .drop("_bounds", "_ends", "_blocks", "_one")
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordered import SLICES, Level, running, with_slices
+from riskloom.functions.ordered import Level, running, slices_for, with_slices
 from riskloom.session import materialize
 from riskloom.sources.omop import union_all
 
@@ -283,7 +283,8 @@ def wasserstein(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     def level(share: Column) -> Column:
         return share * c("tot_w") / c("tot_g")
 
-    # Slices of equal weight: one holds at most total / SLICES scores.
+    # Slices of equal weight: one holds at most that share of the rows.
+    slices = slices_for(curve)
     asks = _grouped(curve).select("*", level(c("cum_g")).alias("v"), F.lit(0).alias("kind"))
     marks = curve.select(
         *keys,
@@ -293,7 +294,7 @@ def wasserstein(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.struct(c("p").alias("p"), c("cum_w").alias("w"), c("cum_s").alias("s")).alias("mark"),
     )
     line = asks.unionByName(marks, allowMissingColumns=True).withColumn(
-        "_slice", F.floor(c("v") * SLICES / c("tot_w")).cast("int")
+        "_slice", F.floor(c("v") * slices / c("tot_w")).cast("int")
     )
     # Of equal values the marks come first along the order, so the next mark is strictly larger.
     steps = running(line, "v", Level(keys, nexts={"cross": "mark"}, ties=["kind"])).where(c("kind") == 0)
