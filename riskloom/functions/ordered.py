@@ -8,6 +8,7 @@ replayed task puts its rows where the first attempt put them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -22,7 +23,6 @@ HEX_DIGITS = 4
 MAX_SLICES = 16**HEX_DIGITS
 MIN_SLICES, MAX_RUN_SLICES = 128, 4096
 ROWS_PER_SLICE = 1_000_000
-BLOCK = 64
 
 
 def dense_index(
@@ -72,6 +72,7 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int | No
     """
     df = materialize(df)
     slices = slices_for(df) if slices is None else slices
+    block = math.isqrt(slices)
     identity = [*keys, order]
     sample = (
         df.select(*identity)
@@ -83,23 +84,25 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, slices: int | No
     bounds = sample.agg(F.array_sort(F.collect_list(order)).alias("_bounds")).select(
         F.lit(1).alias("_one"),
         "_bounds",
-        F.filter("_bounds", lambda b, i: i % BLOCK == BLOCK - 1).alias("_ends"),
+        F.filter("_bounds", lambda b, i: i % block == block - 1).alias("_ends"),
     )
 
     def below(values):
         return F.size(F.filter(values, lambda b: b < F.col(order)))
 
-    return (
+    sliced = (
         df.withColumn("_one", F.lit(1))
         .join(F.broadcast(bounds), "_one")
         .withColumn("_blocks", below("_ends"))
         .withColumn(
             "_slice",
-            F.col("_blocks") * BLOCK
-            + below(F.slice("_bounds", F.col("_blocks") * BLOCK + 1, F.lit(BLOCK))),
+            F.col("_blocks") * block
+            + below(F.slice("_bounds", F.col("_blocks") * block + 1, F.lit(block))),
         )
         .drop("_bounds", "_ends", "_blocks", "_one")
     )
+    # The search costs more per row than reading the row back, and every level reads it twice.
+    return materialize(sliced, "sliced")
 
 
 @dataclass(frozen=True)
