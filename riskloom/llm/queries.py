@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import exact_dedup
+from riskloom.llm import exact_dedup, quality_rules
 from riskloom.llm.tables import documents
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLE = {
     "op8_exact_dedup": r"""
