@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import narrow_lookup, stored
+from riskloom.llm.tables import narrow_lookup, numbered, restored, stored
 from riskloom.session import scratch_path
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -87,27 +87,25 @@ class DigestIndex:
 
 def _indexed(docs: DataFrame, columns: list[str], index: DigestIndex | None) -> tuple[DataFrame, DataFrame]:
     """The stored rows with their digests, and the index entry of each row."""
-    picked = docs.select(*columns, text_digest(F.col("text")).alias("_digest"))
-    table = stored(picked, "digests", uid="_row")
+    table = stored(docs.select(*columns, "doc_id", text_digest(F.col("text")).alias("digest")), "digests", uid="row")
     index = index or DigestIndex(docs.sparkSession)
     batch = uuid.uuid4().hex
-    digests = table.select("doc_id", F.col("_digest").alias("digest"), F.col("_row").alias("row"))
+    digests = table.select("doc_id", "digest", "row")
     index.add(digests, batch)
-    looked = index.lookup(digests).withColumn(
-        "kept", (F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))
-    )
-    return table, looked
+    kept = (F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))
+    return table, index.lookup(digests).withColumn("kept", kept)
 
 
 def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex)."""
-    _, looked = _indexed(docs, ["doc_id"], index)
+    _, looked = _indexed(docs, [], index)
     return looked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, with all their columns. Texts are stored once and not shuffled
     unless the list of dropped rows is too long to broadcast."""
-    table, looked = _indexed(docs, docs.columns, index)
-    dropped = stored(looked.where(~F.col("kept")).select(F.col("row").alias("_row")), "dropped")
-    return narrow_lookup(table, dropped, "_row", "_row", "left_anti").select(*docs.columns)
+    given, names = numbered(docs, "doc_id", "text")
+    table, looked = _indexed(given, names, index)
+    dropped = stored(looked.where(~F.col("kept")).select("row"), "dropped")
+    return restored(narrow_lookup(table, dropped, "row", "row", "left_anti"), docs)

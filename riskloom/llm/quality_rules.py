@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import fits_broadcast, salted_join
-from riskloom.llm.tables import WORD, stored
+from riskloom.llm.tables import WORD, numbered, restored, stored
 
 WINDOW = 5
 SCALE = 4096
@@ -311,9 +311,5 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def keep_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with all their columns."""
-    names = docs.columns
-    numbered = docs.select(
-        *[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)], "lang", "source", "text"
-    )
-    kept = judge(numbered, [f"_d{i}" for i in range(len(names))], rules).where("kept")
-    return kept.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
+    given, names = numbered(docs, "lang", "source", "text")
+    return restored(judge(given, names, rules).where("kept"), docs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import exact_dedup, quality_rules
+from riskloom.llm import exact_dedup, mixing, quality_rules
 from riskloom.llm.tables import documents
 
 
@@ -12,12 +12,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 

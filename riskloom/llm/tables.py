@@ -25,6 +25,18 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def numbered(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """The columns of ``docs`` under names that clash with nothing, and the needed ones under their own."""
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    renamed = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]
+    return docs.select(*renamed, *[F.col(c) for c in needed]), names
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Undo :func:`numbered`: only the columns of ``docs``, under their names."""
+    return df.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def stored(df: DataFrame, name: str, uid: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, with a row id if one is named.
 
