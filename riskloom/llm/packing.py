@@ -37,7 +37,7 @@ CAPACITY = 2048
 END_ID = 0
 SLICE_ROWS = 50_000
 #: White space of the tokenizer's rules beyond the six ASCII characters, and its special token.
-UNUSUAL = "[\x1c-\x1f\x85\xa0  -     　]|<\\|endoftext\\|>"
+UNUSUAL = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|endoftext\\|>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_UNITS = 2_000_000
 
