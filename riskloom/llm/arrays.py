@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
@@ -52,7 +53,7 @@ def _power(n: int) -> np.ndarray:
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` text bytes; a longer text is a range of its own."""
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0))
     start = total = 0
     for row, size in enumerate(sizes.tolist()):
         if total + size > limit and row > start:

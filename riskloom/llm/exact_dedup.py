@@ -108,4 +108,4 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     given, names = numbered(docs, "doc_id", "text")
     table, looked = _indexed(given, names, index)
     dropped = stored(looked.where(~F.col("kept")).select("row"), "dropped")
-    return restored(narrow_lookup(table, dropped, "row", "row", "left_anti"), docs)
+    return restored(narrow_lookup(table, dropped, "row", "left_anti"), docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import lookup_join
+from riskloom.functions.joins import fits_broadcast, lookup_join
 from riskloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,11 @@ def stored(df: DataFrame, name: str, uid: str | None = None) -> DataFrame:
     return table.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias(uid))
 
 
-def narrow_lookup(fact: DataFrame, lookup: DataFrame, key: str, spread: str, how: str) -> DataFrame:
-    """Join a stored narrow table by one key: broadcast below a counted size, else salted."""
-    return lookup_join(fact, lookup, [key], [spread], how, max_rows=LOOKUP_ROWS)
+def narrow_lookup(fact: DataFrame, lookup: DataFrame, key: str, how: str, spread: str | None = None) -> DataFrame:
+    """Join a stored narrow table by one key: broadcast below a counted size, else by a shuffle.
+
+    ``spread`` names a column that differs among the rows of a key that may be hot; these are then salted.
+    """
+    if spread is None and not fits_broadcast(lookup, LOOKUP_ROWS):
+        return fact.join(lookup, key, how)
+    return lookup_join(fact, lookup, [key], [spread or key], how, max_rows=LOOKUP_ROWS)
