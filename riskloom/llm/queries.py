@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup
-from riskloom.llm.tables import documents
+from riskloom.llm import compression_classifier, exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup
+from riskloom.llm.tables import documents, labels
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_report(documents(spark, sf_dir))
 
 
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_compression_classifier": op4_compression_classifier,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
