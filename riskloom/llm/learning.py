@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm import arrays
 from riskloom.llm.tables import stored
 
 #: No score of exactly 0 or 1 from a logistic curve.
@@ -44,7 +46,44 @@ def labelled_sample(
     # At most four times rows_per_label rows.
     picked = stored(picked, "picked")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(picked), "doc_id")
-    return stored(texts.select("text", "label", "part"), "sample")
+    return stored(texts.select("text", "label", "part", "h"), "sample")
+
+
+def without_copies(sample: DataFrame, sketches: int = 3) -> DataFrame:
+    """One row of each group of texts with an equal sketch, for several sketches in turn.
+
+    A sketch is the smallest hash of four-word shingles, so near copies nearly
+    always have one in common and count once in what is learnt.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for low, high in arrays.blocks(batch.column("text")):
+                found = arrays.words(batch.column("text").slice(low, high - low), fold=True)
+                hashes, rows = arrays.shingles(found, 4)
+                cuts = np.searchsorted(rows, np.arange(high - low + 1))
+                for i in range(high - low):
+                    mine = hashes[cuts[i] : cuts[i + 1]]
+                    if not len(mine):
+                        mine = found.hash[found.first[i] : found.first[i + 1]]
+                    if not len(mine):
+                        mine = np.zeros(1, np.uint64)
+                    out.append([int(arrays.mix(mine + np.uint64(k)).min() >> np.uint64(1)) for k in range(sketches)])
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * sketches)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *columns], names=[*batch.schema.names, *[f"k{k}" for k in range(sketches)]]
+            )
+
+    schema = sample.select("*").schema
+    for k in range(sketches):
+        schema = schema.add(f"k{k}", "long")
+    rows = stored(sample.mapInArrow(run, schema), "sketched")
+    columns = [c for c in rows.columns]
+    for k in range(sketches):
+        first = F.min_by(F.struct(*columns), F.struct("h", "text"))
+        rows = rows.groupBy(F.col(f"k{k}").alias("_k")).agg(first.alias("_r")).select("_r.*")
+    return stored(rows.select("text", "label", "part"), "distinct")
 
 
 def label_share(labels: DataFrame, label: str, folds: int, remainder: int) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import compression_classifier, exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup
+from riskloom.llm import compression_classifier, exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup, toxicity
 from riskloom.llm.tables import documents, labels
 
 
@@ -16,6 +16,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_report(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_compression_classifier": op4_compression_classifier,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
