@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import compression_classifier, exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup, toxicity
-from riskloom.llm.tables import documents, labels
+from riskloom.llm import (
+    compression_classifier,
+    exact_dedup,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
+from riskloom.llm.tables import documents, labels, pages
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +51,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(pages(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -49,6 +68,8 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
