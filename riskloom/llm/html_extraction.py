@@ -229,22 +229,23 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
 
 def _inherit(i: int, labels: list[bool | None], found: list[Block], marked: bool) -> bool:
     """Second pass: the label both neighbours agree on; else a heading follows the block after it, and other
-    blocks follow the nearer neighbour. Inside a marked article only its own blocks are neighbours, and
-    without any decided one the block is main text."""
+    blocks follow the nearer neighbour. Blocks that are out by what encloses them say nothing about others,
+    and inside a marked article only its own blocks are neighbours. Without any decided neighbour the block
+    is main text."""
 
     def nearest(step: int) -> tuple[int, bool] | None:
         j = i + step
         while 0 <= j < len(labels):
             if marked and not found[j].article:
                 return None
-            if labels[j] is not None and not (marked and found[j].out):
+            if labels[j] is not None and not found[j].out:
                 return abs(j - i), bool(labels[j])
             j += step
         return None
 
     before, after = nearest(-1), nearest(1)
     if before is None and after is None:
-        return marked and found[i].article
+        return found[i].article or not marked
     if before is None or after is None:
         return (before or after)[1]
     if before[1] == after[1] or found[i].heading:
