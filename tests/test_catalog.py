@@ -14,7 +14,8 @@ check = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(check)
 entry_point = sys.modules["__spark_entry__"]
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES = {name: query for name, query in entry_point.queries().items() if any(name in m.QUERIES for m in entry_point.MODULES)}
+ORACLES = {name: text for name, text in entry_point.oracle_sql().items() if name in QUERIES}
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="sample tables are missing")
 
 
