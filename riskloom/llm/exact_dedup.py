@@ -57,6 +57,8 @@ class DigestIndex:
         """Append the texts of ``digests`` (doc_id, digest, row) that the index doesn't hold yet."""
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
         groups = digests.groupBy("digest").agg(first.alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        # Stored, as the optimizer would else join all rows to the index before it groups them.
+        groups = stored(groups, "groups")
         fresh = groups.hint("merge").join(self.rows(), "digest", "left_anti")
         (
             fresh.select(
