@@ -128,7 +128,7 @@ def _key():
 
 
 def _candidate_windows(found: DataFrame, cover: Cover) -> DataFrame:
-    """h1, h2, row, start of every window that holds a shared anchor."""
+    """h1, h2, row, start, _key of every window that holds a shared anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,14 @@ def _candidate_windows(found: DataFrame, cover: Cover) -> DataFrame:
                     np.add.at(mark, at + 1, -1)
                     here = np.flatnonzero(np.cumsum(mark)[: n - cover.window + 1] > 0)
                     starts.append(here)
-                    rows.append((batch.column("row")[low + i].as_py(), int(words.first[i]), len(here)))
+                    rows.append(
+                        (
+                            batch.column("row")[low + i].as_py(),
+                            int(words.first[i]),
+                            len(here),
+                            batch.column("_key")[low + i].as_py(),
+                        )
+                    )
                 if not rows:
                     continue
                 here = np.concatenate(starts)
@@ -162,11 +169,14 @@ def _candidate_windows(found: DataFrame, cover: Cover) -> DataFrame:
                         pa.array(two[at].view(np.int64)),
                         pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)),
                         pa.array(here.astype(np.int32)),
+                        pa.array(np.repeat(np.array([r[3] for r in rows], np.int64), sizes)),
                     ],
-                    names=["h1", "h2", "row", "start"],
+                    names=["h1", "h2", "row", "start", "_key"],
                 )
 
-    return found.select("text", "sha", "row", "shared").mapInArrow(run, "h1 bigint, h2 bigint, row bigint, start int")
+    return found.select("text", "sha", "row", "shared", "_key").mapInArrow(
+        run, "h1 bigint, h2 bigint, row bigint, start int, _key bigint"
+    )
 
 
 def _cut(found: DataFrame, cover: Cover) -> DataFrame:
@@ -213,10 +223,10 @@ def removal_report(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     shared = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     places = anchors.join(shared, "hash", "left_semi").groupBy("row").agg(F.collect_list("index").alias("shared"))
     wanted = stored(places.join(classes.select("row", "_key", "sha"), "row"), "places")
-    windows = stored(_candidate_windows(_again(docs, wanted), cover), "windows")
-    owned = windows.join(wanted.select("row", "_key"), "row")
-    least = owned.groupBy("h1", "h2").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"))
-    repeated = owned.join(least.where("_least < _most").select("h1", "h2", "_least"), ["h1", "h2"])
+    # The texts are stored and their windows hashed twice: that is a fraction of storing the hashes.
+    windows = _candidate_windows(stored(_again(docs, wanted), "texts"), cover)
+    least = windows.groupBy("h1", "h2").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"))
+    repeated = windows.join(least.where("_least < _most").select("h1", "h2", "_least"), ["h1", "h2"])
     starts = repeated.where("_key > _least").groupBy("row").agg(F.collect_list("start").alias("starts"))
     hit = stored(starts.join(wanted.select("row", "_key", "sha"), "row"), "starts")
     cut = stored(_cut(_again(docs, hit), cover), "cut")
