@@ -16,7 +16,7 @@ needs the smaller of its two l.
    of its shingles. What this links is contracted, and only pairs of different
    components are then formed and verified, so a large group of near copies costs
    its size and not its square. More pivot rounds follow while the pairs left are
-   many and the rounds still link something. The last round forms every pair left.
+   many and each round at least halves them. The last round forms every pair left.
 
 Defined cases: a text of fewer words than a shingle is one shingle; without words
 or null it has the empty set and links with nothing; a null ``doc_id`` is never a
@@ -215,22 +215,26 @@ def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _link(sets: DataFrame, join: Join) -> DataFrame:
     """``node, component`` of the stored sets that may link at all."""
     prefixes = stored(_adaptive(sets, join), "prefixes")
-    postings = prefixes.count()
     labels = stored(prefixes.select("node", F.col("node").alias("component")).distinct(), "labels")
-    turn = 0
+    turn, before = 0, None
     while True:
-        placed = stored(prefixes.join(labels, "node"), "placed")
+        placed = prefixes.join(labels, "node")
         per = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
         tokens = per.groupBy("token").agg(
-            F.count(F.lit(1)).alias("parts"), ((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")
+            F.count(F.lit(1)).alias("parts"),
+            ((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"),
+            F.sum("k").alias("postings"),
         )
-        mixed = stored(tokens.where("parts > 1").select("token", "pairs"), "mixed")
-        left = mixed.agg(F.sum("pairs")).first()[0] or 0
-        open_ = placed.join(mixed.select("token"), "token", "left_semi")
-        if left == 0:
+        mixed = stored(tokens.where("parts > 1"), "mixed")
+        left, postings = mixed.agg(F.sum("pairs"), F.sum("postings")).first()
+        if not left:
             return labels
-        if turn and (left <= PAIRS_PER_POSTING * postings or not progress):
+        # Components only grow, so a shingle within one of them never comes back.
+        open_ = stored(placed.join(mixed.select("token"), "token", "left_semi"), "open")
+        prefixes = open_.drop("component")
+        if turn and (left <= PAIRS_PER_POSTING * postings or left > before / 2):
             break
+        before = left
         pivot = open_.groupBy("token").agg(
             F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")).alias("p")
         )
@@ -242,8 +246,7 @@ def _link(sets: DataFrame, join: Join) -> DataFrame:
         )
         best = met.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("k", "pivot"))["pivot"].alias("b"))
         links = stored(_verify(stored(best, "met"), sets, join), "links")
-        progress = not links.isEmpty()
-        if progress:
+        if not links.isEmpty():
             labels = _contract(labels, links)
         turn += 1
     x = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "need", "component")])
