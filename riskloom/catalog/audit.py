@@ -290,35 +290,33 @@ def _ova_oracle(where):
     return f"{_OVA}\nSELECT {_KG}, metric, ROUND(performance, 10) AS performance FROM ova WHERE {where}"
 
 
-def newton_sql(name, keys, steps=cal.STEPS):
-    """The fits as one chain of CTEs, a step each."""
+def newton_sql(name, keys):
+    """The fits as a recursive table, a step each until the step is below the twin's own tolerance."""
     on = " AND ".join(f"c.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
     f_keys = ", ".join(f"f.{k.strip()}" for k in keys.split(","))
-    ctes = [
-        f"{name}_x AS (SELECT {keys}, ln(pred_probs) AS x, SUM(labels) AS np, COUNT(*) AS n FROM melted WHERE pred_probs > 0 GROUP BY ALL)",
-        f"{name}_0 AS (SELECT {keys}, 0.0E0 AS a, 0.0E0 AS b FROM melted GROUP BY {keys} HAVING SUM(labels) > 0)",
-    ]
-    for i in range(steps):
-        ctes.append(
-            f"""{name}_{i + 1} AS (
- SELECT {keys}, a + CASE WHEN abs(w0 * w2 - w1 * w1) > 1e-12 THEN (w2 * r0 - w1 * r1) / (w0 * w2 - w1 * w1) ELSE 0 END AS a,
-  b + CASE WHEN abs(w0 * w2 - w1 * w1) > 1e-12 THEN (w0 * r1 - w1 * r0) / (w0 * w2 - w1 * w1) ELSE 0 END AS b FROM (
- SELECT {keys}, a, b, SUM(np - n * m) AS r0, SUM((np - n * m) * x) AS r1, SUM(n * m * (1 - m)) AS w0,
-  SUM(n * m * (1 - m) * x) AS w1, SUM(n * m * (1 - m) * x * x) AS w2 FROM (
-  SELECT {f_keys}, a, b, c.x, c.np, c.n, 1 / (1 + exp(-(a + b * c.x))) AS m FROM {name}_x c JOIN {name}_{i} f ON {on}) t
- GROUP BY {keys}, a, b) u)"""
-        )
-    return ",\n".join(ctes)
-
-
-CURVES_SQL = f"""{MELTED},
+    return f"""{name}_x AS (SELECT {keys}, ln(pred_probs) AS x, SUM(labels) AS np, COUNT(*) AS n FROM melted WHERE pred_probs > 0 GROUP BY ALL),
+{name}_steps AS (
+ SELECT {keys}, 0.0E0 AS a, 0.0E0 AS b, 1.0E0 AS step, 0 AS i FROM melted GROUP BY {keys} HAVING SUM(labels) > 0
+ UNION ALL
+ SELECT {keys}, a + (w2 * r0 - w1 * r1) / d, b + (w0 * r1 - w1 * r0) / d,
+  greatest(abs((w2 * r0 - w1 * r1) / d), abs((w0 * r1 - w1 * r0) / d)), i + 1 FROM (
+  SELECT {keys}, a, b, i, w0, w1, w2, r0, r1, w0 * w2 - w1 * w1 AS d FROM (
+   SELECT {keys}, a, b, i, SUM(np - n * m) AS r0, SUM((np - n * m) * x) AS r1, SUM(n * m * (1 - m)) AS w0,
+    SUM(n * m * (1 - m) * x) AS w1, SUM(n * m * (1 - m) * x * x) AS w2 FROM (
+    SELECT {f_keys}, a, b, i, c.x, c.np, c.n, 1 / (1 + exp(-(a + b * c.x))) AS m
+    FROM {name}_x c JOIN {name}_steps f ON {on} WHERE f.step > 1e-11) t
+   GROUP BY {keys}, a, b, i) s) u WHERE d > 1e-12 * w0 * w2),
+{name}_fit AS (SELECT {keys}, arg_max(a, i) AS a, arg_max(b, i) AS b FROM {name}_steps GROUP BY {keys})"""
+
+
+CURVES_SQL = f"""{MELTED.replace('WITH', 'WITH RECURSIVE', 1)},
 {newton_sql('own', _KG)},
 {newton_sql('every', _K)},
 curves AS (
  SELECT m.phase, m.task, m.attribute, m."group", pred_probs, labels,
   1 / (1 + exp(-(o.a + o.b * ln(pred_probs)))) AS density_conditional_y1,
   1 / (1 + exp(-(e.a + e.b * ln(pred_probs)))) AS density_conditional_y1_overall
- FROM (SELECT * FROM melted WHERE pred_probs > 0) m JOIN own_{cal.STEPS} o USING ({_KG}) JOIN every_{cal.STEPS} e USING ({_K}))"""
+ FROM (SELECT * FROM melted WHERE pred_probs > 0) m JOIN own_fit o USING ({_KG}) JOIN every_fit e USING ({_K}))"""
 
 _LOGP = f"""{MELTED},
 modes AS (SELECT * FROM (VALUES ('unconditional', 0), ('unconditional', 1), ('conditional', 0), ('conditional', 1),

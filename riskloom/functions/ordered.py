@@ -33,9 +33,10 @@ def dense_index(
     The keys are stored once, as they are read for the sizes and for the rows.
     Slices are the first four hex digits of the digest, hence uniform; the table
     of slice offsets has at most 65,536 rows, which bounds both its one-partition
-    window and its broadcast. ``count_name`` adds n as a column.
+    window and its broadcast. ``count_name`` adds n as a column. A null key is no key:
+    its row is left out before anything is counted, so ids are 0..n-1 without a gap.
     """
-    hashed = materialize(df, "keys").withColumn("_d", digest(key, seed=seed)).withColumn(
+    hashed = materialize(df.where(F.col(key).isNotNull()), "keys").withColumn("_d", digest(key, seed=seed)).withColumn(
         "_slice", F.substring("_d", 1, HEX_DIGITS)
     )
     sizes = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))

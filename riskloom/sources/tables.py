@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,12 +109,36 @@ def csv_to_parquet(
     schema: StructType | str | None = None,
     overwrite: bool = False,
 ) -> None:
-    """Convert a tree of CSV files to Parquet, keeping its directories as partitions
-    (``key=value`` folders) and sorting each file by the row id."""
+    """Convert every CSV file below ``source`` to Parquet, sorting each part by the row id.
+
+    A tree of ``key=value`` folders keeps its keys as partitions. Where any file lies
+    in a folder of another kind, at whatever depth, all files are read by a recursive
+    listing and the folder below ``source`` (empty for the top, as in the file's URI)
+    becomes the partition column ``folder``. A tree without a file is an error.
+    """
+    root = source.rstrip("/")
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .load(root)
+        .select(_folder_below(root, F.col("path")).alias("folder"))
+    )
+    some = files.first()
+    if some is None:
+        raise ValueError(f"no CSV file below {source}")
+    plain = F.exists(F.split("folder", "/"), lambda part: (part != "") & ~part.contains("="))
     reader = spark.read.option("header", "true")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    df = reader.csv(source)
-    folders = [c for c in df.columns if c in _partition_columns(df)]
+    if files.where(plain).isEmpty():
+        df = reader.csv(root)
+        keys = {part.split("=", 1)[0] for part in some["folder"].split("/") if part}
+        folders = [c for c in df.columns if c in keys]
+    else:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+        path = F.col("_metadata.file_path")
+        df = reader.csv(root).withColumn("folder", _folder_below(quote(root, safe="/:"), path))
+        folders = ["folder"]
     writer = df.sortWithinPartitions(*folders, row_id_field).write.mode(
         "overwrite" if overwrite else "errorifexists"
     )
@@ -121,9 +147,8 @@ def csv_to_parquet(
     writer.parquet(target)
 
 
-def _partition_columns(df: DataFrame) -> set[str]:
-    """Folder keys of a file-based frame, read off the path of one of its files."""
-    files = df.inputFiles()
-    if not files:
-        raise ValueError("no input files")
-    return {part.split("=", 1)[0] for part in files[0].split("/")[:-1] if "=" in part}
+def _folder_below(root: str, path: Column) -> Column:
+    """The folder of a file relative to ``root``, without slashes at its ends."""
+    place = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root)
+    below = F.substring(path, F.locate(place + "/", path) + F.lit(len(place) + 1), F.length(path))
+    return F.regexp_replace(below, "/?[^/]*$", "")

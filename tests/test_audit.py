@@ -174,7 +174,7 @@ def newton(x, y, steps=50):
 def test_calibration(df, pdf):
     groups = df.where(F.col("group").isin("hot", "b", "no_pos") | F.col("group").isNull())
     local = pdf[pdf.group.isin(["hot", "b", "no_pos"]) | pdf.group.isna()]
-    got = cal.calibration_curves(groups, KEYS, steps=12).toPandas()
+    got = cal.calibration_curves(groups, KEYS).toPandas()
     assert set(got.group) == {"hot", "b"}
     for phase, whole in local.groupby("phase"):
         whole = whole[whole.pred_probs > 0]
@@ -270,3 +270,22 @@ def test_group_pairs(spark):
     assert pn.penalty_group_pairs(lone, "m", "positives", "overall", "everyone").first()[0] == 0
     with pytest.raises(ValueError):
         pn.penalty_group_pairs(values, "m", "positives", "nobody")
+
+
+def test_calibration_of_a_rare_outcome_converges(spark):
+    """65 positives in 60,000 rows with scores about 0.0005, which a few steps don't settle."""
+    rng = np.random.default_rng(0)
+    p = np.exp(rng.normal(-7.6, 0.8, 60_000))
+    y = np.zeros(len(p), int)
+    y[rng.choice(len(p), 65, replace=False, p=p / p.sum())] = 1
+    df = spark.createDataFrame(pd.DataFrame({"phase": "t", "pred_probs": p, "labels": y}))
+    row = cal.fit_curves(df, KEYS).first()
+    assert np.allclose((row.a, row.b), newton(np.log(p), y), rtol=1e-8, atol=1e-8) and row.converged
+
+
+def test_calibration_flags_a_separated_group(spark):
+    rows = [("t", 0.1, 0), ("t", 0.2, 0), ("t", 0.6, 1), ("t", 0.9, 1)]
+    df = spark.createDataFrame(rows, "phase string, pred_probs double, labels int")
+    assert not cal.fit_curves(df, KEYS).first().converged
+    same = spark.createDataFrame([("t", 0.5, 0), ("t", 0.5, 1)], "phase string, pred_probs double, labels int")
+    assert not cal.fit_curves(same, KEYS).first().converged

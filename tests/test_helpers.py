@@ -82,3 +82,10 @@ def test_boundary_differences_and_numbers(spark, rows):
     assert tuple(got) == (1, 1)
     text = spark.createDataFrame([(5.0,), (2.5,), (-3.0,)], "v double").select(number_text(F.col("v")))
     assert rows(text) == [("-3",), ("2.5",), ("5",)]
+
+
+def test_dense_index_leaves_null_keys_out(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "k string")
+    found = dense_index(df, "k", "i", count_name="n").collect()
+    assert sorted(r.i for r in found) == [0, 1, 2] and {r.n for r in found} == {3}
+    assert {r.k for r in found} == {"a", "b", "c"}

@@ -103,3 +103,22 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert {r[0] for r in tables["standard"].select("metric").distinct().collect()} == {"auc", "auprc", "brier", "loss_bce"}
     assert tables["one_versus_all"].count() == 20
     assert tables["calibration"].count() == 2
+
+
+@pytest.mark.parametrize("key_folder", [False, True])
+def test_csv_to_parquet_keeps_files_of_any_folder(spark, tmp_path, key_folder):
+    names = ["a/b/x.csv", "c/y.csv", "z.csv"] + ["k=1/w.csv"] * key_folder
+    for i, name in enumerate(names):
+        file = tmp_path / "csv" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"prediction_id,v\n{i},{i * 10}\n")
+    io.csv_to_parquet(spark, str(tmp_path / "csv"), str(tmp_path / "pq"))
+    found = spark.read.parquet(str(tmp_path / "pq")).collect()
+    assert {(r.prediction_id, r.v) for r in found} == {(i, i * 10) for i in range(len(names))}
+    assert {r.prediction_id: r.folder or "" for r in found} == {i: n.rpartition("/")[0] for i, n in enumerate(names)}
+
+
+def test_csv_to_parquet_needs_a_file(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    with pytest.raises(ValueError):
+        io.csv_to_parquet(spark, str(tmp_path / "csv"), str(tmp_path / "pq"))
