@@ -140,7 +140,9 @@ def _survivors(table: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 
 def _adaptive(sets: DataFrame, join: Join) -> DataFrame:
-    """``token, node, n, need`` for the prefix each set picks, in order of frequency.
+    """``token, node, n, need, mean`` for the prefix each set picks, in order of frequency.
+
+    ``mean`` is the overlap with all other sets together, over n: the more, the more central the set.
 
     Shingles of one set only come first in the order and take room in the prefix,
     but are no postings.
@@ -170,13 +172,15 @@ def _adaptive(sets: DataFrame, join: Join) -> DataFrame:
                 cost = np.where(fits, read + COMPARE * n * read / level, np.inf)
                 best = int(np.argmin(cost))
                 take = int(inside[best])
-                out.append((token[:take], node.as_py(), n, int(level[best])))
+                out.append((token[:take], node.as_py(), n, int(level[best]), float((df - 1).sum() / n)))
             sizes = np.array([len(o[0]) for o in out], np.int64)
             columns = [np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)]
             columns += [np.repeat(np.array([o[i] for o in out], np.int64), sizes) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "need"])
+            columns.append(np.repeat(np.array([o[4] for o in out], float), sizes))
+            names = ["token", "node", "n", "need", "mean"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return rows.mapInArrow(run, "token bigint, node bigint, n bigint, need bigint")
+    return rows.mapInArrow(run, "token bigint, node bigint, n bigint, need bigint, mean double")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -235,8 +239,10 @@ def _link(sets: DataFrame, join: Join) -> DataFrame:
         if turn and (left <= PAIRS_PER_POSTING * postings or left > before / 2):
             break
         before = left
+        # A central set links with most of its group; later rounds draw others, the central ones more often.
+        draw = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << 20)) + 1 if turn else F.lit(1)
         pivot = open_.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")).alias("p")
+            F.max(F.struct((F.col("mean") * draw).alias("h"), "node", "n", "component")).alias("p")
         )
         met = (
             open_.join(pivot, "token")
