@@ -4,7 +4,8 @@ A document is its set of word shingles, as 64-bit hashes. Under any common order
 of shingles, two sets that link share at least l shingles within their prefixes of
 ``n - need(n) + l`` shingles, where ``need(n)`` is the least overlap a set of n
 shingles can link with. The prefix and l may differ from set to set; a pair then
-needs the smaller of its two l.
+needs the smaller of its two l, and more by as much as its own least overlap,
+which follows from both sizes, exceeds ``need(n)``.
 
 1. Equal sets become one class, so copies cost one row each.
 2. Screen, in hash order: l grows with the set (a twentieth of it). A class goes on
@@ -13,7 +14,7 @@ needs the smaller of its two l.
    (postings read, and sets compared for the candidates these can make) is least:
    the longer the prefix, the more shared shingles it asks for.
 4. Each class first meets one partner, the one it shares most with among the pivots
-   of its shingles. What this links is contracted, and only pairs of different
+   of its shingles: their most central sets, which most of a group links with. What this links is contracted, and only pairs of different
    components are then formed and verified, so a large group of near copies costs
    its size and not its square. More pivot rounds follow while the pairs left are
    many and each round at least halves them. The last round forms every pair left.
@@ -257,13 +258,18 @@ def _link(sets: DataFrame, join: Join) -> DataFrame:
         turn += 1
     x = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "need", "component")])
     y = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "need", "component")])
+    # Sets of sizes n and m link if they share p (n + m) / (100 + p) shingles. Of two prefixes take the one that
+    # ends first: all the sets share but at most need(n) - l shingles lies in both prefixes.
+    wanted = F.least(*[F.col(f"need_{s}") - F.ceil(F.col(f"n_{s}") * join.percent / 100) for s in "ab"]) + F.ceil(
+        (F.col("n_a") + F.col("n_b")) * join.percent / (100 + join.percent)
+    )
     pairs = (
         x.join(y, "token")
         .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
         .where(_sizes_fit(F.col("n_a"), F.col("n_b"), join))
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("need_a", "need_b")).alias("need"))
-        .where("k >= need")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(wanted).alias("wanted"))
+        .where("k >= wanted")
     )
     links = stored(_verify(stored(pairs.select("a", "b"), "pairs"), sets, join), "links")
     return labels if links.isEmpty() else _contract(labels, links)
