@@ -342,6 +342,8 @@ def ova_report(
 ) -> DataFrame:
     """One-versus-all metrics of every group as ``keys..., group, metric, performance``."""
     keys = present_keys(df, keys)
+    if not keys:
+        return ova_report(df.withColumn("_all", F.lit(1)), ["_all"], metrics).drop("_all")
     names = [m for m in (OVA_METRICS if metrics is None else metrics) if m in OVA_METRICS]
     counts = with_slices(group_counts(df, keys), [*keys, "group"], "p")
     on = [*keys, "group"]

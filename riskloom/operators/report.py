@@ -152,7 +152,8 @@ def compare_baseline_fair(
     """Baseline and penalised results side by side on all shared columns.
 
     A full outer join with ``side`` ('both', 'left_only', 'right_only'), then the
-    settings of each configuration. Use :func:`one_sided` to check coverage.
+    settings of each configuration, of which each may have one row only (checked on
+    the small settings table). Use :func:`one_sided` to check coverage.
     """
     left = baseline.drop("config_filename")
     shared = [c for c in left.columns if c in fair.columns]
@@ -166,6 +167,8 @@ def compare_baseline_fair(
         .drop("_l", "_r")
     )
     on = [c for c in configs.columns if c in joined.columns]
+    if not configs.groupBy(*on).count().where("count > 1").isEmpty():
+        raise ValueError(f"a configuration has more than one row of settings; the key is {on}")
     result = joined.join(configs, on)
     return result.where(F.col("phase") == phase) if phase else result
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import metrics
 from riskloom.operators import report as rp
 
 
@@ -101,3 +102,18 @@ def test_plot_names_and_hyperparameters(spark, rows):
         ("Batch Size", "8", "9"),
         ("Learning Rate", "0.1", "0.2"),
     ]
+
+
+def test_comparison_refuses_settings_with_two_rows_of_a_configuration(spark):
+    scores = spark.createDataFrame([("a", "test", 1.0)], "config string, phase string, brier double")
+    settings = spark.createDataFrame([("a", 1), ("a", 2)], "config string, rate int")
+    with pytest.raises(ValueError, match="more than one row"):
+        rp.compare_baseline_fair(scores, scores, settings)
+
+
+def test_one_versus_all_report_without_keys_equals_one_key(spark, rows):
+    data = [("k", g, i % 2, (i * 7 % 10) / 10) for i, g in enumerate("aabbabababbaab")]
+    df = spark.createDataFrame(data, "task string, group string, labels int, pred_probs double")
+    keyed = metrics.ova_report(df, ["task"]).drop("task")
+    got = metrics.ova_report(df, [])
+    assert got.columns == keyed.columns and rows(got) == rows(keyed) and got.count() > 0
