@@ -61,6 +61,14 @@ def trigrams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return keys // buckets, keys % buckets, counts
 
 
+def ascii_lettered(texts: pa.Array) -> np.ndarray:
+    """Whether each text has a letter of ASCII."""
+    data, offsets = arrays.text_bytes(texts)
+    letter = ~arrays.NO_LETTER[data] & (data < 128)
+    before = np.concatenate([[0], np.cumsum(letter)])
+    return before[offsets[1:]] > before[offsets[:-1]]
+
+
 def learn(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
     """The languages in order of their code, and the log-probability of each bucket (language x bucket)."""
     usable = docs.where(
@@ -156,14 +164,13 @@ def identify(texts: pa.Array, names: list[str], log_p: np.ndarray, settings: Set
         posterior = np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)
         at = np.arange(rows)
         score = np.where(has, np.where(size > 1, chosen[at, label], posterior[at, label]), 0.0)
-    # Bytes beyond ASCII may be no letters: ask Python where a text has no others.
-    lettered = np.zeros(rows, bool)
-    lettered[row] = True
-    for i in np.flatnonzero(lettered):
-        if total[i] < 64 if languages else False:
-            lettered[i] = any(c.isalpha() for c in texts[int(i)].as_py())
+    # Bytes beyond ASCII may be no letters: ask Python where a text has no ASCII letter.
+    lettered = ascii_lettered(texts)
+    for i in np.setdiff1d(row, np.flatnonzero(lettered)):
+        lettered[i] = any(c.isalpha() for c in texts[int(i)].as_py())
     label[~lettered] = -1
     score[~lettered] = 0
+    size[~lettered] = 0
     return [names[k] if k >= 0 else UNDETERMINED for k in label], score, size
 
 

@@ -372,6 +372,18 @@ def test_languages_are_told_apart(spark):
     assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in (201, 202, 203))
 
 
+def test_texts_without_a_letter_are_undetermined_at_any_length(spark):
+    words = {"aa": "kalo mira loka", "bb": "the owing show"}
+    rows = [(i, " ".join([words[lang]] * 20), lang) for i in range(40) for lang in [list(words)[i % 2]]]
+    odd = ["\U0001f600" * 100, "\u2014" * 100, "\u3002 " * 50, "\u2500\u2502" * 60, "\u0663" * 90, "12 " * 90]
+    lettered = ["\u2014" * 100 + "\u044f", "\u4e2d" * 40, "\U0001f600" * 100 + "k"]
+    rows += [(100 + i, text, None) for i, text in enumerate(odd + lettered)]
+    found = {r["doc_id"]: r for r in language_id.language_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    for i in range(len(odd)):
+        assert tuple(found[100 + i])[2:] == ("und", 0, 0)
+    assert all(found[100 + len(odd) + i]["lang_pred"] in words for i in range(len(lettered)))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <div id="header"><a href=/>Home</a></div><nav><ul><li><a href=/a>a</a></ul></nav>
 <div class="cookie-notice">We use cookies to make this the best of all the sites that you have been to in your time.</div>
