@@ -22,17 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import arrays, learning
-from riskloom.llm.tables import small_batches, stored
+from riskloom.llm.tables import small_batches
 
 UNDETERMINED = "und"
+HASH_BITS = 40
+HASHES = 1 << HASH_BITS
+#: Languages up to which a block of texts has the usual size; with more it shrinks, as the work space is texts x languages.
+USUAL_LANGUAGES = 200
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the documents learnt from, ``languages`` the languages (the most frequent ones)."""
+    """``rows`` bounds the documents learnt from of each language: all of a language with no more, else about so many."""
 
     rows: int = 20_000
-    languages: int = 200
     buckets: int = 1 << 15
     smoothing: float = 0.5
     tolerance: float = 1e-4
@@ -77,12 +80,17 @@ def learn(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
         & F.col("doc_id").isNotNull()
         & ~learning.held_out(F.col("doc_id"), settings.folds, settings.remainder)
     )
-    ids = usable.select("doc_id", F.col("lang").cast("string")).distinct()
-    picked = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(settings.rows), "picked")
-    top = picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    names = sorted(r["lang"] for r in top)
+    usable = usable.select("doc_id", "text", F.col("lang").cast("string"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    names = sorted(sizes)
+    if not names:
+        return names, np.zeros((0, settings.buckets))
     place = {name: i for i, name in enumerate(names)}
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked.where(F.col("lang").isin(names))), "doc_id")
+    # A language with more rows gives those below a bound on the hash of their id: no order, no hot task.
+    limits = [(name, min(HASHES, settings.rows * HASHES // n)) for name, n in sizes.items()]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit bigint"))
+    few = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - HASH_BITS) < F.col("_limit")
+    texts = usable.join(limits, "lang").where(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +102,10 @@ def learn(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], names=["key", "n"])
 
     counts = np.full((len(names), settings.buckets), settings.smoothing)
-    if names:
-        sums = texts.select("text", "lang").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        found = sums.toPandas()
-        counts.reshape(-1)[found["key"].to_numpy(np.int64)] += found["n"].to_numpy(float)
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True)) if names else counts
+    sums = texts.select("text", "lang").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = sums.toPandas()
+    counts.reshape(-1)[found["key"].to_numpy(np.int64)] += found["n"].to_numpy(float)
+    return names, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def mixture(
@@ -182,8 +189,9 @@ def language_report(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p = shared.value
+        limit = arrays.BLOCK_BYTES * USUAL_LANGUAGES // max(USUAL_LANGUAGES, len(names))
         for batch in batches:
-            for low, high in arrays.blocks(batch.column("text")):
+            for low, high in arrays.blocks(batch.column("text"), limit):
                 part = batch.slice(low, high - low)
                 label, score, size = identify(part.column("text"), names, log_p, settings)
                 yield pa.RecordBatch.from_arrays(

@@ -384,6 +384,23 @@ def test_texts_without_a_letter_are_undetermined_at_any_length(spark):
     assert all(found[100 + len(odd) + i]["lang_pred"] in words for i in range(len(lettered)))
 
 
+def test_rare_and_many_languages_are_learnt_beside_a_hot_one(spark):
+    """The bound holds per language, and no language is left out for their number."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{k:03}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for k in range(230)}
+    hot = [(i, " ".join(rng.choice(words["l000"], 12)), "l000") for i in range(2000)]
+    rare = [(10_000 + 8 * k + j, " ".join(rng.choice(words[lang], 12)), lang) for k, lang in enumerate(words) for j in range(8)]
+    docs = spark.createDataFrame(hot + rare, "doc_id bigint, text string, lang string").repartition(3)
+    names, log_p = language_id.learn(docs, language_id.Settings(rows=20))
+    assert names == sorted(words) and (log_p.max(axis=1) > log_p.min(axis=1)).all()
+    total = Counter()
+    found, _, _ = language_id.identify(pa.array([r[1] for r in rare]), names, log_p, language_id.Settings())
+    for (_, _, lang), label in zip(rare, found):
+        total[lang] += lang == label
+    assert len(total) == 230 and min(total.values()) == 8
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <div id="header"><a href=/>Home</a></div><nav><ul><li><a href=/a>a</a></ul></nav>
 <div class="cookie-notice">We use cookies to make this the best of all the sites that you have been to in your time.</div>
