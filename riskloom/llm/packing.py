@@ -4,8 +4,9 @@ A configuration is a multiset of piece lengths that fits one sequence. The linea
 program over the length histogram (how often to use each configuration so that
 every length is covered) is solved by multiplicative weights: each length has a
 price, a knapsack dynamic program finds the configuration of the highest price,
-and covering a length lowers its price. The fractional solution is rounded down
-and what is left of the histogram is packed best-fit.
+and covering a length lowers its price. The fractional solution is rounded down,
+full configurations and others alike, and what is left of the histogram is packed
+best-fit.
 
 The histogram has at most ``capacity`` entries whatever the corpus, so this part
 is small and runs on the driver; all passes over documents, the numbering of
@@ -240,15 +241,12 @@ def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.
     return worth, choice
 
 
-def trace(choice: np.ndarray, lengths: np.ndarray, c: int) -> Counter:
-    """The configuration behind ``choice[c]``, as places in ``lengths``."""
+def trace(choice: np.ndarray, used: np.ndarray, lengths: np.ndarray, c: int) -> Counter:
+    """The configuration behind ``choice[c]``, as places in ``lengths``; ``used`` has the capacity it fills."""
     picked: Counter = Counter()
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            picked[int(choice[c])] += 1
-            c -= int(lengths[choice[c]])
+    while (c := int(used[c])) > 0:
+        picked[int(choice[c])] += 1
+        c -= int(lengths[choice[c]])
     return picked
 
 
@@ -260,65 +258,95 @@ class Solution:
     plan: list[tuple[Counter, int]]
     bound: float
 
+    def sequences(self) -> int:
+        return sum(number for _, number in self.plan)
 
-def solve(histogram: dict[int, int], capacity: int, epsilon: float = 0.25) -> Solution:
-    """Covering by multiplicative weights, rounding, and best-fit for the rest.
 
-    A round prices every configuration by one knapsack table and uses all those
-    "best with this length in it" that come within ``epsilon`` of the best, each
-    until its scarcest length gained a share ``epsilon``. Lengths that are covered
-    leave. The full configurations are rounded down to whole sequences.
-    """
+def solve(histogram: dict[int, int], capacity: int, gap: float = 0.001, finest: float = 1 / 64) -> Solution:
+    """The best of some solutions with a smaller and smaller epsilon, until one is within ``gap`` and one
+    sequence of the bound, halving epsilon saves no more than ``gap``, or epsilon is at its ``finest``."""
     lengths = np.array(sorted(n for n, k in histogram.items() if k), np.int64)
     if not len(lengths):
         return Solution([], 0.0)
     count = np.array([histogram[int(n)] for n in lengths], float)
+    # Two prices at which no configuration is worth more than 1: the share of a sequence, and one for more than a half.
+    price, halves = lengths / capacity, (np.sign(2 * lengths - capacity) + 1) / 2
+    best, bound, epsilon = None, float((halves * count).sum()), 0.25
+    if bound > float((price * count).sum()):
+        price = price + halves
+    while True:
+        found = cover(histogram, lengths, price, capacity, epsilon)
+        bound = max(bound, found.bound)
+        better = best is None or found.sequences() < (1 - gap) * best.sequences()
+        if best is None or found.sequences() < best.sequences():
+            best = found
+        if not better or epsilon <= finest or best.sequences() <= bound * (1 + gap) + 1:
+            return Solution(best.plan, bound)
+        epsilon /= 2
+
+
+def cover(histogram: dict[int, int], lengths: np.ndarray, price: np.ndarray, capacity: int, epsilon: float) -> Solution:
+    """Covering by multiplicative weights, rounding, and best-fit for the rest.
+
+    A length is worth its ``price``, times a weight that falls exponentially
+    until it is covered. A round prices every configuration by one
+    knapsack table and uses all those "best with this length in it" that come
+    within ``epsilon`` of the best, each until its scarcest length gained a share
+    ``epsilon``. Lengths that are covered leave. All configurations, full or not,
+    are rounded down to whole sequences. What is left of the histogram goes
+    best-fit into the space they leave and into further sequences.
+    """
+    count = np.array([histogram[int(n)] for n in lengths], float)
     covered = np.zeros(len(lengths))
-    price = lengths / capacity
     used: dict[tuple, float] = {}
     bound = 0.0
     while (covered < 1).any():
         live = np.flatnonzero(covered < 1)
-        sizes, prices = lengths[live], price[live]
+        sizes = lengths[live]
+        prices = price[live] * np.exp((covered[live].min() - covered[live]) / epsilon)
         worth, choice = knapsack(prices, sizes, capacity)
+        filled = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
         # Prices under which no configuration is worth more than 1 bound the program from below.
         bound = max(bound, float((prices * count[live]).sum()) / worth[capacity])
         values = prices + worth[capacity - sizes]
+        room = np.minimum(epsilon, 1 - covered[live])
         gained = np.zeros(len(live))
         for first in np.argsort(-values, kind="stable"):
             if values[first] < (1 - epsilon) * worth[capacity]:
                 break
-            picked = trace(choice, sizes, int(capacity - sizes[first]))
+            if gained[first] >= room[first]:
+                continue
+            picked = trace(choice, filled, sizes, int(capacity - sizes[first]))
             picked[int(first)] += 1
             at = np.fromiter(picked, np.int64, len(picked))
-            if (gained[at] >= epsilon).any():
+            if (gained[at] >= room[at]).any():
                 continue
             times = np.fromiter(picked.values(), float, len(picked))
-            share = epsilon - gained[at]
-            amount = float((share * count[live[at]] / times).min())
+            amount = float(((room[at] - gained[at]) * count[live[at]] / times).min())
             key = tuple(sorted((int(sizes[i]), k) for i, k in picked.items()))
             used[key] = used.get(key, 0.0) + amount
             gained[at] += amount * times / count[live[at]]
         covered[live] += gained
-        # A length that needs the last of its share is done: its rest goes to best-fit.
-        covered[covered > 1 - epsilon / 2] = 1
-        price[live] *= np.exp(-epsilon * gained / epsilon)
+        covered[covered > 1 - 1e-9] = 1
     left = {int(n): int(histogram[int(n)]) for n in lengths}
     plan: list[tuple[Counter, int]] = []
-    # Full configurations first: they waste nothing, whatever the rest needs.
+    # The fullest first.
     for key, amount in sorted(used.items(), key=lambda x: (-sum(n * k for n, k in x[0]), -x[1], x[0])):
-        times = min(int(amount), *[left[n] // k for n, k in key])
-        if times and sum(n * k for n, k in key) == capacity:
+        times = min(int(amount + 1e-6), *[left[n] // k for n, k in key])
+        if times:
             plan.append((Counter(dict(key)), times))
             for n, k in key:
                 left[n] -= k * times
-    plan += best_fit(left, capacity)
-    return Solution(plan, bound)
+    return Solution(best_fit(left, capacity, plan), bound)
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """Best-fit decreasing on counts: equal sequences are one entry with a number."""
+def best_fit(
+    histogram: dict[int, int], capacity: int, begun: list[tuple[Counter, int]] | None = None
+) -> list[tuple[Counter, int]]:
+    """Best-fit decreasing on counts: equal sequences are one entry with a number. Sequences ``begun`` are filled up."""
     open_: dict[int, list[tuple[Counter, int]]] = {}
+    for content, number in begun or []:
+        open_.setdefault(capacity - sum(n * k for n, k in content.items()), []).append((content, number))
     for n in sorted((n for n, k in histogram.items() if k), reverse=True):
         left = histogram[n]
         while left:

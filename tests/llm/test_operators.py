@@ -294,6 +294,25 @@ def test_program_covers_the_histogram_near_its_bound():
     assert packing.solve({}, 200).plan == []
 
 
+@pytest.mark.parametrize(
+    "histogram,optimum",
+    [
+        ({1033: 6000, 531: 6000, 521: 6000, 491: 12000}, 9000),
+        ({683: 3001}, 1501),
+    ],
+)
+def test_program_keeps_configurations_that_are_not_full(histogram, optimum):
+    """No combination of these lengths fills 2048 tokens; best-fit alone takes 11,000 for the first."""
+    solution = packing.solve(histogram, 2048)
+    got = Counter()
+    for content, times in solution.plan:
+        assert sum(n * k for n, k in content.items()) <= 2048
+        for n, k in content.items():
+            got[n] += k * times
+    assert got == histogram
+    assert solution.bound - 1e-6 <= optimum <= solution.sequences() <= optimum * 1.002 + 1
+
+
 def brute_segments(scores):
     """All maximal scoring segments by their definition: the best segment, then either side of it."""
     if not len(scores) or scores.max() <= 0:
