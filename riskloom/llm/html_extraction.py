@@ -4,8 +4,10 @@ A page is cut into blocks at block-level tags. The first pass decides each block
 itself from its length, the share of its characters inside links and the share of
 its words that are stop words, and from what encloses it: blocks inside menus,
 headers, footers, sidebars, notices, adverts, forms and comments are out. Short and
-middling blocks stay undecided; in the second pass they take the label of the
-nearest decided neighbours on either side, within the same article if there is one.
+middling blocks and those with few stop words stay undecided; in the second pass
+they take the label of the nearest decided neighbours on either side, within the
+same article if there is one. The stop words are those of seven western languages:
+on pages where they hardly occur, length and links decide alone.
 
 Defined cases: null and empty pages give an empty text; unclosed tags end with the
 page or with the block that encloses them; an empty table gives an empty result;
@@ -69,6 +71,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: Kana, ideographs and Hangul.
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]+")
 
 
 @dataclass(frozen=True)
@@ -186,8 +190,21 @@ def _clean(parts: list[str]) -> str:
     return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
-def classify(text: str, link_text: str, block: Block, rules: Rules) -> bool | None:
-    """First pass: whether the block is main text; None where it can't tell alone."""
+def stop_share(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def reach(text: str) -> int:
+    """Length in letters of an alphabet; a character that stands for a syllable or a word counts as three."""
+    return len(text) + 2 * sum(map(len, WIDE.findall(text)))
+
+
+def classify(text: str, link_text: str, block: Block, rules: Rules, listed: bool = True) -> bool | None:
+    """First pass: whether the block is main text; None where it can't tell alone.
+
+    ``listed`` says whether the stop words are those of the page's language."""
     if block.out:
         return False
     if "\xa9" in text[:2] and not block.article:
@@ -195,26 +212,39 @@ def classify(text: str, link_text: str, block: Block, rules: Rules) -> bool | No
     density = len(link_text) / len(text)
     if density > rules.max_link_density:
         return False
-    if len(text) < rules.short:
+    length = reach(text)
+    if length < rules.short:
         return None
-    words = WORDS.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not listed:
+        return True if length > rules.long or block.article else None
+    stops, words = stop_share(text)
+    stop = stops / max(1, words)
     if stop >= rules.high_stop:
-        return True if len(text) > rules.long or block.article else None
+        return True if length > rules.long or block.article else None
     if stop >= rules.low_stop:
-        return True if len(text) > rules.long and block.article else None
-    return None if block.article else False
+        return True if length > rules.long and block.article else None
+    # Code, tables, lists and quotations in another language have few stop words too.
+    return None
+
+
+def _listed(found: list[tuple[str, str, Block]], rules: Rules) -> bool:
+    """Whether the stop words occur in what can be main text of the page as in the languages they are from."""
+    stops = words = 0
+    for text, link_text, block in found:
+        if not block.out and len(link_text) <= rules.max_link_density * len(text):
+            more = stop_share(text)
+            stops, words = stops + more[0], words + more[1]
+    return stops >= rules.low_stop * words
 
 
 def extract(page: str | None, rules: Rules = Rules()) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     if not page:
         return ""
-    kept: list[tuple[str, Block, bool | None]] = []
-    for block in blocks(page):
-        text = _clean(block.parts)
-        if text:
-            kept.append((text, block, classify(text, _clean(block.link_parts), block, rules)))
+    found = [(_clean(b.parts), _clean(b.link_parts), b) for b in blocks(page)]
+    found = [x for x in found if x[0]]
+    listed = _listed(found, rules)
+    kept = [(text, block, classify(text, links, block, rules, listed)) for text, links, block in found]
     # Where the page marks an article, only that can be main text.
     marked = any(b.article and not b.out for _, b, _ in kept)
     first = [False if marked and not b.article else label for _, b, label in kept]

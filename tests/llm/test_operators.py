@@ -444,6 +444,32 @@ def test_extraction_of_odd_pages(page, text):
     assert html_extraction.extract(page) == text
 
 
+FOREIGN = {
+    "ru": "Вчера вечером жители города собрались на площади, чтобы обсудить строительство нового моста через реку и дорогу к нему. ",
+    "zh": "昨天晚上，市民们聚集在广场上，讨论在河上修建新桥的计划，并听取了工程师们的意见。",
+    "ar": "اجتمع سكان المدينة مساء أمس في الساحة لمناقشة بناء جسر جديد فوق النهر والطريق المؤدي إليه من الشمال. ",
+    "tr": "Dün akşam şehir sakinleri nehrin üzerine yapılacak yeni köprüyü konuşmak için meydanda toplandı ve mühendisleri dinledi. ",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_pages_of_other_languages_are_kept(lang, tag):
+    one, two = (FOREIGN[lang] * 3).strip(), (FOREIGN[lang] * 2).strip()
+    links = "".join(f"<a href=/{k}>{FOREIGN[lang]}</a> " for k in range(3))
+    page = f"<body><nav>{links}</nav><{tag}><p>{one}</p><p>{FOREIGN[lang][:20]}</p><p>{two}</p></{tag}><div>{links}</div><footer>{one}</footer></body>"
+    assert html_extraction.extract(page).split("\n\n") == [one, FOREIGN[lang][:20].strip(), two]
+
+
+def test_code_and_tables_stay_on_pages_without_an_article():
+    prose = "It was the first time that all of them had been there, and it is what they would do when the other one is in. " * 3
+    code = "for row in range(100): total[row] = left[row] * right[row] + offset[row]; print(total[row], row)"
+    items = "Copper 8.96 Iron 7.87 Lead 11.34 Nickel 8.91 Silver 10.49 Tin 7.31 Titanium 4.51 Zinc 7.14 Gold 19.3"
+    menu = "".join(f"<a href=/{k}>Products and services {k}</a> " for k in range(5))
+    page = f"<div>{menu}</div><div>{prose}</div><pre>{code}</pre><div>{prose}</div><div>{items}</div><div>{prose}</div><div>{menu}</div>"
+    assert html_extraction.extract(page).split("\n\n") == [prose.strip(), code, prose.strip(), items, prose.strip()]
+
+
 def test_words_and_windows_depend_on_the_bytes_alone():
     texts = pa.array(["a bc  a", None, "", "bc a", "a"])
     found = arrays.words(texts)
