@@ -3,12 +3,17 @@
 Every analysis is one pass over its source table: events are counted per
 (person, concept, time) before the first shuffle, joined with the cohort on the
 person, and all time bins are filled by conditional sums of a single aggregate.
-The join key is widened by a slice of the concepts, so the rows of one person
-run in several tasks.
+
+The join is an interval join. A person's time is one block unless the person has
+more than ``BLOCK_ROWS`` events; then it is cut at quantiles of the events' times, so
+blocks follow the counts. Events lie in one block, a cohort row goes to the blocks
+that its window overlaps, and the partial counts of the blocks are added up. Persons
+of one block keep the partitioning of the join for their counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,22 +21,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import as_ntz, micros_between, number_text, year_diff
-from riskloom.functions.joins import fits_broadcast, lookup_join
+from riskloom.functions.joins import code_join, fits_broadcast, lookup_join
 from riskloom.functions.ordered import Level, running, with_slices
 from riskloom.session import materialize
 from riskloom.sources.omop import union_all
 
-# Default bin edges and the bound of the all-history bin, in days or hours.
+# Default bin edges and the bounds of the all-history bins, in days and in hours.
 DAILY_BINS = (-365, -180, -90, -30, 0)
 HOURLY_BINS = (-168, -72, -24, -12, -4, 0)
 ALL_HISTORY = -36500
+ALL_HISTORY_HOURLY = -36500
 
 ROW_ID = "prediction_id"
-CONCEPT_SLICES = 8
+#: Events of a person above which the person's time is cut into blocks of about so many.
+BLOCK_ROWS = 1_000_000
 MICROS_PER_HOUR = 3_600_000_000
 EPOCH = "1970-01-01 00:00:00"
 
 
+KINDS = ("count", "nlp", "range", "quantile", "static", "age")
+
+
 @dataclass(frozen=True)
 class Analysis:
     """Where one feature family comes from.
@@ -161,7 +171,7 @@ def _events(
         terms = omop["note_nlp"].select(
             "note_id", F.col(analysis.concept).cast("bigint").alias("_concept"), "term_exists"
         )
-        terms = lookup_join(terms, standard, ["_concept"], ["note_id"], "left_semi", small=small_vocabulary)
+        terms = code_join(terms, standard, ["_concept"], ["note_id"], "left_semi", small=small_vocabulary)
         terms = terms.withColumn("_terms", F.lit(1))
         if collapse:
             # One row per distinct term of a note, so a very long note does not fill one task.
@@ -195,8 +205,8 @@ def _events(
             extra = ["value"]
             columns.append(F.col("value_as_number").cast("double").alias("value"))
             source = source.where(F.col("value_as_number").isNotNull())
-        # Standard concepts only. The vocabulary is a table of checked size.
-        source = lookup_join(
+        # Standard concepts only; of a large vocabulary those in use.
+        source = code_join(
             source.select(*columns), standard, ["_concept"], ["person_id", "at"], "left_semi", small=small_vocabulary
         )
     source = source.select("person_id", concept.alias("concept_id"), "at", *extra, weight.alias("n"))
@@ -212,22 +222,100 @@ def _index_rows(cohort: DataFrame, analysis: Analysis, row_id: str, index_date:
     )
 
 
-def _pairs(events: DataFrame, rows: DataFrame, analysis: Analysis, edges: Sequence[tuple[int, int]]) -> DataFrame:
-    """Events with the cohort rows of their person and the signed distance to the index."""
-    first, last = min(e[0] for e in edges), max(e[1] for e in edges)
-    slices = F.sequence(F.lit(0), F.lit(CONCEPT_SLICES - 1))
-    sliced = events.withColumn(
-        "_slice", F.pmod(F.xxhash64("concept_id"), F.lit(CONCEPT_SLICES)).cast("int")
+def events_per_person(omop: Mapping[str, DataFrame], analysis: Analysis) -> DataFrame:
+    """``person_id, _events``: rows of the analysis' table, an upper bound of what is counted of a person."""
+    source = omop[analysis.table].where(F.col("person_id").isNotNull())
+    rows = F.count(F.lit(1))
+    if analysis.kind == "nlp":
+        terms = omop["note_nlp"].groupBy("note_id").agg(F.count(F.lit(1)).alias("_terms"))
+        source = source.select("person_id", "note_id").join(terms, "note_id")
+        rows = F.sum("_terms")
+    return source.groupBy("person_id").agg(rows.alias("_events"))
+
+
+def time_blocks(
+    omop: Mapping[str, DataFrame], analysis: Analysis, events: DataFrame, block_rows: int = BLOCK_ROWS
+) -> DataFrame | None:
+    """``person_id, cuts`` of the persons whose time is cut, as a stored table; None if there are none.
+
+    There is a cut about every ``block_rows`` events of the person. It is a time, and
+    events of one time share a block, so it may be an approximate quantile.
+    """
+    counts = events_per_person(omop, analysis)
+    most = counts.agg(F.max("_events")).first()[0] or 0
+    if most <= block_rows:
+        return None
+    busy = materialize(counts.where(F.col("_events") > block_rows), "busy")
+    blocks = math.ceil(most / block_rows)
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cuts = (
+        lookup_join(events.select("person_id", "at"), busy, ["person_id"], ["at"])
+        .groupBy("person_id")
+        .agg(F.percentile_approx("at", shares, max(10_000, 10 * blocks)).alias("cuts"), F.first("_events").alias("_n"))
     )
-    if analysis.hourly:
-        first, last = first * MICROS_PER_HOUR, last * MICROS_PER_HOUR
+    # A person with fewer events than the busiest keeps every so many of the cuts.
+    own = F.ceil(F.col("_n") / block_rows)
+    kept = F.filter(
+        "cuts", lambda cut, i: F.floor((i + 1) * own / F.lit(blocks)) > F.floor(i * own / F.lit(blocks))
+    )
+    return materialize(cuts.select("person_id", F.array_distinct(kept).alias("cuts")), "blocks")
+
+
+def _block(position: Column) -> Column:
+    return F.size(F.filter("cuts", lambda cut: cut < position))
+
+
+def _window(analysis: Analysis, edges: Sequence[tuple[int, int]]) -> tuple[int, int]:
+    unit = MICROS_PER_HOUR if analysis.hourly else 1
+    return min(e[0] for e in edges) * unit, max(e[1] for e in edges) * unit
+
+
+def _pairs(
+    events: DataFrame,
+    rows: DataFrame,
+    analysis: Analysis,
+    edges: Sequence[tuple[int, int]],
+    on: Sequence[str] = ("person_id",),
+) -> DataFrame:
+    """Events with the cohort rows of their person and the signed distance to the index."""
     return (
-        sliced.join(rows.withColumn("_slice", F.explode(slices)), ["person_id", "_slice"])
+        events.join(rows, list(on))
         .withColumn("_off", F.col("at") - F.col("_index"))
-        .where(F.col("_off").between(first, last))
+        .where(F.col("_off").between(*_window(analysis, edges)))
     )
 
 
+def _binned(
+    omop: Mapping[str, DataFrame],
+    cohort: DataFrame,
+    analysis: Analysis,
+    edges: Sequence[tuple[int, int]],
+    row_id: str,
+    index_date: str,
+    small_vocabulary: bool | None,
+    block_rows: int,
+    *extra: str,
+) -> DataFrame:
+    """One row per cohort row, concept and ``extra`` with the count of bin i in ``_b{i}`` (null for none)."""
+    events = _events(omop, analysis, True, small_vocabulary)
+    rows = _index_rows(cohort, analysis, row_id, index_date)
+    keys = [row_id, "person_id", "index_date", "concept_id", *extra]
+    names = [f"_b{i}" for i in range(len(edges))]
+    sums = [F.sum(F.when(_inside(e, analysis), F.col("n"))).alias(b) for e, b in zip(edges, names)]
+    blocks = time_blocks(omop, analysis, events, block_rows)
+    if blocks is None:
+        return _pairs(events, rows, analysis, edges).groupBy(*keys).agg(*sums)
+    cut = blocks.select("person_id")
+    usual = lookup_join(events, cut, ["person_id"], ["at"], "left_anti")
+    whole = _pairs(usual, rows, analysis, edges).groupBy(*keys).agg(*sums)
+    first, last = _window(analysis, edges)
+    reached = F.sequence(_block(F.col("_index") + first), _block(F.col("_index") + last))
+    placed = lookup_join(events, blocks, ["person_id"], ["at"]).withColumn("_block", _block(F.col("at"))).drop("cuts")
+    copies = lookup_join(rows, blocks, ["person_id"], [row_id]).withColumn("_block", F.explode(reached)).drop("cuts")
+    parts = _pairs(placed, copies, analysis, edges, ["person_id", "_block"]).groupBy(*keys).agg(*sums)
+    return whole.unionByName(parts)
+
+
 def _inside(edge: tuple[int, int], analysis: Analysis) -> Column:
     unit = MICROS_PER_HOUR if analysis.hourly else 1
     return F.col("_off").between(edge[0] * unit, edge[1] * unit)
@@ -274,22 +362,17 @@ def count_concepts(
     index_date_field: str = "admit_date",
     limit: int | None = None,
     small_vocabulary: bool | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Counts per (row, concept, bin) of a 'count', 'nlp' or 'range' analysis.
-
-    The slice belongs to the concept, so grouping by it changes no group and lets
-    the aggregate reuse the partitioning of the join.
-    """
-    events = _events(omop, analysis, not limit, small_vocabulary)
-    rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
-    pairs = _pairs(events, rows, analysis, edges)
+    """Counts per (row, concept, bin) of a 'count', 'nlp' or 'range' analysis."""
     if limit:
+        events = _events(omop, analysis, False, small_vocabulary)
+        rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
+        pairs = _pairs(events, rows, analysis, edges)
         return _named(_limited(pairs, analysis, edges, row_id_field, int(limit)), analysis, row_id_field)
-    sums = [
-        F.sum(F.when(_inside(edge, analysis), F.col("n"))).alias(f"_b{i}")
-        for i, edge in enumerate(edges)
-    ]
-    wide = pairs.groupBy(row_id_field, "person_id", "index_date", "concept_id", "_slice").agg(*sums)
+    wide = _binned(
+        omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows
+    )
     cells = F.array(
         *[
             F.struct(F.lit(bin_name(e)).alias("time_bin"), F.col(f"_b{i}").alias("concept_count"))
@@ -335,39 +418,59 @@ def measurement_bins(
     index_date_field: str = "admit_date",
     num_bins: int = 5,
     small_vocabulary: bool | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Counts per (row, value bin, time bin); bins are quantiles per concept and time bin.
 
     Value bins are closed on both ends, so a value on an inner bound counts twice.
-    A row limit does not apply here.
+    A row limit does not apply here. What is stored is a histogram: one row per cohort
+    row, concept and value with the counts of all time bins. Summed over the cohort it
+    gives the bounds, one row per concept; and each of its rows yields only the value
+    bins that it falls in.
     """
-    events = _events(omop, analysis, True, small_vocabulary)
-    rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
     row_keys = [row_id_field, "person_id", "index_date"]
-    # Read twice, for the bounds and for the counts: the join must not run twice.
-    pairs = materialize(
-        _pairs(events, rows, analysis, edges).select(*row_keys, "concept_id", "value", "n", "_off"), "pairs"
+    cells = materialize(
+        _binned(
+            omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows, "value"
+        ),
+        "cells",
     )
-    codes = F.array(*[F.when(_inside(e, analysis), F.lit(i + 1)) for i, e in enumerate(edges)])
-    hits = pairs.select(*row_keys, "concept_id", "value", "n", F.explode(codes).alias("_bin")).where(
-        F.col("_bin").isNotNull()
+    counts = [f"_b{i}" for i in range(len(edges))]
+    per_bin = F.array(*[F.struct(F.lit(i).alias("_bin"), F.col(c).alias("n")) for i, c in enumerate(counts)])
+    histogram = (
+        cells.groupBy("concept_id", "value")
+        .agg(*[F.sum(c).alias(c) for c in counts])
+        .select("concept_id", "value", F.inline(per_bin))
+        .where(F.col("n").isNotNull())
     )
-    keys = ["concept_id", "_bin"]
-    bounds = materialize(value_bins(hits, keys, num_bins), "bounds")
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.lit(num_bins)),
-        lambda i: F.struct(
-            i.alias("k"),
-            F.element_at("bounds", i).alias("low"),
-            F.element_at("bounds", i + 1).alias("high"),
+    long_bounds = value_bins(histogram, ["concept_id", "_bin"], num_bins)
+    bounds = materialize(
+        long_bounds.groupBy("concept_id").agg(
+            *[F.max(F.when(F.col("_bin") == i, F.col("bounds"))).alias(f"_q{i}") for i in range(len(edges))]
         ),
+        "bounds",
     )
-    # One row per concept and time bin; beyond a broadcast the join is salted by row.
+
+    def piece(i: int, k: int) -> Column:
+        low, high = F.col(f"_q{i}")[k], F.col(f"_q{i}")[k + 1]
+        inside = F.col(counts[i]).isNotNull() & F.col("value").between(low, high)
+        return F.when(
+            inside,
+            F.struct(
+                F.lit(i).alias("_bin"),
+                F.lit(k + 1).alias("k"),
+                low.alias("low"),
+                high.alias("high"),
+                F.col(counts[i]).alias("n"),
+            ),
+        )
+
+    pieces = F.array_compact(F.array(*[piece(i, k) for i in range(len(edges)) for k in range(num_bins)]))
+    # One row per concept; beyond a broadcast the join is salted by row.
     binned = (
-        lookup_join(hits, bounds.select(*keys, pieces.alias("_pieces")), keys, spread=[row_id_field])
-        .select(*row_keys, *keys, "value", "n", F.inline("_pieces"))
-        .where(F.col("value").between(F.col("low"), F.col("high")))
-        .groupBy(*row_keys, *keys, "k", "low", "high")
+        lookup_join(cells, bounds, ["concept_id"], spread=[row_id_field])
+        .select(*row_keys, "concept_id", F.inline(pieces))
+        .groupBy(*row_keys, "concept_id", "_bin", "k", "low", "high")
         .agg(F.sum("n").alias("concept_count"))
     )
     label = F.concat_ws(
@@ -380,7 +483,7 @@ def measurement_bins(
     )
     names = F.array(*[F.lit(bin_name(e)) for e in edges])
     return _named(
-        binned.withColumns({"concept_id": label, "time_bin": F.element_at(names, F.col("_bin"))}),
+        binned.withColumns({"concept_id": label, "time_bin": F.element_at(names, F.col("_bin") + 1)}),
         analysis,
         row_id_field,
     )
@@ -461,6 +564,8 @@ def analyze(
     age_bin_size: int = 5,
     limit: int | None = None,
     small_vocabulary: bool | None = None,
+    all_history_bound_hourly: int = ALL_HISTORY_HOURLY,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run one analysis by its kind."""
     names = {"row_id_field": row_id_field, "index_date_field": index_date_field}
@@ -472,14 +577,21 @@ def analyze(
         time_bins_hourly if analysis.hourly else time_bins,
         include_all_history,
         inclusive_right=analysis.hourly,
-        all_history_bound=all_history_bound,
+        all_history_bound=all_history_bound_hourly if analysis.hourly else all_history_bound,
     )
     if analysis.kind == "quantile":
         return measurement_bins(
-            omop, cohort, analysis, edges, num_bins=num_bins_measurement, small_vocabulary=small_vocabulary, **names
+            omop,
+            cohort,
+            analysis,
+            edges,
+            num_bins=num_bins_measurement,
+            small_vocabulary=small_vocabulary,
+            block_rows=block_rows,
+            **names,
         )
     return count_concepts(
-        omop, cohort, analysis, edges, limit=limit, small_vocabulary=small_vocabulary, **names
+        omop, cohort, analysis, edges, limit=limit, small_vocabulary=small_vocabulary, block_rows=block_rows, **names
     )
 
 
@@ -488,14 +600,31 @@ def select_analyses(
     exclude_analysis_ids: Sequence[str] | None = None,
     analyses: Mapping[str, Analysis] | None = None,
 ) -> list[Analysis]:
-    """Analyses to run; an id that does not exist is an error."""
-    known = default_analyses() if analyses is None else analyses
+    """Analyses to run; an id that does not exist is an error.
+
+    ``analyses`` are the user's own: they are known beside the default ones, and one
+    that has the id of a default one takes its place.
+    """
+    known = default_analyses() | dict(analyses or {})
+    wrong = [a for a, analysis in known.items() if analysis.analysis_id != a or analysis.kind not in KINDS]
+    if wrong:
+        raise ValueError(f"analyses whose key is not their id or whose kind is not one of {KINDS}: {wrong}")
     chosen = list(known) if analysis_ids is None else list(analysis_ids)
-    chosen = [a for a in chosen if a not in set(exclude_analysis_ids or ())]
-    unknown = [a for a in chosen if a not in known]
+    unknown = [a for a in [*chosen, *(exclude_analysis_ids or ())] if a not in known]
     if unknown:
         raise ValueError(f"unknown analyses: {unknown}")
-    return [known[a] for a in chosen]
+    return [known[a] for a in chosen if a not in set(exclude_analysis_ids or ())]
+
+
+def _no_features(cohort: DataFrame, row_id: str) -> DataFrame:
+    """The columns of a long feature table without a row."""
+    return cohort.limit(0).select(
+        row_id,
+        "person_id",
+        F.lit(None).cast("timestamp_ntz").alias("index_date"),
+        *[F.lit("").alias(c) for c in ("concept_id", "analysis_id", "time_bin", "feature_id")],
+        F.lit(0).cast("bigint").alias("concept_count"),
+    )
 
 
 def featurize(
@@ -503,13 +632,17 @@ def featurize(
     cohort: DataFrame,
     analysis_ids: Sequence[str] | None = None,
     exclude_analysis_ids: Sequence[str] | None = None,
+    analyses: Mapping[str, Analysis] | None = None,
     **settings,
 ) -> DataFrame:
     """All chosen analyses as one long frame; concepts are text and index times zone-less.
 
-    Every analysis reads the cohort, so pass a stored table.
+    ``analyses`` adds the user's own, over any table of ``omop``. Nothing chosen gives
+    a frame without rows. Every analysis reads the cohort, so pass a stored table.
     """
-    chosen = select_analyses(analysis_ids, exclude_analysis_ids)
+    chosen = select_analyses(analysis_ids, exclude_analysis_ids, analyses)
+    if not chosen:
+        return _no_features(cohort, settings.get("row_id_field", ROW_ID))
     small = vocabulary_fits(omop) if any(a.kind not in ("static", "age") for a in chosen) else None
     frames = [
         analyze(omop, cohort, a, small_vocabulary=small, **settings).withColumns(

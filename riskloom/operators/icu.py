@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import day_diff, hour_diff
-from riskloom.functions.joins import lookup_join
+from riskloom.functions.joins import code_join, lookup_join
 from riskloom.operators.labels import band, sample_one_per_person
 
 # Intensive-care stay, discharge "patient died", oldest age kept.
@@ -130,7 +130,7 @@ def concept_rollup(
         .where(F.col("concept_id").isin(*targets))
         .select(F.col("concept_id").alias("rollup_concept_id"), F.col("concept_name").alias("rollup_concept_name"))
     )
-    lifted = lookup_join(df, ancestors, [column], spread=[row_key], how="left")
+    lifted = code_join(df, ancestors, [column], spread=[row_key], how="left")
     lifted = lifted.withColumn(
         "rollup_concept_id", F.coalesce("_ancestor", column).cast("bigint")
     ).where(F.col("rollup_concept_id").isin(*targets))
@@ -153,7 +153,7 @@ def icu_race_rollup(
         F.col("concept_id").alias("gender_concept_id"),
         F.col("concept_name").alias("gender_concept_name"),
     )
-    named = lookup_join(
+    named = code_join(
         persons.select("person_id", "gender_concept_id"), genders, ["gender_concept_id"], spread=["person_id"]
     )
     return named.join(lifted, "person_id", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.dates import year_diff
-from riskloom.functions.joins import fits_broadcast, lookup_join
+from riskloom.functions.joins import code_join, fits_broadcast
 from riskloom.functions.keys import digest, digest_id
 
 EPISODE = ["person_id", "admit_date", "discharge_date"]
@@ -125,7 +125,7 @@ def person_demographics(omop: Mapping[str, DataFrame]) -> DataFrame:
         lookup = names.select(
             F.col("concept_id").alias(f"{kind}_concept_id"), F.col("concept_name").alias(kind)
         )
-        coded = lookup_join(coded, lookup, [f"{kind}_concept_id"], spread=["person_id"], small=small)
+        coded = code_join(coded, lookup, [f"{kind}_concept_id"], spread=["person_id"], small=small)
     race_eth = (
         F.when(F.col("ethnicity") == HISPANIC, HISPANIC)
         .when(F.col("race").isin(*OTHER_RACES), "Other")

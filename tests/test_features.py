@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions import joins
 from riskloom.operators import features as ft
 from riskloom.operators import merge as mg
 
@@ -130,6 +131,100 @@ def test_limit(omop, cohort):
     assert whole.agg(F.sum("concept_count")).first()[0] == 2
 
 
+def timeline(spark, busy=3000):
+    """Nine of ten events belong to one person and one concept; two persons are usual."""
+    events = [(1, 7, stamp(-(i * 7 % 5000)), float(i % 11)) for i in range(busy)]
+    events += [(1, 6, stamp(-3 * i), 2.0) for i in range(100)] + [(1, 7, stamp(-30), 1.0)] * 50
+    events += [(p, 6 + i % 2, stamp(-i * 5 - p), float(i)) for p in (2, 3) for i in range(80)]
+    measured = spark.createDataFrame(
+        [(p, c, t.date(), t, v, 1.0, 3.0) for p, c, t, v in events],
+        "person_id bigint, measurement_concept_id bigint, measurement_date date, measurement_datetime timestamp_ntz, "
+        "value_as_number double, range_low double, range_high double",
+    )
+    concepts = spark.createDataFrame([(6, "S"), (7, "S")], "concept_id bigint, standard_concept string")
+    rows = [(100 + k, 1, stamp(-200 * k)) for k in range(12)] + [(200, 2, INDEX), (300, 3, stamp(-100)), (400, 4, INDEX)]
+    cohort = spark.createDataFrame(rows, "prediction_id bigint, person_id bigint, admit_date timestamp_ntz")
+    return {"measurement": measured.repartition(4), "concept": concepts}, cohort
+
+
+@pytest.mark.parametrize("name", ["measurement", "measurement_dt", "measurement_range_dt", "measurement_bin", "measurement_bin_dt"])
+def test_blocks_of_a_busy_person_change_no_count(spark, rows, name):
+    omop, cohort = timeline(spark)
+    analysis = ft.default_analyses()[name]
+    whole = rows(ft.analyze(omop, cohort, analysis))
+    assert whole and whole == rows(ft.analyze(omop, cohort, analysis, block_rows=100))
+    assert whole == rows(ft.analyze(omop, cohort, analysis, block_rows=7))
+
+
+def test_blocks_follow_the_counts_and_spread_a_busy_person(spark):
+    omop, cohort = timeline(spark)
+    analysis = ft.default_analyses()["measurement_dt"]
+    events = ft._events(omop, analysis)
+    assert ft.time_blocks(omop, analysis, events, 4000) is None
+    blocks = ft.time_blocks(omop, analysis, events, 200)
+    found = blocks.collect()
+    assert [r.person_id for r in found] == [1]
+    placed = events.join(blocks, "person_id").groupBy(ft._block(F.col("at")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = [r.n for r in placed.collect()]
+    # About 3,150 rows in blocks of about 200, none of which holds much more.
+    assert len(sizes) >= 12 and max(sizes) <= 400
+    plan = ft.analyze(omop, cohort, analysis, block_rows=200)._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_usual_persons_need_one_exchange_of_the_counted_events(spark):
+    """No copies of cohort rows, and the counts reuse the partitioning of the join."""
+    omop, cohort = timeline(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = ft.analyze(omop, cohort, ft.default_analyses()["measurement"])
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Collapse of events, and both sides of the join on the person.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "Generate explode" not in plan
+
+
+def test_large_vocabulary_is_reduced_to_the_codes_in_use(spark, rows, monkeypatch):
+    omop, cohort = timeline(spark, 300)
+    analysis = ft.default_analyses()["measurement"]
+    wanted = rows(ft.analyze(omop, cohort, analysis))
+    more = spark.range(10, 5000).select(F.col("id").alias("concept_id"), F.lit("S").alias("standard_concept"))
+    omop["concept"] = omop["concept"].unionByName(more)
+    monkeypatch.setattr(joins.code_join, "__defaults__", ("inner", 100, None))
+    got = ft.analyze(omop, cohort, analysis)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan
+    # Below the first aggregate of the events there is the reduced vocabulary and no shuffle.
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_concept" in physical
+    assert rows(got) == wanted
+
+
+def test_own_analyses_and_empty_choices(spark, rows, omop, cohort):
+    omop["visits"] = spark.createDataFrame([(1, 7, stamp(-48).date())] * 3, "person_id bigint, kind bigint, day date")
+    own = {"visit_kind": ft.Analysis("visit_kind", "visits", "kind", "day")}
+    got = ft.featurize(omop, cohort, ["visit_kind", "gender"], analyses=own)
+    assert ("7_bin_-30_-1_visit_kind", 3) in rows(got, "feature_id", "concept_count")
+    # An own analysis takes the place of a default one of its id.
+    mine = {"gender": ft.Analysis("gender", "visits", "kind", "day")}
+    assert {r[0] for r in rows(ft.featurize(omop, cohort, ["gender"], analyses=mine), "concept_id")} == {"7"}
+    none = ft.featurize(omop, cohort, [])
+    assert none.schema.simpleString() == got.schema.simpleString() and none.count() == 0
+    assert ft.featurize(omop, cohort, ["gender"], exclude_analysis_ids=["gender"]).count() == 0
+    with pytest.raises(ValueError, match="nope"):
+        ft.featurize(omop, cohort, exclude_analysis_ids=["nope"])
+    with pytest.raises(ValueError, match="odd"):
+        ft.select_analyses(analyses={"odd": ft.Analysis("odd", "visits", kind="median")})
+
+
+def test_hourly_history_has_its_own_bound(rows, omop, cohort):
+    hourly = ft.default_analyses()["measurement_dt"]
+    got = ft.analyze(omop, cohort, hourly, time_bins_hourly=None, all_history_bound_hourly=-10)
+    assert rows(got, "time_bin", "concept_count") == [("bin_-10_0", 1)]
+
+
 def test_featurize_unions_families(omop, cohort):
     got = ft.featurize(omop, cohort, ["measurement", "measurement_dt", "gender"])
     assert {r[0] for r in got.select("analysis_id").distinct().collect()} == {"measurement", "measurement_dt", "gender"}
