@@ -19,7 +19,9 @@ SHORT = {
     "device_exposure": "device",
     "procedure_occurrence": "procedure",
 }
-MERGED = ("condition_occurrence", "drug_exposure", "gender", "age_group")
+#: The merge takes every analysis; a selection shows the driver's choice.
+MERGED = tuple(ft.default_analyses())
+SELECTED = ("condition_occurrence", "drug_exposure", "gender", "age_group", "measurement_range")
 
 
 def query_name(analysis_id: str) -> str:
@@ -58,7 +60,7 @@ def featurize_selected(spark, sf_dir):
     return ft.featurize(
         sample_omop(spark, sf_dir),
         admissions(spark, sf_dir),
-        [*MERGED, "measurement_range", "race"],
+        [*SELECTED, "race"],
         exclude_analysis_ids=["race"],
     )
 
@@ -97,7 +99,7 @@ def sparse_rows(spark, sf_dir):
 
 def merged_parquet(spark, sf_dir):
     path = scratch_path(spark, "merged")
-    mg.write_merged(mg.merge_features([_long(spark, sf_dir)], binary=True), path)
+    mg.write_merged(mg.merge_features([_long(spark, sf_dir)], binary=True, ranged=True), path, placed=True)
     return io.read_table(spark, path)
 
 
@@ -122,7 +124,8 @@ QUERIES = {
 
 _VISIT_ROWS = """cohort AS (
  SELECT visit_occurrence_id AS prediction_id, person_id, visit_start_date, visit_start_datetime FROM visit_occurrence)"""
-_SAMPLED_ROWS = "cohort AS (SELECT *, admit_date AS visit_start_date FROM sampled)"
+_SAMPLED_ROWS = """cohort AS (
+ SELECT *, admit_date AS visit_start_date, CAST(admit_date AS TIMESTAMP) AS visit_start_datetime FROM sampled)"""
 
 
 def _bins(analysis):
@@ -252,7 +255,7 @@ _MERGE = admissions_with(MERGED, VOCAB_SQL, ROWS_SQL)
 
 ORACLE = {
     **{query_name(n): _feature_oracle(a) for n, a in ft.default_analyses().items()},
-    "featurize_selected": admissions_with([*MERGED, "measurement_range"]) + "SELECT * FROM long_features",
+    "featurize_selected": admissions_with(SELECTED) + "SELECT * FROM long_features",
     "merge_union": _MERGE + "SELECT prediction_id, person_id, feature_id, concept_count FROM long_features",
     "merge_union_binary": _MERGE
     + "SELECT prediction_id, person_id, feature_id, CAST(concept_count > 0 AS BIGINT) AS concept_count FROM long_features",

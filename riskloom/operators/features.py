@@ -233,19 +233,27 @@ def events_per_person(omop: Mapping[str, DataFrame], analysis: Analysis) -> Data
     return source.groupBy("person_id").agg(rows.alias("_events"))
 
 
+def busiest_person(omop: Mapping[str, DataFrame], analysis: Analysis) -> int:
+    """Events of the person with the most; daily and hourly analyses of a table share it."""
+    return events_per_person(omop, analysis).agg(F.max("_events")).first()[0] or 0
+
+
 def time_blocks(
-    omop: Mapping[str, DataFrame], analysis: Analysis, events: DataFrame, block_rows: int = BLOCK_ROWS
+    omop: Mapping[str, DataFrame],
+    analysis: Analysis,
+    events: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    busiest: int | None = None,
 ) -> DataFrame | None:
     """``person_id, cuts`` of the persons whose time is cut, as a stored table; None if there are none.
 
     There is a cut about every ``block_rows`` events of the person. It is a time, and
     events of one time share a block, so it may be an approximate quantile.
     """
-    counts = events_per_person(omop, analysis)
-    most = counts.agg(F.max("_events")).first()[0] or 0
+    most = busiest_person(omop, analysis) if busiest is None else busiest
     if most <= block_rows:
         return None
-    busy = materialize(counts.where(F.col("_events") > block_rows), "busy")
+    busy = materialize(events_per_person(omop, analysis).where(F.col("_events") > block_rows), "busy")
     blocks = math.ceil(most / block_rows)
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     cuts = (
@@ -285,7 +293,7 @@ def _pairs(
     )
 
 
-def _binned(
+def _joined(
     omop: Mapping[str, DataFrame],
     cohort: DataFrame,
     analysis: Analysis,
@@ -294,26 +302,23 @@ def _binned(
     index_date: str,
     small_vocabulary: bool | None,
     block_rows: int,
-    *extra: str,
-) -> DataFrame:
-    """One row per cohort row, concept and ``extra`` with the count of bin i in ``_b{i}`` (null for none)."""
+    busiest: int | None,
+) -> list[DataFrame]:
+    """The pairs of counted events and cohort rows: those of usual persons, and those of persons in blocks if any."""
     events = _events(omop, analysis, True, small_vocabulary)
     rows = _index_rows(cohort, analysis, row_id, index_date)
-    keys = [row_id, "person_id", "index_date", "concept_id", *extra]
-    names = [f"_b{i}" for i in range(len(edges))]
-    sums = [F.sum(F.when(_inside(e, analysis), F.col("n"))).alias(b) for e, b in zip(edges, names)]
-    blocks = time_blocks(omop, analysis, events, block_rows)
+    blocks = time_blocks(omop, analysis, events, block_rows, busiest)
     if blocks is None:
-        return _pairs(events, rows, analysis, edges).groupBy(*keys).agg(*sums)
-    cut = blocks.select("person_id")
-    usual = lookup_join(events, cut, ["person_id"], ["at"], "left_anti")
-    whole = _pairs(usual, rows, analysis, edges).groupBy(*keys).agg(*sums)
+        return [_pairs(events, rows, analysis, edges)]
+    usual = lookup_join(events, blocks.select("person_id"), ["person_id"], ["at"], "left_anti")
     first, last = _window(analysis, edges)
     reached = F.sequence(_block(F.col("_index") + first), _block(F.col("_index") + last))
     placed = lookup_join(events, blocks, ["person_id"], ["at"]).withColumn("_block", _block(F.col("at"))).drop("cuts")
     copies = lookup_join(rows, blocks, ["person_id"], [row_id]).withColumn("_block", F.explode(reached)).drop("cuts")
-    parts = _pairs(placed, copies, analysis, edges, ["person_id", "_block"]).groupBy(*keys).agg(*sums)
-    return whole.unionByName(parts)
+    return [
+        _pairs(usual, rows, analysis, edges),
+        _pairs(placed, copies, analysis, edges, ["person_id", "_block"]),
+    ]
 
 
 def _inside(edge: tuple[int, int], analysis: Analysis) -> Column:
@@ -363,6 +368,7 @@ def count_concepts(
     limit: int | None = None,
     small_vocabulary: bool | None = None,
     block_rows: int = BLOCK_ROWS,
+    busiest: int | None = None,
 ) -> DataFrame:
     """Counts per (row, concept, bin) of a 'count', 'nlp' or 'range' analysis."""
     if limit:
@@ -370,9 +376,13 @@ def count_concepts(
         rows = _index_rows(cohort, analysis, row_id_field, index_date_field)
         pairs = _pairs(events, rows, analysis, edges)
         return _named(_limited(pairs, analysis, edges, row_id_field, int(limit)), analysis, row_id_field)
-    wide = _binned(
-        omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows
+    keys = [row_id_field, "person_id", "index_date", "concept_id"]
+    sums = [F.sum(F.when(_inside(e, analysis), F.col("n"))).alias(f"_b{i}") for i, e in enumerate(edges)]
+    pairs = _joined(
+        omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows, busiest
     )
+    # Usual persons keep the partitioning of their join; the blocks of a person are added up by a shuffle of counts.
+    wide = union_all([p.groupBy(*keys).agg(*sums) for p in pairs])
     cells = F.array(
         *[
             F.struct(F.lit(bin_name(e)).alias("time_bin"), F.col(f"_b{i}").alias("concept_count"))
@@ -419,58 +429,55 @@ def measurement_bins(
     num_bins: int = 5,
     small_vocabulary: bool | None = None,
     block_rows: int = BLOCK_ROWS,
+    busiest: int | None = None,
 ) -> DataFrame:
     """Counts per (row, value bin, time bin); bins are quantiles per concept and time bin.
 
     Value bins are closed on both ends, so a value on an inner bound counts twice.
-    A row limit does not apply here. What is stored is a histogram: one row per cohort
-    row, concept and value with the counts of all time bins. Summed over the cohort it
-    gives the bounds, one row per concept; and each of its rows yields only the value
-    bins that it falls in.
+    A row limit does not apply here. The pairs are stored with the time bins they fall in
+    as bits of one number. A histogram of (concept, value, bits), summed map-side, gives the
+    bounds, one row per concept and time bin, and is all that is sorted; a pair is repeated
+    only for the time and value bins that hold it.
     """
     row_keys = [row_id_field, "person_id", "index_date"]
-    cells = materialize(
-        _binned(
-            omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows, "value"
+    bits = sum((F.when(_inside(e, analysis), 1 << i).otherwise(0) for i, e in enumerate(edges)), F.lit(0))
+    pairs = materialize(
+        union_all(
+            [
+                p.select(*row_keys, "concept_id", "value", "n", bits.alias("_bits")).where(F.col("_bits") > 0)
+                for p in _joined(
+                    omop, cohort, analysis, edges, row_id_field, index_date_field, small_vocabulary, block_rows, busiest
+                )
+            ]
         ),
-        "cells",
+        "pairs",
     )
-    counts = [f"_b{i}" for i in range(len(edges))]
-    per_bin = F.array(*[F.struct(F.lit(i).alias("_bin"), F.col(c).alias("n")) for i, c in enumerate(counts)])
+    codes = F.array(*[F.when(F.col("_bits").bitwiseAND(1 << i) > 0, F.lit(i)) for i in range(len(edges))])
+    keys = ["concept_id", "_bin"]
     histogram = (
-        cells.groupBy("concept_id", "value")
-        .agg(*[F.sum(c).alias(c) for c in counts])
-        .select("concept_id", "value", F.inline(per_bin))
-        .where(F.col("n").isNotNull())
+        pairs.groupBy("concept_id", "value", "_bits")
+        .agg(F.sum("n").alias("n"))
+        .select("concept_id", "value", "n", F.explode(codes).alias("_bin"))
+        .where(F.col("_bin").isNotNull())
     )
-    long_bounds = value_bins(histogram, ["concept_id", "_bin"], num_bins)
-    bounds = materialize(
-        long_bounds.groupBy("concept_id").agg(
-            *[F.max(F.when(F.col("_bin") == i, F.col("bounds"))).alias(f"_q{i}") for i in range(len(edges))]
+    bounds = value_bins(histogram, keys, num_bins)
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.lit(num_bins)),
+        lambda i: F.struct(
+            i.alias("k"),
+            F.element_at("bounds", i).alias("low"),
+            F.element_at("bounds", i + 1).alias("high"),
         ),
-        "bounds",
     )
-
-    def piece(i: int, k: int) -> Column:
-        low, high = F.col(f"_q{i}")[k], F.col(f"_q{i}")[k + 1]
-        inside = F.col(counts[i]).isNotNull() & F.col("value").between(low, high)
-        return F.when(
-            inside,
-            F.struct(
-                F.lit(i).alias("_bin"),
-                F.lit(k + 1).alias("k"),
-                low.alias("low"),
-                high.alias("high"),
-                F.col(counts[i]).alias("n"),
-            ),
-        )
-
-    pieces = F.array_compact(F.array(*[piece(i, k) for i in range(len(edges)) for k in range(num_bins)]))
-    # One row per concept; beyond a broadcast the join is salted by row.
+    # Stored, so the pieces are made once per concept and time bin.
+    pieces = materialize(bounds.select(*keys, pieces.alias("_pieces")), "pieces")
+    # Beyond a broadcast the join is salted by row.
+    hits = pairs.select(*row_keys, "concept_id", "value", "n", F.explode(codes).alias("_bin"))
     binned = (
-        lookup_join(cells, bounds, ["concept_id"], spread=[row_id_field])
-        .select(*row_keys, "concept_id", F.inline(pieces))
-        .groupBy(*row_keys, "concept_id", "_bin", "k", "low", "high")
+        lookup_join(hits.where(F.col("_bin").isNotNull()), pieces, keys, spread=[row_id_field])
+        .select(*row_keys, *keys, "value", "n", F.inline("_pieces"))
+        .where(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*row_keys, *keys, "k", "low", "high")
         .agg(F.sum("n").alias("concept_count"))
     )
     label = F.concat_ws(
@@ -566,6 +573,7 @@ def analyze(
     small_vocabulary: bool | None = None,
     all_history_bound_hourly: int = ALL_HISTORY_HOURLY,
     block_rows: int = BLOCK_ROWS,
+    busiest: int | None = None,
 ) -> DataFrame:
     """Run one analysis by its kind."""
     names = {"row_id_field": row_id_field, "index_date_field": index_date_field}
@@ -588,10 +596,19 @@ def analyze(
             num_bins=num_bins_measurement,
             small_vocabulary=small_vocabulary,
             block_rows=block_rows,
+            busiest=busiest,
             **names,
         )
     return count_concepts(
-        omop, cohort, analysis, edges, limit=limit, small_vocabulary=small_vocabulary, block_rows=block_rows, **names
+        omop,
+        cohort,
+        analysis,
+        edges,
+        limit=limit,
+        small_vocabulary=small_vocabulary,
+        block_rows=block_rows,
+        busiest=busiest,
+        **names,
     )
 
 
@@ -643,11 +660,14 @@ def featurize(
     chosen = select_analyses(analysis_ids, exclude_analysis_ids, analyses)
     if not chosen:
         return _no_features(cohort, settings.get("row_id_field", ROW_ID))
-    small = vocabulary_fits(omop) if any(a.kind not in ("static", "age") for a in chosen) else None
+    binned = [a for a in chosen if a.kind not in ("static", "age")]
+    small = vocabulary_fits(omop) if binned else None
+    sources = {(a.table, a.kind == "nlp"): a for a in binned}
+    busiest = {source: busiest_person(omop, a) for source, a in sources.items()}
     frames = [
-        analyze(omop, cohort, a, small_vocabulary=small, **settings).withColumns(
-            {"concept_id": F.col("concept_id").cast("string"), "index_date": as_ntz(F.col("index_date"))}
-        )
+        analyze(
+            omop, cohort, a, small_vocabulary=small, busiest=busiest.get((a.table, a.kind == "nlp")), **settings
+        ).withColumns({"concept_id": F.col("concept_id").cast("string"), "index_date": as_ntz(F.col("index_date"))})
         for a in chosen
     ]
     return union_all(frames)

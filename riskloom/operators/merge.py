@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import lookup_join, salted_join
+from riskloom.functions.joins import lookup_join
 from riskloom.functions.ordered import dense_index
+from riskloom.session import materialize
 from riskloom.sources.omop import union_all
 
 ROW_ID = "prediction_id"
@@ -40,22 +41,28 @@ def merge_features(
     binary: bool = False,
     vocab: DataFrame | None = None,
     row_id_field: str = ROW_ID,
+    ranged: bool = False,
 ) -> DataFrame:
     """Feature tables as one indexed frame: row id, person, ``feature_id, col_id, concept_count``.
 
-    With a given vocabulary, features outside it are dropped. A (row, feature)
-    found in several tables is added up, or is 1 if ``binary``. The sum comes
-    first, so the join with the vocabulary sees a feature once per row. Without a
-    vocabulary the tables are read twice: pass stored ones.
+    With a given vocabulary, features outside it are dropped. A (row, feature) found in
+    several tables is added up, or is 1 if ``binary``. Features get their number before
+    they move: the vocabulary is stored and broadcast where its size is proven. Then one
+    shuffle by row id, or by ranges of it if ``ranged``, serves the sum here, the rows
+    of :func:`to_sparse` and the files of :func:`write_merged`. A row id holds each
+    feature once per table, so none is hot. Without a vocabulary the tables are read
+    twice: pass stored ones.
     """
     keys = [row_id_field, "person_id", "feature_id"]
     long = union_all([f.select(*keys, "concept_count") for f in frames])
-    summed = long.groupBy(*keys).agg(F.sum("concept_count").alias("concept_count"))
+    if vocab is None:
+        vocab = materialize(build_vocab(long), "vocabulary")
+    coded = lookup_join(long, vocab, ["feature_id"], spread=[row_id_field])
+    placed = coded.repartitionByRange(row_id_field) if ranged else coded.repartition(row_id_field)
+    summed = placed.groupBy(*keys, "col_id").agg(F.sum("concept_count").alias("concept_count"))
     if binary:
         summed = summed.withColumn("concept_count", (F.col("concept_count") >= 1).cast("bigint"))
-    if vocab is not None:
-        return lookup_join(summed, vocab, ["feature_id"], spread=[row_id_field])
-    return salted_join(summed, build_vocab(long), ["feature_id"], spread=[row_id_field])
+    return summed
 
 
 def to_sparse(merged: DataFrame, row_id_field: str = ROW_ID) -> DataFrame:
@@ -76,11 +83,16 @@ def to_sparse(merged: DataFrame, row_id_field: str = ROW_ID) -> DataFrame:
     )
 
 
-def write_merged(merged: DataFrame, path: str, row_id_field: str = ROW_ID, overwrite: bool = False) -> None:
-    """Merged features as Parquet, range-partitioned and sorted by row id."""
+def write_merged(
+    merged: DataFrame, path: str, row_id_field: str = ROW_ID, overwrite: bool = False, placed: bool = False
+) -> None:
+    """Merged features as Parquet, range-partitioned and sorted by row id.
+
+    ``placed`` says that ``merged`` lies in ranges already, as :func:`merge_features` with ``ranged`` leaves it.
+    """
+    ranges = merged if placed else merged.repartitionByRange(row_id_field)
     (
-        merged.repartitionByRange(row_id_field)
-        .sortWithinPartitions(row_id_field)
+        ranges.sortWithinPartitions(row_id_field)
         .write.mode("overwrite" if overwrite else "errorifexists")
         .parquet(path)
     )

@@ -79,8 +79,8 @@ def merge_stored(
     if vocab is None:
         io.export(merge.build_vocab(features), f"{path}/vocab", overwrite)
         vocab = io.read_table(spark, f"{path}/vocab")
-    merged = merge.merge_features([features], binary, vocab, row_id_field)
-    merge.write_merged(merged, f"{path}/features", row_id_field, overwrite)
+    merged = merge.merge_features([features], binary, vocab, row_id_field, ranged=True)
+    merge.write_merged(merged, f"{path}/features", row_id_field, overwrite, placed=True)
     stored = io.read_table(spark, f"{path}/features")
     io.export(merge.row_map(stored, row_id_field), f"{path}/row_map", overwrite)
     return vocab, io.read_table(spark, f"{path}/row_map"), stored
