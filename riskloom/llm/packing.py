@@ -98,8 +98,6 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > CACHED_UNITS:
-            self._forget()
         encoded = [self.units.encode_ordinary(u.decode()) for u in units]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         begin = len(self.ids) + np.cumsum(size) - size
@@ -154,14 +152,15 @@ class Encoder:
         different, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         _, known = self._find(different)
         if not known.all():
-            fresh = first[~known]
+            if len(self.keys) + int((~known).sum()) > CACHED_UNITS:
+                # A block needs all its units at once, also those that were known before.
+                self._forget()
+                known[:] = False
             raw = data.tobytes()
-            self._learn(different[~known], [raw[unit_begin[u] : unit_end[u]] for u in fresh])
-            _, known = self._find(different)
-            if not known.all():  # the cache was emptied in between
-                fresh = first[~known]
-                self._learn(different[~known], [raw[unit_begin[u] : unit_end[u]] for u in fresh])
-        at, _ = self._find(different)
+            self._learn(different[~known], [raw[unit_begin[u] : unit_end[u]] for u in first[~known]])
+        at, known = self._find(different)
+        if not known.all():
+            raise AssertionError("a unit of the block has not been learnt")
         size, source = self.size[at][inverse], self.begin[at][inverse]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
