@@ -66,7 +66,7 @@ NONE_LEFT = joined_hash([])
 
 
 def _anchored(docs: DataFrame, cover: Cover) -> DataFrame:
-    """doc_id, n_words, sha (of the words joined by a space) and the anchors' hashes in order."""
+    """doc_id, place, n_words, sha (of the words joined by a space) and the anchors' hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,15 +83,16 @@ def _anchored(docs: DataFrame, cover: Cover) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(low, high - low),
+                        batch.column("_place").slice(low, high - low),
                         pa.array(found.counts.astype(np.int64)),
                         pa.array(shas, pa.binary()),
                         pa.array(blobs, pa.binary()),
                     ],
-                    names=["doc_id", "n_words", "sha", "anchors"],
+                    names=["doc_id", "_place", "n_words", "sha", "anchors"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n_words bigint, sha binary, anchors binary"
+    return docs.select(F.col("doc_id").cast("bigint"), _place().alias("_place"), "text").mapInArrow(
+        run, "doc_id bigint, _place bigint, n_words bigint, sha binary, anchors binary"
     )
 
 
@@ -116,11 +117,21 @@ def _explode(firsts: DataFrame) -> DataFrame:
     return firsts.select("row", "anchors").mapInArrow(run, "hash bigint, row bigint, index int")
 
 
-def _again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of stored rows (row, _key, sha, ...), found by document and told apart by their words."""
-    keys = stored(wanted.select("_key").distinct(), "keys")
-    texts = narrow_lookup(docs.select(_key().alias("_key"), "text"), keys, "_key", "left_semi")
-    return texts.join(wanted, "_key")
+def _again(docs: DataFrame, wanted: DataFrame, copies: DataFrame) -> DataFrame:
+    """The texts of stored rows (row, _place, sha, ...), each once: found by document and text, and told apart by
+    their words. ``copies`` are the places of several rows; one text of each goes on, so that rows of one
+    doc_id, or of none, and one text cost no more than one of them."""
+    places = stored(wanted.select("_place").distinct(), "places")
+    texts = narrow_lookup(docs.select(_place().alias("_place"), "text"), places, "_place", "left_semi")
+    if not copies.isEmpty():
+        several = narrow_lookup(texts, copies, "_place", "left_semi").groupBy("_place").agg(F.first("text").alias("text"))
+        texts = narrow_lookup(texts, copies, "_place", "left_anti").unionByName(several)
+    return texts.join(wanted, "_place")
+
+
+def _place():
+    """A row's document and text in 64 bits; a null document is as good as any other."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), F.col("text"))
 
 
 def _key():
@@ -141,7 +152,7 @@ def _candidate_windows(found: DataFrame, cover: Cover) -> DataFrame:
                     n = int(words.counts[i])
                     text = texts[low + i].as_py() or ""
                     if hashlib.sha256(b" ".join(text.encode().split())).digest() != batch.column("sha")[low + i].as_py():
-                        continue  # another text under the same doc_id
+                        continue  # another text of the same 64 bits
                     index = np.asarray(batch.column("shared")[low + i].values)
                     at = cover.positions(n)[index]
                     # A window that starts up to period - 1 words before the anchor holds it whole.
@@ -215,21 +226,22 @@ def removal_report(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     # One row stands for all that have the same words: the first of those with the smallest doc_id.
     classes = stored(
         long_.groupBy("sha").agg(
-            F.min(F.struct(_key().alias("_key"), "row")).alias("first"), F.count(F.lit(1)).alias("members")
-        ).select("sha", "first._key", "first.row", "members"),
+            F.min(F.struct(_key().alias("_key"), "row", "_place")).alias("first"), F.count(F.lit(1)).alias("members")
+        ).select("sha", "first._key", "first.row", "first._place", "members"),
         "classes",
     )
     anchors = _explode(narrow_lookup(long_, classes.select("row"), "row", "left_semi"))
     shared = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     places = anchors.join(shared, "hash", "left_semi").groupBy("row").agg(F.collect_list("index").alias("shared"))
-    wanted = stored(places.join(classes.select("row", "_key", "sha"), "row"), "places")
+    wanted = stored(places.join(classes.select("row", "_key", "_place", "sha"), "row"), "wanted")
+    copies = stored(long_.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_place"), "copies")
     # The texts are stored and their windows hashed twice: that is a fraction of storing the hashes.
-    windows = _candidate_windows(stored(_again(docs, wanted), "texts"), cover)
+    windows = _candidate_windows(stored(_again(docs, wanted, copies), "texts"), cover)
     least = windows.groupBy("h1", "h2").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"))
     repeated = windows.join(least.where("_least < _most").select("h1", "h2", "_least"), ["h1", "h2"])
     starts = repeated.where("_key > _least").groupBy("row").agg(F.collect_list("start").alias("starts"))
-    hit = stored(starts.join(wanted.select("row", "_key", "sha"), "row"), "starts")
-    cut = stored(_cut(_again(docs, hit), cover), "cut")
+    hit = stored(starts.join(wanted.select("row", "_place", "sha"), "row"), "starts")
+    cut = stored(_cut(_again(docs, hit, copies), cover), "cut")
     return _assembled(table, classes, cut)
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import (
     arrays,
@@ -478,3 +479,50 @@ def test_words_and_windows_depend_on_the_bytes_alone():
     one = arrays.windows(arrays.words(pa.array(["x y z a b c d"])).hash, 3)
     two = arrays.windows(arrays.words(pa.array(["q a b c"])).hash, 3)
     assert one[3] == two[1]
+
+
+def test_repeated_and_missing_ids_cost_their_rows(spark):
+    """A thousand rows without an id, and as many of one id: texts are read again once each, and results are right."""
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words, 60))
+    texts = [f"{' '.join(rng.choice(words, 20))} {passage} {i}" for i in range(300)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(5, texts[0])] * 200 + [(None, texts[1])] * 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = substring_dedup.removal_report(docs).collect()
+    assert len(found) == len(rows)
+    starts = {}
+    for doc, text in rows:
+        w = WORD.findall(text)
+        for i in range(len(w) - 49):
+            key, at = tuple(w[i : i + 50]), 2**63 - 1 if doc is None else doc
+            starts[key] = min(starts.get(key, at), at)
+    wanted = Counter()
+    for doc, text in rows:
+        w, mine = WORD.findall(text), 2**63 - 1 if doc is None else doc
+        gone = {j for i in range(len(w) - 49) if starts[tuple(w[i : i + 50])] < mine for j in range(i, i + 50)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        wanted[(doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    assert Counter(tuple(r) for r in found) == wanted
+
+
+def test_texts_read_again_grow_with_the_rows(spark):
+    texts = [f"{i} " + " ".join(f"x{j}" for j in range(80)) for i in range(60)]
+    docs = spark.createDataFrame([(None, t) for t in texts for _ in range(5)], "doc_id bigint, text string")
+    table = docs.select("*", substring_dedup._place().alias("_place"))
+    wanted = table.select("_place").distinct().withColumn("row", F.monotonically_increasing_id())
+    copies = table.groupBy("_place").count().where("count > 1").select("_place")
+    assert substring_dedup._again(docs, wanted, copies).count() == len(texts)
+
+
+@pytest.mark.parametrize("bound", [1, 50, 2000])
+def test_ids_do_not_depend_on_what_is_cached(monkeypatch, bound):
+    monkeypatch.setattr(packing, "CACHED_UNITS", bound)
+    coder = packing.Encoder(packing.tokenizer_path())
+    first = pa.array([" ".join(f"word{i}" for i in range(1000))])
+    long_ = " ".join(f"word{i} other{i}" for i in range(2100))
+    coder.block(first)
+    for _ in range(2):
+        found = coder.block(pa.array([long_, "word5 new", ""]))
+        for ids, text in zip(found, [long_, "word5 new", ""]):
+            assert ids.tolist() == coder.whole.encode(text, add_special_tokens=False).ids
