@@ -19,7 +19,8 @@ from riskloom.sources.omop import sample_omop, sql_prefix
 
 ATTRIBUTES = ("attr_type", "attr_site")
 KEYS = ("phase", "task", "attribute")
-FAIR_LAMBDA, FAIR_STEPS, FAIR_RATE = 1.0, 5, 0.1
+#: Weight of the group penalty, and inverse strength of the L2 penalty on the summed loss.
+FAIR_LAMBDA, INVERSE_STRENGTH = 1.0, 0.001
 
 
 def rounded(df, *columns, digits=10):
@@ -119,8 +120,7 @@ def penalty_group_pairs(spark, sf_dir):
 
 
 def penalty_mmd(spark, sf_dir):
-    modes = ("unconditional", "conditional")
-    return rounded(pn.mmd_penalties(melted(spark, sf_dir), modes, pn.AGAINST, KEYS), "penalty")
+    return rounded(pn.mmd_penalties(melted(spark, sf_dir), sc.PENALTY_MODES, pn.AGAINST, KEYS), "penalty")
 
 
 def _training_rows(spark, sf_dir):
@@ -140,8 +140,9 @@ def score_logistic(spark, sf_dir):
     n_cols = merged.agg(F.max("col_id")).first()[0] + 1
     rows = sc.with_vectors(mg.to_sparse(merged), n_cols).join(phased, "prediction_id")
     rows = materialize(rows.select("prediction_id", "phase", "labels", "group", "features"))
-    model = sc.fit_logistic(rows.where(F.col("phase") == "train"))
-    return sc.score_logistic(model, rows, ["prediction_id", "phase", "labels", "group"])
+    model = sc.fit_logistic(rows.where(F.col("phase") == "train"), INVERSE_STRENGTH)
+    scored = sc.score_logistic(model, rows, ["prediction_id", "phase", "labels", "group"])
+    return scored.withColumns({"outputs": F.round("outputs", 3), "pred_probs": F.round("pred_probs", 4)})
 
 
 def score_fair_logistic(spark, sf_dir):
@@ -151,8 +152,9 @@ def score_fair_logistic(spark, sf_dir):
     )
     rows = materialize(phased.withColumnRenamed("prediction_id", "row_id"))
     train = rows.where(F.col("phase") == "train").drop("phase")
-    weights = sc.fit_score_fair(long, train, FAIR_LAMBDA, "conditional", FAIR_STEPS, FAIR_RATE)
-    return rounded(sc.apply_weights(long, weights, rows), "outputs", "pred_probs", digits=9)
+    ridge = 1.0 / (INVERSE_STRENGTH * train.count())
+    weights = sc.fit_score_fair(long, train, FAIR_LAMBDA, "conditional", ridge)
+    return rounded(sc.apply_weights(long, weights, rows), "outputs", "pred_probs", digits=4)
 
 
 QUERIES = {
@@ -327,42 +329,53 @@ logs AS (
 
 
 
-def descent_sql():
-    """The penalised descent as a chain of stored CTEs, and the scores of all rows."""
-    ctes = [
-        """study AS (
+def descent_sql(lam, columns):
+    """The fit as a recursive table: accelerated descent, a step each, until no entry of the gradient exceeds
+    the twin's own tolerance; and ``columns`` of the scores of all rows."""
+    return f"""{admissions_with(MERGED, SPLIT_SQL).replace('WITH', 'WITH RECURSIVE', 1).rstrip()},
+study AS MATERIALIZED (
  SELECT prediction_id AS row_id, CASE fold_id WHEN 'test' THEN 'test' WHEN '1' THEN 'val' ELSE 'train' END AS phase,
-  LOS_7 AS labels, gender_concept_name AS "group" FROM split)""",
-        "train AS MATERIALIZED (SELECT * FROM study WHERE phase = 'train')",
-        """cells AS MATERIALIZED (
+  LOS_7 AS labels, gender_concept_name AS "group" FROM split),
+train AS MATERIALIZED (SELECT * FROM study WHERE phase = 'train'),
+cells AS MATERIALIZED (
  SELECT DISTINCT prediction_id AS row_id, feature_id AS col FROM long_features
- UNION ALL SELECT row_id, 'bias' FROM study)""",
-        "seen AS MATERIALIZED (SELECT c.* FROM cells c JOIN train USING (row_id))",
-        "w_0 AS MATERIALIZED (SELECT DISTINCT col, 0.0E0 AS w FROM seen)",
-    ]
-    for i in range(FAIR_STEPS):
-        ctes.append(
-            f"""s_{i} AS MATERIALIZED (
- SELECT row_id, labels, "group", 1 / (1 + exp(-z)) AS p, -ln(1 + exp(-z)) AS lp
- FROM train JOIN (SELECT row_id, SUM(w) AS z FROM seen JOIN w_{i} USING (col) GROUP BY row_id) t USING (row_id)),
-g_{i} AS (SELECT labels, "group", COUNT(*) AS ng, AVG(lp) AS m FROM s_{i} GROUP BY ALL),
-h_{i} AS (SELECT *, SUM(ng) OVER v AS n, 2 * (m - SUM(m * ng) OVER v / SUM(ng) OVER v) AS gap FROM g_{i} WINDOW v AS (PARTITION BY labels)),
-k_{i} AS MATERIALIZED (SELECT labels, "group", gap / ng - SUM(gap) OVER (PARTITION BY labels) / n AS pull FROM h_{i}),
-d_{i} AS MATERIALIZED (
- SELECT row_id, (p - labels) / (SELECT COUNT(*) FROM train) + {FAIR_LAMBDA} * pull * (1 - p) AS slope
- FROM s_{i} JOIN k_{i} USING (labels, "group")),
-w_{i + 1} AS MATERIALIZED (
- SELECT col, w - {FAIR_RATE}E0 * g AS w FROM w_{i} JOIN (SELECT col, SUM(slope) AS g FROM seen JOIN d_{i} USING (row_id) GROUP BY col) t USING (col))"""
-        )
-    body = ",\n".join(ctes)
-    return f"""{admissions_with(MERGED, SPLIT_SQL).rstrip()},
-{body}
-SELECT row_id, phase, labels, "group", ROUND(z, 9) AS outputs, ROUND(1 / (1 + exp(-z)), 9) AS pred_probs
-FROM study JOIN (SELECT row_id, SUM(w) AS z FROM cells JOIN w_{FAIR_STEPS} USING (col) GROUP BY row_id) t USING (row_id)"""
+ UNION ALL SELECT row_id, '' FROM study),
+seen AS MATERIALIZED (SELECT c.* FROM cells c JOIN train USING (row_id)),
+size AS MATERIALIZED (
+ SELECT n, 1 / ({INVERSE_STRENGTH}E0 * n) AS ridge, 0.25E0 + 2 * {lam} AS bend, nnz / n AS per_row
+ FROM (SELECT (SELECT CAST(COUNT(*) AS DOUBLE) FROM train) AS n, (SELECT COUNT(*) FROM seen) AS nnz) t),
+rates AS MATERIALIZED (SELECT *, 0.5E0 / (per_row * bend + ridge) AS rate, 0.5E0 / bend AS bias_rate FROM size),
+pace AS MATERIALIZED (
+ SELECT *, (1 - sqrt(least(0.1E0, ridge * rate))) / (1 + sqrt(least(0.1E0, ridge * rate))) AS push FROM rates),
+fit AS (
+ SELECT col, 0.0E0 AS w, 0.0E0 AS before, 0 AS i, 1.0E0 AS largest FROM (SELECT DISTINCT col FROM seen) c
+ UNION ALL
+ SELECT col, y - CASE WHEN col = '' THEN bias_rate ELSE rate END * g, w, i + 1, MAX(abs(g)) OVER () FROM (
+  SELECT p.col, p.w, p.y, p.i, rate, bias_rate, d.g + CASE WHEN p.col = '' THEN 0 ELSE ridge * p.y END AS g
+  FROM (SELECT col, w, w + push * (w - before) AS y, i, rate, bias_rate, ridge FROM fit, pace WHERE largest > 1e-11) p
+  JOIN (
+   SELECT col, SUM(slope) AS g FROM seen JOIN (
+    SELECT row_id, (p - labels) / n + {lam} * (1 - p) * (gap / ng - SUM(gap / ng) OVER st / SUM(1) OVER st) AS slope FROM (
+     SELECT *, 2 * (AVG(lp) OVER own - AVG(lp) OVER st) AS gap, COUNT(*) OVER own AS ng FROM (
+      SELECT row_id, labels, "group", n, 1 / (1 + exp(-z)) AS p, -ln(1 + exp(-z)) AS lp FROM train JOIN (
+       SELECT row_id, SUM(w + push * (w - before)) AS z FROM seen JOIN fit USING (col), pace WHERE largest > 1e-11 GROUP BY row_id) t
+      USING (row_id), size) s
+     WINDOW own AS (PARTITION BY labels, "group"), st AS (PARTITION BY labels)) u
+    WINDOW st AS (PARTITION BY labels)) v
+   USING (row_id) GROUP BY col) d ON d.col = p.col) e),
+weights AS (SELECT col, arg_max(w, i) AS w FROM fit GROUP BY col)
+SELECT {columns}
+FROM study JOIN (SELECT row_id, SUM(w) AS z FROM cells JOIN weights USING (col) GROUP BY row_id) t USING (row_id)"""
 
 
 ORACLE = {
-    "score_fair_logistic": descent_sql(),
+    "score_logistic": descent_sql(
+        0.0,
+        'row_id AS prediction_id, phase, labels, "group", ROUND(z, 3) AS outputs, ROUND(1 / (1 + exp(-z)), 4) AS pred_probs',
+    ),
+    "score_fair_logistic": descent_sql(
+        FAIR_LAMBDA, 'row_id, phase, labels, "group", ROUND(z, 4) AS outputs, ROUND(1 / (1 + exp(-z)), 4) AS pred_probs'
+    ),
     "score_softmax": f"""WITH {sql_prefix('predictions')}
 SELECT row_id, ROUND(1 / (1 + exp(-m)), 10) AS pred_probs, ROUND(-ln(1 + exp(-m)), 10) AS log_prob FROM (
  SELECT row_id, (4.0E0 * pred_probs - labels) - (1.0E0 - pred_probs) AS m FROM predictions) t""",
@@ -404,7 +417,7 @@ SELECT {_K}, 'group' AS against, ROUND(SUM((a.m - b.m) ** 2), 10) AS penalty
 FROM g a JOIN g b USING ({_K}) WHERE a."group" < b."group" GROUP BY {_K}
 UNION ALL SELECT {_K}, 'overall', ROUND(SUM((g.m - o.m) ** 2), 10) FROM g JOIN o USING ({_K}) GROUP BY {_K}""",
     "penalty_mmd": f"""{_LOGP},
-w AS (SELECT {_KG}, mode, s, x, COUNT(*) AS n FROM logs WHERE mode IN ('unconditional', 'conditional') GROUP BY ALL),
+w AS (SELECT {_KG}, mode, s, x, COUNT(*) AS n FROM logs GROUP BY ALL),
 k AS (
  SELECT a.phase, a.task, a.attribute, a.mode, a.s, a."group" AS g, b."group" AS h, SUM(a.n * b.n * exp(-((a.x - b.x) ** 2))) AS v,
   CAST(SUM(a.n * b.n) AS DOUBLE) AS n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.cohort import SAMPLED_WITH, sampled
 from riskloom.operators import features as ft
 from riskloom.operators import merge as mg
+from riskloom.plans import jobs
 from riskloom.sources import tables as io
 from riskloom.session import materialize, scratch_path
 from riskloom.sources.omop import sample_omop, sql_prefix
@@ -65,6 +67,18 @@ def featurize_selected(spark, sf_dir):
     )
 
 
+def featurize_to_destination(spark, sf_dir):
+    """A table of two analyses; then one of them again with other bins, and a third one beside them."""
+    omop, cohort = sample_omop(spark, sf_dir), admissions(spark, sf_dir)
+    table, path = f"riskloom_features_{uuid.uuid4().hex}", scratch_path(spark, "destination")
+    jobs.featurize_to_destination(omop, cohort, table, ["drug_exposure", "gender"], path=path, time_bins=[-60, 0])
+    jobs.featurize_to_destination(omop, cohort, table, ["drug_exposure"])
+    stored = jobs.featurize_to_destination(omop, cohort, table, ["measurement"])
+    rows = materialize(stored, "destination")
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def _long(spark, sf_dir):
     return stored_features(spark, sf_dir, admissions(spark, sf_dir))
 
@@ -112,6 +126,7 @@ def cohort_row_map(spark, sf_dir):
 QUERIES = {
     **{query_name(a): partial(feature, analysis_id=a) for a in ft.default_analyses()},
     "featurize_selected": featurize_selected,
+    "featurize_to_destination": featurize_to_destination,
     "merge_union": merge_union,
     "merge_union_binary": partial(merge_union, binary=True),
     "feature_vocab": feature_vocab,
@@ -256,6 +271,7 @@ _MERGE = admissions_with(MERGED, VOCAB_SQL, ROWS_SQL)
 ORACLE = {
     **{query_name(n): _feature_oracle(a) for n, a in ft.default_analyses().items()},
     "featurize_selected": admissions_with(SELECTED) + "SELECT * FROM long_features",
+    "featurize_to_destination": admissions_with(("drug_exposure", "gender", "measurement")) + "SELECT * FROM long_features",
     "merge_union": _MERGE + "SELECT prediction_id, person_id, feature_id, concept_count FROM long_features",
     "merge_union_binary": _MERGE
     + "SELECT prediction_id, person_id, feature_id, CAST(concept_count > 0 AS BIGINT) AS concept_count FROM long_features",

@@ -115,7 +115,9 @@ def melt(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], value: str)
 
 
 def metric_names(metrics: Sequence[str] | None, thresholds: Sequence[float] | None) -> list[str]:
-    chosen = [m for m in (STANDARD_METRICS if metrics is None else metrics) if m in STANDARD_METRICS]
+    chosen = list(STANDARD_METRICS if metrics is None else metrics)
+    if not set(chosen) <= set(STANDARD_METRICS):
+        raise ValueError(f"metrics must be some of {STANDARD_METRICS}, not {chosen}")
     for kind in ("recall", "precision", "specificity"):
         chosen += [f"{kind}_{t}" for t in (thresholds or ())]
     return chosen
@@ -135,6 +137,8 @@ def evaluate(
     """
     keys = list(keys)
     names = metric_names(metrics, thresholds)
+    if not names:
+        raise ValueError("no metric and no threshold is given")
     ranked = [m for m in names if m in ("auc", "auprc")]
     summed = [m for m in names if m not in ranked]
     if counts is None:
@@ -344,7 +348,9 @@ def ova_report(
     keys = present_keys(df, keys)
     if not keys:
         return ova_report(df.withColumn("_all", F.lit(1)), ["_all"], metrics).drop("_all")
-    names = [m for m in (OVA_METRICS if metrics is None else metrics) if m in OVA_METRICS]
+    names = list(OVA_METRICS if metrics is None else metrics)
+    if not names or not set(names) <= set(OVA_METRICS):
+        raise ValueError(f"metrics must be some of {OVA_METRICS}, not {names}")
     counts = with_slices(group_counts(df, keys), [*keys, "group"], "p")
     on = [*keys, "group"]
     parts = []

@@ -13,6 +13,13 @@ from riskloom.operators.scores import LOG_FLOOR, PENALTY_MODES
 AGAINST = ("overall", "group")
 
 
+def log_probability(df: DataFrame) -> Column:
+    """The exact ``log_prob`` of a model where the frame has one, else the logarithm of the score, clipped."""
+    if "log_prob" in df.columns:
+        return F.col("log_prob").cast("double")
+    return F.log(F.greatest(F.lit(LOG_FLOOR), F.col("pred_probs").cast("double")))
+
+
 def _rows(df: DataFrame, keys: Sequence[str], modes: Sequence[str]) -> DataFrame:
     """Counts per keys, mode, stratum, group and log-probability; strata are label values.
 
@@ -29,7 +36,7 @@ def _rows(df: DataFrame, keys: Sequence[str], modes: Sequence[str]) -> DataFrame
         "conditional_neg": F.when(label == 0, label),
     }
     parts = F.array(*[F.struct(F.lit(m).alias("mode"), stratum[m].alias("_s")) for m in modes])
-    log_prob = F.log(F.greatest(F.lit(LOG_FLOOR), F.col("pred_probs").cast("double")))
+    log_prob = log_probability(df)
     return (
         df.where(F.col("group").isNotNull())
         .select(*keys, "group", log_prob.alias("x"), F.inline(parts))
@@ -117,20 +124,21 @@ def mmd_penalties(
 
     The mean over group terms (each group against all, or each pair of groups)
     is taken per label stratum and strata are added up. The kernel is written as
-    a fixed sum of cosines, so the mean kernel value between two groups is the
-    product of their mean cosines and sines: one pass over the scores replaces
-    the table of all pairs, to double precision, for all modes together.
+    sum of cosines, so the mean kernel value between two groups is the product of
+    their mean cosines and sines: one pass over the scores replaces the table of
+    all pairs, to double precision, for all modes together. The spacing of the
+    cosines follows the measured span of the log-probabilities, which has no bound
+    of its own where the exact ``log_prob`` is given.
     """
     unknown = [a for a in against if a not in AGAINST]
     if unknown:
         raise ValueError(f"against must be one of {AGAINST}")
     keys = [*keys, "mode"]
-    nodes = F.array(
-        *[
-            F.struct(F.lit(f).alias("f"), F.lit(w).alias("w"))
-            for f, w in kernel_nodes(-math.log(LOG_FLOOR))
-        ]
-    )
+    x = log_probability(df)
+    low, high = df.where(F.col("group").isNotNull()).agg(F.min(x), F.max(x)).first()
+    # A few spans only, so that plans are shared: the next power of two.
+    span = 2.0 ** math.ceil(math.log2(max(1.0, (high or 0.0) - (low or 0.0))))
+    nodes = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(w).alias("w")) for f, w in kernel_nodes(span)])
     waves = (
         _rows(df, keys[:-1], modes)
         .select(*keys, "_s", "group", "x", "n", F.inline(nodes))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from riskloom.functions.joins import fits_broadcast, lookup_join, salted_join
-from riskloom.session import bucketed, materialize
+from riskloom.session import bucketed, materialize, scratch_path
 from riskloom.sources.omop import union_all
 
 # Smallest probability inside a logarithm, column of the intercept.
@@ -34,17 +36,25 @@ def softmax_score(df: DataFrame, outputs: Sequence[str] = ("output_0", "output_1
 
 
 def with_vectors(sparse: DataFrame, n_cols: int, name: str = "features") -> DataFrame:
-    """Index and value arrays as ML sparse vectors."""
+    """Index and value arrays as ML sparse vectors, as a stored table.
 
-    @F.udf(returnType=VectorUDT())
-    def pack(indices, values):
-        return SparseVector(n_cols, indices, [float(v) for v in values])
-
-    return sparse.withColumn(name, pack("indices", "values"))
+    A vector is a struct to Parquet. So the struct is written by SQL expressions and read
+    back under the vector type: no row passes a Python function.
+    """
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(n_cols).cast("int").alias("size"),
+        F.col("indices").cast("array<int>").alias("indices"),
+        F.col("values").cast("array<double>").alias("values"),
+    )
+    path = scratch_path(sparse.sparkSession, "vectors")
+    sparse.withColumn(name, vector).write.parquet(path)
+    schema = StructType([*[f for f in sparse.schema if f.name != name], StructField(name, VectorUDT())])
+    return sparse.sparkSession.read.schema(schema).parquet(path)
 
 
-def fit_logistic(train: DataFrame, c: float = 0.001, max_iter: int = 100) -> LogisticRegressionModel:
-    """L2-penalised logistic regression; ``c`` is the inverse strength on the summed loss."""
+def fit_logistic(train: DataFrame, c: float = 0.001, max_iter: int = 1000) -> LogisticRegressionModel:
+    """L2-penalised logistic regression to convergence; ``c`` is the inverse strength on the summed loss."""
     n = train.count()
     return LogisticRegression(
         featuresCol="features",
@@ -53,6 +63,7 @@ def fit_logistic(train: DataFrame, c: float = 0.001, max_iter: int = 100) -> Log
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=1e-12,
     ).fit(train)
 
 
@@ -133,47 +144,145 @@ def _with_bias(long: DataFrame, rows: DataFrame) -> DataFrame:
     return typed.join(rows.select("row_id"), "row_id", "left_semi").unionByName(bias)
 
 
+def _objective(lines: DataFrame, mode: str, lam: float, n_rows: int, steps: Sequence[float]) -> list[float]:
+    """Mean loss + lam * penalty at ``z + t * dz`` for several t, by one sum over the rows."""
+    sums = []
+    for i, t in enumerate(steps):
+        z = F.col("z") + F.lit(float(t)) * F.col("dz")
+        log_prob = -(F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))
+        # log(1 + e^z) - y z, and log p is -log(1 + e^-z).
+        sums += [F.sum((1.0 - F.col("labels")) * z - log_prob).alias(f"l{i}"), F.sum(log_prob).alias(f"p{i}")]
+    groups = lines.groupBy(_strata(mode).alias("_s"), "group").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    values = []
+    for i in range(len(steps)):
+        total = sum(g[f"l{i}"] for g in groups) / n_rows
+        for stratum in {g["_s"] for g in groups if g["_s"] is not None} if lam else ():
+            own = [g for g in groups if g["_s"] == stratum]
+            mean = sum(g[f"p{i}"] for g in own) / sum(g["n"] for g in own)
+            total += lam * sum((g[f"p{i}"] / g["n"] - mean) ** 2 for g in own)
+        values.append(total)
+    return values
+
+
+def _direction(products: dict[tuple[str, str], float], pairs: Sequence[int]) -> dict[str, float]:
+    """Coefficients of the quasi-Newton direction over the basis of steps ``s``, gradient changes ``y``
+    and the gradient ``g``, from their scalar products alone (two-loop recursion)."""
+
+    def dot(x: dict[str, float], name: str) -> float:
+        return sum(c * products[min(k, name), max(k, name)] for k, c in x.items())
+
+    q, alphas = {"g": -1.0}, {}
+    for i in reversed(pairs):
+        alphas[i] = dot(q, f"s{i}") / products[f"s{i}", f"y{i}"]
+        q[f"y{i}"] = q.get(f"y{i}", 0.0) - alphas[i]
+    if pairs:
+        last = pairs[-1]
+        scale = products[f"s{last}", f"y{last}"] / products[f"y{last}", f"y{last}"]
+        q = {k: scale * c for k, c in q.items()}
+    for i in pairs:
+        beta = dot(q, f"y{i}") / products[f"s{i}", f"y{i}"]
+        q[f"s{i}"] = q.get(f"s{i}", 0.0) + alphas[i] - beta
+    return q
+
+
 def fit_score_fair(
     long: DataFrame,
     rows: DataFrame,
     lam: float = 0.0,
     mode: str = "unconditional",
-    steps: int = 10,
-    lr: float = 0.1,
+    ridge: float = 0.0,
+    tol: float = 1e-8,
+    memory: int = 6,
 ) -> DataFrame:
-    """Linear model fitted by full-batch descent on mean loss + lam * group penalty.
-
-    ``long`` holds ``row_id, col_id, value`` and ``rows`` holds ``row_id, labels,
-    group``. Returns ``col_id, weight`` with the intercept under col_id -1.
-
-    The features are stored once, bucketed by row id, so that summing them to
-    logits and joining the slopes back moves only the rows, never the features.
-    Logits and weights of each step are stored: a lost executor re-reads them.
+    """Linear model that minimises mean loss + lam * group penalty + ridge / 2 * |weights|^2.
+
+    ``long`` holds ``row_id, col_id, value`` and ``rows`` holds ``row_id, labels, group``.
+    Returns ``col_id, weight`` with the intercept, which has no ridge, under col_id -1.
+
+    Limited-memory quasi-Newton without a vector on the driver: weights, gradient and the
+    last ``memory`` steps are columns of one stored table by feature, and the driver sees
+    only their scalar products, of which the direction's coefficients follow. A step needs
+    two passes over the features, for the logits of the direction and for the gradient;
+    the line search is a sum over rows. The fit ends when no entry of the gradient exceeds
+    ``tol``, or when no step along the direction lowers the objective any more (rounding).
+    Features are stored bucketed by row id, so only rows and weights move.
     """
     if mode not in PENALTY_MODES:
         raise ValueError(f"mode must be one of {PENALTY_MODES}")
+    n_rows = rows.count()
     with bucketed(_with_bias(long, rows), "row_id") as features:
-        weights = materialize(features.select("col_id").distinct().withColumn("weight", F.lit(0.0)), "weights")
-        small = fits_broadcast(weights)
-        n_rows = rows.count()
-        for _ in range(steps):
-            scored = materialize(logits(features, weights, rows, small), "logits")
-            gradient = (
-                features.join(penalty_slopes(scored, mode, lam, n_rows), "row_id")
-                .groupBy("col_id")
-                .agg(F.sum(F.col("value") * F.col("slope")).alias("gradient"))
+
+        def gradient(scored: DataFrame) -> DataFrame:
+            slopes = penalty_slopes(scored, mode, lam, n_rows)
+            return features.join(slopes, "row_id").groupBy("col_id").agg(F.sum(F.col("value") * F.col("slope")).alias("_g"))
+
+        shrink = F.when(F.col("col_id") != BIAS, F.lit(ridge) * F.col("w")).otherwise(0.0)
+        scored = rows.withColumn("z", F.lit(0.0))
+        state = gradient(scored).select("col_id", F.lit(0.0).alias("w"), F.col("_g").alias("g"))
+        state = materialize(state, "state")
+        small = fits_broadcast(state.select("col_id", "w"))
+        pairs: list[int] = []
+        turn = 0
+        while True:
+            basis = [*[f"{v}{i}" for i in pairs for v in "sy"], "g"]
+            wanted = [(a, b) for a in basis for b in basis if a <= b]
+            found = state.agg(
+                F.max(F.abs("g")).alias("largest"),
+                *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in wanted],
+            ).first()
+            if found["largest"] is None or found["largest"] <= tol:
+                break
+            products = {(a, b): found[f"{a}_{b}"] for a, b in wanted}
+            coefficients = _direction(products, pairs)
+            slope = sum(c * products[min(k, "g"), max(k, "g")] for k, c in coefficients.items())
+            if slope >= 0:
+                coefficients, pairs = {"g": -1.0}, []
+                slope = -products["g", "g"]
+            d = sum((F.lit(float(c)) * F.col(k) for k, c in coefficients.items()), F.lit(0.0))
+            moved = state.withColumn("d", d)
+            lines = materialize(
+                logits(features, moved.select("col_id", F.col("d").alias("weight")), scored, small, "dz"), "lines"
             )
-            updated = weights.join(gradient, "col_id").select(
-                "col_id", (F.col("weight") - F.lit(lr) * F.col("gradient")).alias("weight")
+            free = F.when(F.col("col_id") != BIAS, 1.0).otherwise(0.0)
+            squares = moved.agg(*[F.sum(free * F.col(a) * F.col(b)) for a, b in (("w", "w"), ("w", "d"), ("d", "d"))]).first()
+
+            def value(data: float, t: float) -> float:
+                return data + ridge / 2 * (squares[0] + 2 * t * squares[1] + t * t * squares[2])
+
+            first = 1.0 if pairs else min(1.0, 1.0 / math.sqrt(products["g", "g"]))
+            step, now = None, None
+            while step is None and first > 1e-14:
+                tried = [first / 2**j for j in range(4)]
+                now, *values = _objective(lines, mode, lam, n_rows, [0.0, *tried])
+                now = value(now, 0.0)
+                # The last term is the rounding of the objective.
+                bounds = [now + 1e-4 * t * slope + 1e-14 * abs(now) for t in tried]
+                step = next((t for t, v, b in zip(tried, values, bounds) if value(v, t) <= b), None)
+                first = tried[-1] / 2
+            if step is None:
+                break
+            scored = materialize(
+                lines.select("row_id", "labels", "group", (F.col("z") + F.lit(step) * F.col("dz")).alias("z")), "logits"
             )
-            weights = materialize(updated, "weights")
-    return weights
+            turn += 1
+            kept = [*pairs, turn][-memory:]
+            next_ = moved.withColumns({"w": F.col("w") + F.lit(step) * F.col("d"), f"s{turn}": F.lit(step) * F.col("d")})
+            next_ = next_.join(gradient(scored), "col_id").withColumn("_g", F.col("_g") + shrink)
+            next_ = next_.withColumn(f"y{turn}", F.col("_g") - F.col("g")).withColumn("g", F.col("_g"))
+            state = materialize(
+                next_.select("col_id", "w", "g", *[f"{v}{i}" for i in kept for v in "sy"]), "state"
+            )
+            bend = state.agg(F.sum(F.col(f"s{turn}") * F.col(f"y{turn}"))).first()[0]
+            pairs = kept if bend > 0 else pairs
+    return state.select("col_id", F.col("w").alias("weight"))
 
 
-def logits(features: DataFrame, weights: DataFrame, rows: DataFrame, small: bool | None = None) -> DataFrame:
-    """``rows`` with their linear score ``z``; a weight table of proven size is broadcast."""
+def logits(
+    features: DataFrame, weights: DataFrame, rows: DataFrame, small: bool | None = None, name: str = "z"
+) -> DataFrame:
+    """``rows`` with their linear score; a weight table of proven size is broadcast."""
     weighted = lookup_join(features, weights, ["col_id"], spread=["row_id"], small=small)
-    z = weighted.groupBy("row_id").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
+    z = weighted.groupBy("row_id").agg(F.sum(F.col("value") * F.col("weight")).alias(name))
     return rows.join(z, "row_id")
 
 

@@ -8,8 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.joins import lookup_join
 from riskloom.functions.keys import digest
-from riskloom.functions.ordered import dense_index
+from riskloom.functions.ordered import Level, dense_index, running, with_slices
+from riskloom.session import materialize
 
 
 def patient_split(
@@ -64,17 +66,16 @@ def assign_phase(
 def group_codes(cohort: DataFrame, column: str, name: str = "group_code") -> DataFrame:
     """Code each value by its place among the sorted distinct values; null is -1.
 
-    The category list is one scalar subquery, so no row of the cohort moves.
+    The dictionary is a stored table with a row per value, numbered within slices of the
+    order plus what earlier slices hold, so no task and not the driver sees all values.
+    It is broadcast where its size is proven, else the cohort is salted by its rows.
     """
-    categories = cohort.agg(F.array_sort(F.collect_set(column))).scalar()
-    return (
-        cohort.withColumn("_categories", categories)
-        .withColumn(
-            name,
-            (F.coalesce(F.array_position("_categories", F.col(column)), F.lit(0)) - 1).cast("int"),
-        )
-        .drop("_categories")
-    )
+    values = cohort.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    sliced = with_slices(values.withColumn("_each", F.lit(1)), [], "_value")
+    ranked = running(sliced, "_value", Level([], {"n": "_each"}))
+    codes = materialize(ranked.select(F.col("_value").alias(column), (F.col("cum_n") - 1).cast("int").alias(name)), "codes")
+    coded = lookup_join(cohort, codes, [column], spread=cohort.columns, how="left")
+    return coded.select(*cohort.columns, F.coalesce(name, F.lit(-1)).alias(name))
 
 
 # The searched settings of the plain models.

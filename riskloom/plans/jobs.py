@@ -12,7 +12,7 @@ from riskloom.operators import features as ft
 from riskloom.operators import icu, labels, merge
 from riskloom.operators import metrics as mt
 from riskloom.operators import scores, splits
-from riskloom.session import materialize
+from riskloom.session import materialize, setting
 from riskloom.sources import tables as io
 
 
@@ -66,6 +66,53 @@ def write_features(
     return stored
 
 
+def featurize_to_destination(
+    omop: Mapping[str, DataFrame],
+    cohort: DataFrame,
+    table: str,
+    analysis_ids: Sequence[str] | None = None,
+    exclude_analysis_ids: Sequence[str] | None = None,
+    path: str | None = None,
+    csv_path: str | None = None,
+    merge_path: str | None = None,
+    binary: bool = True,
+    **settings,
+) -> DataFrame:
+    """Extract features into a catalog table partitioned by analysis and time bin, and return the table.
+
+    Partitions of the chosen analyses are replaced, those that they no longer have are
+    dropped, and other analyses in the table stay as they are: an extraction can be
+    repeated or extended analysis by analysis. ``path`` places a new table; Spark leaves
+    the files of its dropped partitions there, so read it as the table. ``csv_path``
+    gets the whole table as CSV, ``merge_path`` the vocabulary, row map and merged
+    features of all its analyses.
+    """
+    spark: SparkSession = cohort.sparkSession
+    chosen = ft.select_analyses(analysis_ids, exclude_analysis_ids, settings.get("analyses"))
+    long = materialize(ft.featurize(omop, cohort, analysis_ids, exclude_analysis_ids, **settings), "features")
+    keys = ["analysis_id", "time_bin"]
+    long = long.select(*[c for c in long.columns if c not in keys], *keys)
+    if not spark.catalog.tableExists(table):
+        writer = long.limit(0).write.partitionBy(*keys).format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+    # A task writes whole partitions, so there are few files; a large one is written by many tasks.
+    placed = long.hint("rebalance", *keys)
+    with setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+        placed.write.insertInto(table, overwrite=True)
+    written = {tuple(r) for r in long.select(*keys).distinct().collect()}
+    for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        analysis_id, time_bin = (part.partition("=")[2] for part in row[0].split("/"))
+        if analysis_id in {a.analysis_id for a in chosen} and (analysis_id, time_bin) not in written:
+            spark.sql(f"ALTER TABLE {table} DROP PARTITION (analysis_id = '{analysis_id}', time_bin = '{time_bin}')")
+    spark.catalog.refreshTable(table)
+    stored = spark.table(table)
+    if csv_path:
+        stored.write.mode("overwrite").option("header", "true").partitionBy(*keys).csv(csv_path)
+    if merge_path:
+        merge_stored(stored, merge_path, binary, None, settings.get("row_id_field", merge.ROW_ID), overwrite=True)
+    return stored
+
+
 def merge_stored(
     features: DataFrame,
     path: str,

@@ -289,3 +289,34 @@ def test_calibration_flags_a_separated_group(spark):
     assert not cal.fit_curves(df, KEYS).first().converged
     same = spark.createDataFrame([("t", 0.5, 0), ("t", 0.5, 1)], "phase string, pred_probs double, labels int")
     assert not cal.fit_curves(same, KEYS).first().converged
+
+
+def test_penalties_take_the_exact_log_probability(spark):
+    """Scores far below the smallest double: brute force over all pairs of rows."""
+    data = [("a", -2000.0), ("a", -1999.5), ("a", -3.0), ("b", -2000.2), ("b", -0.1)]
+    df = spark.createDataFrame([(g, 1, 0.0, x) for g, x in data], "group string, labels int, pred_probs double, log_prob double")
+    got = {(r["mode"], r.against): r.penalty for r in pn.mmd_penalties(df, ["unconditional", "conditional_pos"]).collect()}
+    x = {g: np.array([v for h, v in data if h == g]) for g in "ab"}
+    everyone = np.array([v for _, v in data])
+
+    def k(u, v):
+        return np.exp(-((u[:, None] - v[None, :]) ** 2)).mean()
+
+    pair = k(x["a"], x["a"]) + k(x["b"], x["b"]) - 2 * k(x["a"], x["b"])
+    overall = np.mean([k(x[g], x[g]) + k(everyone, everyone) - 2 * k(x[g], everyone) for g in "ab"])
+    for mode in ("unconditional", "conditional_pos"):
+        assert got[mode, "group"] == pytest.approx(pair, abs=1e-10)
+        assert got[mode, "overall"] == pytest.approx(overall, abs=1e-10)
+    mean = pn.mean_penalties(df, ["unconditional"]).first().penalty
+    assert mean == pytest.approx(sum((x[g].mean() - everyone.mean()) ** 2 for g in "ab"))
+
+
+def test_reports_refuse_unknown_and_empty_metrics(spark):
+    df = spark.createDataFrame([("a", 1, 0.5)], "group string, labels int, pred_probs double")
+    for call in (mt.ova_report, mt.standard_report):
+        with pytest.raises(ValueError, match="shoe"):
+            call(df, metrics=["shoe"])
+    with pytest.raises(ValueError):
+        mt.ova_report(df, metrics=[])
+    with pytest.raises(ValueError):
+        mt.evaluate(df, ["group"], [])

@@ -20,8 +20,7 @@ needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="sample tables are
 
 
 def test_twins_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"score_logistic"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import splits as sp
 
@@ -57,3 +58,17 @@ def test_grids(spark):
     assert len(fair) == 2 * 60
     assert fair.lambda_group_regularization.nunique() == 10
     assert ((fair.regularization_metric == "mmd") == fair.mmd_mode.notna()).all()
+
+
+def test_group_codes_number_any_count_of_values(spark):
+    """More values than slices hold, ties, a null and values whose text order is not their number's."""
+    cohort = spark.range(3000).select((F.col("id") % 1500).alias("n")).select(
+        F.when(F.col("n") == 7, F.lit(None)).otherwise(F.col("n").cast("string")).alias("v")
+    )
+    coded = sp.group_codes(cohort, "v")
+    assert "collect_set" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    values = sorted({str(i) for i in range(1500)} - {"7"})
+    found = coded.distinct().collect()
+    assert {(r.v, r.group_code) for r in found} == {(None, -1), *((v, i) for i, v in enumerate(values))}
+    assert coded.count() == 3000
+    assert {r.group_code for r in sp.group_codes(cohort.limit(0), "v").collect()} == set()

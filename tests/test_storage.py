@@ -122,3 +122,27 @@ def test_csv_to_parquet_needs_a_file(spark, tmp_path):
     (tmp_path / "csv").mkdir()
     with pytest.raises(ValueError):
         io.csv_to_parquet(spark, str(tmp_path / "csv"), str(tmp_path / "pq"))
+
+
+def test_destination_keeps_other_analyses_and_drops_old_bins(spark, rows, tmp_path):
+    from tests_support import tiny_warehouse
+
+    folder = str(tmp_path / "omop")
+    tiny_warehouse(spark, folder)
+    omop = load_omop(spark, folder)
+    cohort = materialize(jobs.create_cohort(omop, nfold=3))
+    name, place = "riskloom_destination", {"path": str(tmp_path / "table")}
+    first = jobs.featurize_to_destination(omop, cohort, name, ["condition_occurrence", "gender"], time_bins=[-50, 0], **place)
+    whole = rows(first, "feature_id", "concept_count")
+    assert {r[0] for r in rows(first.select("time_bin").distinct())} == {"bin_-50_-1", "bin_-36500_-1", "static"}
+    again = jobs.featurize_to_destination(
+        omop, cohort, name, ["condition_occurrence"], time_bins=None,
+        csv_path=str(tmp_path / "csv"), merge_path=str(tmp_path / "merged"),
+    )
+    assert {r[0] for r in rows(again.select("time_bin").distinct())} == {"bin_-36500_-1", "static"}
+    assert rows(again, "feature_id", "concept_count") == [r for r in whole if "bin_-50_-1" not in r[0]]
+    assert io.read_table(spark, str(tmp_path / "csv"), fmt="csv").count() == again.count()
+    merged = io.read_table(spark, str(tmp_path / "merged" / "features"))
+    assert merged.count() == again.select("prediction_id", "feature_id").distinct().count()
+    assert jobs.featurize_to_destination(omop, cohort, name, []).count() == again.count()
+    spark.sql(f"DROP TABLE {name}")
