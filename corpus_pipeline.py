@@ -49,7 +49,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The estimates of the first stage and the tokenizer of the last have no SQL; tests check the run by brute force.
+#: The estimates of the first stage and the tokenizer of the last have no SQL. Tests check columns, counts and
+#: gapless sequences of the run, and each operator by itself; no test runs all stages by brute force.
 ORACLE_SQL = None
 
 
