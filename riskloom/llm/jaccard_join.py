@@ -17,7 +17,14 @@ which follows from both sizes, exceeds ``need(n)``.
    of its shingles: their most central sets, which most of a group links with. What this links is contracted, and only pairs of different
    components are then formed and verified, so a large group of near copies costs
    its size and not its square. More pivot rounds follow while the pairs left are
-   many and each round at least halves them. The last round forms every pair left.
+   many and each round at least halves them.
+5. The last round orders the shingles of the open sets anew, by the pairs of
+   different components that share them: what only one component holds comes first
+   and costs nothing. Of a pair the smaller set is read by its index prefix, the
+   larger one by a prefix for each bucket of smaller sizes, so both follow the
+   overlap these sizes ask for; each picks its l by cost as before, and a pair is
+   verified from the smaller l on. Components meet first and then their sets, so
+   no row is made for two sets of one component.
 
 Defined cases: a text of fewer words than a shingle is one shingle; without words
 or null it has the empty set and links with nothing; a null ``doc_id`` is never a
@@ -27,6 +34,7 @@ empty table gives an empty result; further columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +51,8 @@ from riskloom.llm.tables import narrow_lookup, numbered, restored, small_batches
 PAIRS_PER_POSTING = 4
 #: Reading and comparing one shingle of a candidate, in postings.
 COMPARE = 0.05
+#: Ratio of the sizes at the ends of a bucket of the last round.
+BUCKET = 1.02
 
 
 @dataclass(frozen=True)
@@ -63,6 +73,39 @@ class Join:
     def prefix(self, n):
         return n - self.need(n) + self.screen(n)
 
+    def overlap(self, n, m):
+        """The least overlap of sets of n and m shingles that link."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+
+def bucket(n: int) -> int:
+    """The bucket of a set size; it never falls as n grows."""
+    return int(math.log(n) / math.log(BUCKET))
+
+
+def bucket_floor(place: int) -> int:
+    """A size no larger than any of the bucket, with one to spare for rounding."""
+    return max(1, int(BUCKET**place) - 1)
+
+
+def pick_level(n: int, need: int, reads: np.ndarray) -> tuple[int, int]:
+    """The level of least cost and how many of the shared shingles its prefix holds.
+
+    A set of n shingles must share ``need`` of them; ``reads`` are the postings behind
+    each shingle that others have, in order. The rest, n - len(reads), come first in
+    the order and take room. (0, 0) if the set cannot share enough.
+    """
+    if len(reads) < need:
+        return 0, 0
+    level = np.arange(1, min(need, 1 + n // 10) + 1)
+    inside = np.clip(n - need + level - (n - len(reads)), 0, len(reads))
+    if inside[0] < 1:
+        return 0, 0
+    read = np.concatenate([[0], np.cumsum(reads)])[inside]
+    cost = np.where(inside >= level, read + COMPARE * n * read / level, np.inf)
+    best = int(np.argmin(cost))
+    return int(level[best]), int(inside[best])
+
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
@@ -141,7 +184,7 @@ def _survivors(table: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 
 def _adaptive(sets: DataFrame, join: Join) -> DataFrame:
-    """``token, node, n, need, mean`` for the prefix each set picks, in order of frequency.
+    """``token, node, n, mean`` for the prefix each set picks, in order of frequency.
 
     ``mean`` is the overlap with all other sets together, over n: the more, the more central the set.
 
@@ -162,26 +205,17 @@ def _adaptive(sets: DataFrame, join: Join) -> DataFrame:
             for node, n, df, token in zip(*(batch.column(c) for c in ("node", "n", "df", "token"))):
                 n = n.as_py()
                 df, token = np.asarray(df.values), np.asarray(token.values)
-                need = join.need(n)
-                level = np.arange(1, min(need, 1 + n // 10) + 1)
-                # Postings inside the prefix of each level.
-                inside = np.clip(n - need + level - (n - len(df)), 0, len(df))
-                fits = inside >= level
-                if not fits[0]:
-                    continue
-                read = np.concatenate([[0], np.cumsum(df - 1)])[inside]
-                cost = np.where(fits, read + COMPARE * n * read / level, np.inf)
-                best = int(np.argmin(cost))
-                take = int(inside[best])
-                out.append((token[:take], node.as_py(), n, int(level[best]), float((df - 1).sum() / n)))
+                level, take = pick_level(n, join.need(n), df - 1)
+                if level:
+                    out.append((token[:take], node.as_py(), n, float((df - 1).sum() / n)))
             sizes = np.array([len(o[0]) for o in out], np.int64)
             columns = [np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)]
-            columns += [np.repeat(np.array([o[i] for o in out], np.int64), sizes) for i in (1, 2, 3)]
-            columns.append(np.repeat(np.array([o[4] for o in out], float), sizes))
-            names = ["token", "node", "n", "need", "mean"]
+            columns += [np.repeat(np.array([o[i] for o in out], np.int64), sizes) for i in (1, 2)]
+            columns.append(np.repeat(np.array([o[3] for o in out], float), sizes))
+            names = ["token", "node", "n", "mean"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return rows.mapInArrow(run, "token bigint, node bigint, n bigint, need bigint, mean double")
+    return rows.mapInArrow(run, "token bigint, node bigint, n bigint, mean double")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -256,23 +290,80 @@ def _link(sets: DataFrame, join: Join) -> DataFrame:
         if not links.isEmpty():
             labels = _contract(labels, links)
         turn += 1
-    x = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "need", "component")])
-    y = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "need", "component")])
-    # Sets of sizes n and m link if they share p (n + m) / (100 + p) shingles. Of two prefixes take the one that
-    # ends first: all the sets share but at most need(n) - l shingles lies in both prefixes.
-    wanted = F.least(*[F.col(f"need_{s}") - F.ceil(F.col(f"n_{s}") * join.percent / 100) for s in "ab"]) + F.ceil(
-        (F.col("n_a") + F.col("n_b")) * join.percent / (100 + join.percent)
+    pairs = stored(_open_pairs(sets, labels, open_.select("node").distinct(), join), "pairs")
+    links = stored(_verify(pairs, sets, join), "links")
+    return labels if links.isEmpty() else _contract(labels, links)
+
+
+def _reordered(sets: DataFrame, placed: DataFrame, join: Join) -> DataFrame:
+    """``token, bucket, node, component, n, level, probe``: what the sets of ``placed`` (node, component) read in the
+    last round, as the smaller set of a pair (in the bucket of its own size) and as the larger one (``probe``)."""
+    postings = _postings(sets.join(placed, "node", "left_semi"), "node").join(placed, "node")
+    per = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    tokens = per.groupBy("token").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("k").alias("all"),
+        (F.sum("k").cast("double") ** 2 - F.sum(F.col("k").cast("double") ** 2)).alias("pairs"),
+    )
+    others = per.join(tokens.where("parts > 1"), "token").select(
+        "token", "component", "pairs", (F.col("all") - F.col("k")).alias("others")
+    )
+    known = postings.join(others, ["token", "component"]).groupBy("node", "component").agg(
+        F.sort_array(F.collect_list(F.struct("pairs", "token", "others"))).alias("shared")
+    )
+    rows = known.join(sets.select("node", F.col("n_shingles").alias("n")), "node").select(
+        "node", "component", "n", F.col("shared.token").alias("token"), F.col("shared.others").alias("others")
     )
-    pairs = (
-        x.join(y, "token")
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
-        .where(_sizes_fit(F.col("n_a"), F.col("n_b"), join))
+    names = ["bucket", "node", "component", "n", "level", "probe"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, facts = [np.zeros(0, np.int64)], []
+            for node, component, n, token, reads in zip(*(batch.column(i) for i in range(5))):
+                node, component, n = node.as_py(), component.as_py(), n.as_py()
+                token, reads = np.asarray(token.values), np.asarray(reads.values)
+                # As the smaller set it meets sizes from n on, as the larger one those of each bucket below.
+                turns = [(bucket(n), n, 0)]
+                turns += [(b, max(join.need(n), bucket_floor(b)), 1) for b in range(bucket(join.need(n)), bucket(n) + 1)]
+                for place, least, probe in turns:
+                    level, take = pick_level(n, join.overlap(n, least), reads)
+                    if level:
+                        tokens.append(token[:take])
+                        facts.append((take, place, node, component, n, level, probe))
+            table = np.array(facts, np.int64).reshape(-1, 7)
+            columns = [np.concatenate(tokens)] + [np.repeat(table[:, i], table[:, 0]) for i in range(1, 7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", *names])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["token", *names]))
+
+
+def _open_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of different components that share enough of their prefixes, among the open ``nodes``."""
+    placed = stored(labels.join(nodes, "node", "left_semi"), "placed")
+    reads = stored(_reordered(sets, placed, join), "reads")
+    place = ["token", "bucket"]
+
+    def side(probe: int, end: str) -> DataFrame:
+        mine = [F.col(c).alias(f"{c}_{end}") for c in ("component", "node", "n", "level")]
+        return reads.where(F.col("probe") == probe).select(*place, *mine)
+
+    x, y = side(0, "a"), side(1, "b")
+    meet = (
+        x.select(*place, "component_a")
+        .distinct()
+        .join(y.select(*place, "component_b").distinct(), place)
+        .where("component_a != component_b")
+    )
+    smaller = F.struct("n_a", "node_a") < F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))
+    return (
+        meet.join(x, [*place, "component_a"])
+        .join(y, [*place, "component_b"])
+        .where(smaller & _sizes_fit(F.col("n_a"), F.col("n_b"), join))
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("k"), F.min(wanted).alias("wanted"))
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("level_a", "level_b")).alias("wanted"))
         .where("k >= wanted")
+        .select("a", "b")
     )
-    links = stored(_verify(stored(pairs.select("a", "b"), "pairs"), sets, join), "links")
-    return labels if links.isEmpty() else _contract(labels, links)
 
 
 def linked(table: DataFrame, texts: DataFrame, join: Join) -> DataFrame:

@@ -193,6 +193,86 @@ def test_jaccard_components_equal_brute_force(docs, size, percent):
     assert stay.columns == docs.columns and stay.count() == len(set(roots))
 
 
+def shingles_of(text, size):
+    words = [w.lower() for w in text.split()]
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def test_prefixes_of_the_last_round_meet_where_sets_link():
+    """Two sets that link share min(level) shingles of the smaller one's index prefix and the larger one's bucket prefix."""
+    rng, join = np.random.default_rng(8), jaccard_join.Join()
+    assert all(jaccard_join.bucket_floor(jaccard_join.bucket(n)) <= n for n in range(1, 20_000))
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        x = set(rng.choice(400, n, replace=False).tolist())
+        y = set(x)
+        for t in rng.choice(400, int(rng.integers(0, 1 + n // 8))).tolist():
+            y ^= {t}
+        small, large = sorted((x, y), key=len)
+        if not small or 100 * len(x & y) < 85 * len(x | y):
+            continue
+        reads = {t: int(r) for t, r in enumerate(rng.integers(1, 50, 400))}
+        alone = {t for t in x ^ y if rng.random() < 0.5}
+
+        def prefix(s, least):
+            order = sorted((s - alone), key=lambda t: (reads[t], t))
+            level, take = jaccard_join.pick_level(len(s), join.overlap(len(s), least), np.array([reads[t] for t in order], int))
+            return level, set(order[:take])
+
+        place = jaccard_join.bucket(len(small))
+        assert jaccard_join.bucket(join.need(len(large))) <= place
+        (a, one), (b, two) = (
+            prefix(small, len(small)),
+            prefix(large, max(join.need(len(large)), jaccard_join.bucket_floor(place))),
+        )
+        assert a and b and len(one & two) >= min(a, b)
+        met += 1
+    assert met > 150
+
+
+def test_a_shared_passage_costs_no_pairs_between_a_group_and_its_variants(spark, monkeypatch):
+    """Variants that link with little share nearly all their shingles with each other or with a large group."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(320)]
+    edits = {int(p): f"edit{p}" for p in range(0, 320, 8)}
+
+    def changed(times):
+        words = list(base)
+        for p in rng.choice(list(edits), times, replace=False):
+            words[p] = edits[int(p)]
+        return " ".join(words)
+
+    variants = [changed(9) for _ in range(150)]
+    group = [changed(1) + f" tail{i}" for i in range(300)]
+    pairs, inner = [], jaccard_join._open_pairs
+
+    def counted(*args):
+        found = inner(*args)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_open_pairs", counted)
+    for size in (60, 300):
+        texts = variants + group[:size]
+        sets = [shingles_of(t, 4) for t in texts]
+        names = {s: i for i, s in enumerate(set().union(*sets))}
+        grid = np.zeros((len(sets), len(names)), np.float32)
+        for i, s in enumerate(sets):
+            grid[i, [names[t] for t in s]] = 1
+        both, sizes = grid @ grid.T, grid.sum(1)
+        union = sizes[:, None] + sizes - both
+        component, before = np.arange(len(sets)), None
+        while before is None or (component != before).any():
+            before = component
+            component = np.where(100 * both >= 85 * union, before[None, :], len(sets)).min(1)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_join.component_report(docs).collect()}
+        assert found == dict(enumerate(component.tolist()))
+    # Variants meet each other; five times the group would make 36,000 pairs more if it met them too.
+    assert len(pairs) == 2 and pairs[1] < 1.5 * pairs[0], pairs
+
+
 def test_substring_dedup_equals_brute_force(docs):
     rows = [(2**63 - 1 if r[0] is None else r[0], r[0], (r[1] or "").encode().split()) for r in ROWS]
     least = {}
