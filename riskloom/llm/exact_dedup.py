@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.tables import narrow_lookup, numbered, restored, stored
+from riskloom.llm.tables import PLACE, narrow_lookup, placed, restored, stored, without
 from riskloom.session import scratch_path
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -104,10 +104,11 @@ def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     return looked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns. Texts are stored once and not shuffled
-    unless the list of dropped rows is too long to broadcast."""
-    given, names = numbered(docs, "doc_id", "text")
-    table, looked = _indexed(given, names, index)
-    dropped = stored(looked.where(~F.col("kept")).select("row"), "dropped")
-    return restored(narrow_lookup(table, dropped, "row", "left_anti"), docs)
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, in_files: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns. Texts are not shuffled unless the list of
+    dropped rows is too long to broadcast. ``in_files``: see :func:`riskloom.llm.tables.placed`."""
+    given, _ = placed(docs, in_files, "doc_id", "text")
+    table, looked = _indexed(given, PLACE, index)
+    rows = stored(looked.where(~F.col("kept")).select("row"), "dropped")
+    dropped = stored(narrow_lookup(table.select("row", *PLACE), rows, "row", "left_semi").select(*PLACE), "places")
+    return restored(without(given, dropped), docs)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import arrays
 from riskloom.llm.graph import components
-from riskloom.llm.tables import narrow_lookup, numbered, restored, small_batches, stored
+from riskloom.llm.tables import PLACE, narrow_lookup, placed, restored, small_batches, stored, without
 
 #: Pairs left per posting below which the last round begins.
 PAIRS_PER_POSTING = 4
@@ -402,15 +402,17 @@ def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return named.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents that stay when one of each component does (smallest ``doc_id``), with all columns."""
+def keep_one(docs: DataFrame, join: Join = Join(), in_files: bool = False) -> DataFrame:
+    """The documents that stay when one of each component does (smallest ``doc_id``), with all columns.
+    ``in_files``: see :func:`riskloom.llm.tables.placed`."""
     small_batches(docs.sparkSession)
-    given, names = numbered(docs, "doc_id", "text")
-    # The texts are kept next to their sets, so rows are found again by their place.
-    source = given.select(*names, "doc_id", F.col("text").alias("_text"), F.col("text").alias("_kept"))
-    table = stored(_map_sets(source, join, whole=False), "prefix", uid="row").withColumn("_key", F.col("row"))
-    groups = linked(table, table.select("_key", F.col("_kept").alias("_text")), join)
+    given, _ = placed(docs, in_files, "doc_id", "text")
+    # Texts are found again by their place; rows that share a key are told apart by their sets.
+    source = given.select(*PLACE, "doc_id", F.xxhash64(*PLACE).alias("_key"), F.col("text").alias("_text"))
+    table = stored(_map_sets(source, join, whole=False), "prefix", uid="row")
+    groups = linked(table, source.select("_key", "_text"), join)
     rows = narrow_lookup(table.select("doc_id", "_fp", "row"), groups, "_fp", "inner", spread="row")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
-    dropped = stored(rows.select("row").join(first.select("row"), "row", "left_anti"), "dropped")
-    return restored(narrow_lookup(table, dropped, "row", "left_anti"), docs)
+    gone = stored(rows.select("row").join(first.select("row"), "row", "left_anti"), "dropped")
+    dropped = stored(narrow_lookup(table.select("row", *PLACE), gone, "row", "left_semi").select(*PLACE), "places")
+    return restored(without(given, dropped), docs)

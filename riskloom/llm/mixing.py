@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import fits_broadcast
-from riskloom.llm.tables import LOOKUP_ROWS, WORD, numbered, restored, stored
+from riskloom.llm.tables import LOOKUP_ROWS, PLACE, WORD, placed, restored, stored
 
 SLICE_ROWS = 50_000
+#: Rows of one task of an output shard.
+SHARD_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -175,12 +177,18 @@ def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return draw(docs, ["doc_id"], mix).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix = Mix(), in_files: bool = False) -> DataFrame:
     """The mix itself: one row per document and copy with the columns of ``docs``, dealt to the
     shards and shuffled inside each. A cut document keeps its text up to the last word taken, and
-    ``n_chars`` (if there) follows."""
-    given, names = numbered(docs, "doc_id", "text", "source")
-    rows = draw(given, names, mix).withColumn("_draw", F.explode("draws"))
+    ``n_chars`` (if there) follows. Draws are made without the texts, which are joined
+    to them by place (``in_files``: see :func:`riskloom.llm.tables.placed`). Each shard is
+    written by as many tasks as its rows fill, each a range of the shard's order."""
+    given, names = placed(docs, in_files, "doc_id", "text", "source")
+    drawn = stored(draw(given, PLACE, mix).where(F.size("draws") > 0).select(*PLACE, "size", "draws"), "draws")
+    small = fits_broadcast(drawn, LOOKUP_ROWS)
+    copies = drawn.agg(F.coalesce(F.sum(F.size("draws")), F.lit(0))).first()[0]
+    rows = given.drop("doc_id", "text", "source").join(F.broadcast(drawn) if small else drawn, PLACE)
+    rows = rows.withColumn("_draw", F.explode("draws"))
     column = dict(zip(docs.columns, names))
     pieces = F.regexp_extract_all(column["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     head = F.array_join(F.slice(pieces, 1, F.col("_draw.words").cast("int")), "")
@@ -192,5 +200,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out = rows.withColumns(changed).withColumn(
         "_shuffle", F.xxhash64(F.lit(mix.seed + 1), F.col(column["doc_id"]), "_draw.copy")
     )
-    dealt = out.repartition(mix.shards, "_draw.shard").sortWithinPartitions("_draw.shard", "_shuffle")
-    return restored(dealt, docs)
+    # The order within a shard is a hash, so ranges of it are even without a sample.
+    bits = max(0, (copies // (mix.shards * SHARD_ROWS)).bit_length())
+    part = F.shiftrightunsigned("_shuffle", 64 - bits) if bits else F.lit(0)
+    dealt = out.withColumn("_part", part).repartition(2 * mix.shards << bits, "_draw.shard", "_part")
+    return restored(dealt.sortWithinPartitions("_draw.shard", "_shuffle"), docs)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import fits_broadcast, salted_join
-from riskloom.llm.tables import WORD, numbered, restored, stored
+from riskloom.llm.tables import PLACE, WORD, placed, restored, stored, without
 
 WINDOW = 5
 SCALE = 4096
@@ -309,7 +309,8 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return judge(docs, ["doc_id"], rules)
 
 
-def keep_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    given, names = numbered(docs, "lang", "source", "text")
-    return restored(judge(given, names, rules).where("kept"), docs)
+def keep_quality(docs: DataFrame, rules: Rules = Rules(), in_files: bool = False) -> DataFrame:
+    """The documents that pass, with all their columns. ``in_files``: see :func:`riskloom.llm.tables.placed`."""
+    given, _ = placed(docs, in_files, "lang", "source", "text")
+    rejected = stored(judge(given, PLACE, rules).where(~F.col("kept")).select(*PLACE), "rejected")
+    return restored(without(given, rejected), docs)

@@ -62,6 +62,30 @@ def stored(df: DataFrame, name: str, uid: str | None = None) -> DataFrame:
     return table.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias(uid))
 
 
+#: Where a row of a file scan lies: a hash of its file's path, and its place there.
+PLACE = ["_file", "_at"]
+
+
+def placed(docs: DataFrame, in_files: bool, *needed: str) -> tuple[DataFrame, list[str]]:
+    """:func:`numbered`, and the :data:`PLACE` of every row, by which narrow results find it again.
+
+    ``in_files``: ``docs`` is read from files that do not change, so its rows are found there and no
+    text is stored again. Any other frame is stored first, as is one with a column ``_metadata``.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    given, names = numbered(docs, *needed)
+    if not in_files or "_metadata" in docs.columns:
+        return stored(given, "rows").select("*", *place), names
+    renamed = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]
+    return docs.select(*renamed, *[F.col(c) for c in needed], *place), names
+
+
+def without(given: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``given`` that are not at the places of the stored table ``dropped``."""
+    small = fits_broadcast(dropped, LOOKUP_ROWS)
+    return given.join(F.broadcast(dropped) if small else dropped, PLACE, "left_anti")
+
+
 def narrow_lookup(fact: DataFrame, lookup: DataFrame, key: str, how: str, spread: str | None = None) -> DataFrame:
     """Join a stored narrow table by one key: broadcast below a counted size, else by a shuffle.
 

@@ -321,6 +321,19 @@ def test_mix_meets_targets_and_repeats_nothing_too_often(docs):
     assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_stages_give_the_same_rows_on_frames_and_on_files(spark, docs, tmp_path):
+    """Rows found by their place in files are those of a stored frame; names like those of the places do not clash."""
+    odd = docs.withColumns({c: F.lit(i) for i, c in enumerate(("_file", "_at", "_d0", "row", "digest", "size"))})
+    odd.repartition(3).write.parquet(f"{tmp_path}/plain")
+    odd.withColumn("_metadata", F.lit(1)).write.parquet(f"{tmp_path}/meta")
+    for name in ("plain", "meta"):
+        files = spark.read.parquet(f"{tmp_path}/{name}")
+        for stage in (quality_rules.keep_quality, exact_dedup.deduplicate, jaccard_join.keep_one, mixing.mixed):
+            one, two = stage(files, in_files=True), stage(files)
+            assert one.columns == files.columns
+            assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect())), stage
+
+
 def test_quotas_are_split_exactly():
     quotas = np.array([5, 0, 1000, 37])
     dealt = mixing.split_quotas(quotas, 7, 3)
