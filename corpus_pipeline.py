@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five stages, each one operator of ``riskloom.llm``.
 
 Every stage reads all that its predecessor kept, as a table in the shared folder,
-and returns the columns of ``documents`` but for the last, which returns pieces.
+and returns the columns of ``documents`` but for the last, which returns pieces. As each
+reads files, it decides on narrow tables and finds the texts by their place in these files.
 """
 
 from __future__ import annotations
@@ -18,22 +19,22 @@ NEAR = jaccard_join.Join(size=5, percent=80)
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.keep_quality(docs)
+    return quality_rules.keep_quality(docs, in_files=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest document stays."""
-    return exact_dedup.deduplicate(docs)
+    return exact_dedup.deduplicate(docs, in_files=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links connect the smallest document stays."""
-    return jaccard_join.keep_one(docs, NEAR)
+    return jaccard_join.keep_one(docs, NEAR, in_files=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes, in the order of the output shards."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, in_files=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
