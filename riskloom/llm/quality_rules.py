@@ -167,36 +167,63 @@ def _sums() -> list[Column]:
     ]
 
 
-def _cholesky(df: DataFrame) -> DataFrame:
-    """From covariances ``_v{i}{j}`` (i <= j) to the lower factor ``_l{i}{j}`` (i >= j) and its log determinant."""
-    for j in range(DIM):
-        inner = sum((F.col(f"_l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
-        df = df.withColumn(f"_l{j}{j}", F.sqrt(F.col(f"_v{j}{j}") - inner))
-        for i in range(j + 1, DIM):
-            cross = sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
-            df = df.withColumn(f"_l{i}{j}", (F.col(f"_v{j}{i}") - cross) / F.col(f"_l{j}{j}"))
-    return df.withColumn("_logdet", 2 * sum((F.log(f"_l{i}{i}") for i in range(DIM)), F.lit(0.0)))
+ENTRIES = tuple((i, j) for i in range(DIM) for j in range(i + 1))
+ESTIMATE = ("_m", "_l", "_logdet")
 
 
-FACTOR = [f"_l{i}{j}" for i in range(DIM) for j in range(i + 1)]
-CENTRE = [f"_m{i}" for i in range(DIM)]
+def _first(i: int) -> int:
+    """Place of row ``i`` in a lower triangle stored row by row, counted from one."""
+    return i * (i + 1) // 2 + 1
+
+
+def _cholesky(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, the centre ``_m``, the lower factor ``_l`` of the covariances ``_v`` (both triangles
+    by rows) and its log determinant.
+
+    The factor grows by one entry a step inside one expression: it is worked out once a group, and as
+    a chain of columns it made plans and generated code that weigh on the driver.
+    """
+    entries = F.array(
+        *[
+            F.struct(
+                F.get("_v", F.lit(_first(i) - 1 + j)).alias("v"),
+                F.lit(_first(i)).alias("own"),
+                F.lit(_first(j)).alias("other"),
+                F.lit(j).alias("done"),
+            )
+            for i, j in ENTRIES
+        ]
+    )
+
+    def grown(factor: Column, e: Column) -> Column:
+        products = F.zip_with(
+            F.slice(factor, e["own"], e["done"]), F.slice(factor, e["other"], e["done"]), lambda x, y: x * y
+        )
+        rest = e["v"] - F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+        # The diagonal entry of the row: not there yet where it is the one to find.
+        pivot = F.try_element_at(factor, e["other"] + e["done"])
+        entry = F.when(e["own"] == e["other"], F.sqrt(rest)).otherwise(rest / pivot)
+        return F.concat(factor, F.array(entry))
+
+    factor = F.aggregate(entries, F.array().cast("array<double>"), grown)
+    diagonal = [F.log(F.get("_l", F.lit(_first(i) - 1 + i))) for i in range(DIM)]
+    return df.select(*keys, "_m", factor.alias("_l")).select(
+        *keys, "_m", "_l", (2 * sum(diagonal, F.lit(0.0))).alias("_logdet")
+    )
 
 
 def _estimate(sums: DataFrame, rules: Rules, factor: float, *keys: str) -> DataFrame:
     """Centre and Cholesky factor of ``factor`` times the covariance plus the squared floors."""
     n = F.col("_n").cast("double")
-    df = sums.select(
-        *keys,
-        *[(F.col(f"_s{i}") / n / SCALE).alias(f"_m{i}") for i in range(DIM)],
+    means = F.array(*[F.col(f"_s{i}") / n / SCALE for i in range(DIM)])
+    covariances = F.array(
         *[
-            (
-                (F.col(f"_p{i}{j}") / n - F.col(f"_s{i}") / n * F.col(f"_s{j}") / n) * (factor / SCALE**2)
-                + (rules.floors[i] ** 2 if i == j else 0.0)
-            ).alias(f"_v{i}{j}")
-            for i, j in PAIRS
-        ],
+            (F.col(f"_p{j}{i}") / n - F.col(f"_s{j}") / n * F.col(f"_s{i}") / n) * (factor / SCALE**2)
+            + (rules.floors[i] ** 2 if i == j else 0.0)
+            for i, j in ENTRIES
+        ]
     )
-    return _cholesky(df).select(*keys, *CENTRE, *FACTOR, "_logdet")
+    return _cholesky(sums.select(*keys, means.alias("_m"), covariances.alias("_v")), *keys)
 
 
 def _with_distance(rows: DataFrame, parameters: DataFrame, small: bool) -> DataFrame:
@@ -206,10 +233,12 @@ def _with_distance(rows: DataFrame, parameters: DataFrame, small: bool) -> DataF
     else:
         df = salted_join(rows, parameters, ["_group"], list(STATISTICS))
     for i in range(DIM):
-        rest = sum((F.col(f"_l{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
-        df = df.withColumn(f"_z{i}", (F.col(STATISTICS[i]) / SCALE - F.col(f"_m{i}") - rest) / F.col(f"_l{i}{i}"))
+        at = _first(i) - 1
+        rest = sum((F.get("_l", F.lit(at + k)) * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
+        centred = F.col(STATISTICS[i]) / SCALE - F.get("_m", F.lit(i))
+        df = df.withColumn(f"_z{i}", (centred - rest) / F.get("_l", F.lit(at + i)))
     squared = sum((F.col(f"_z{i}") ** 2 for i in range(DIM)), F.lit(0.0))
-    return df.withColumn("_d2", squared).drop(*[f"_z{i}" for i in range(DIM)], *CENTRE, *FACTOR, "_logdet")
+    return df.withColumn("_d2", squared).drop(*[f"_z{i}" for i in range(DIM)], *ESTIMATE)
 
 
 def _starts(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -222,20 +251,19 @@ def _starts(rows: DataFrame, rules: Rules) -> DataFrame:
     middle = stored(spread, "quartiles").select(
         "_group",
         F.lit(0).alias("_start"),
-        *[(F.get(f"_q{i}", F.lit(1)) / SCALE).alias(f"_m{i}") for i in range(DIM)],
-        *[
-            (
-                (F.pow((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / (1.349 * SCALE), F.lit(2.0)))
+        F.array(*[F.get(f"_q{i}", F.lit(1)) / SCALE for i in range(DIM)]).alias("_m"),
+        F.array(
+            *[
+                F.pow((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / (1.349 * SCALE), F.lit(2.0))
                 + rules.floors[i] ** 2
                 if i == j
                 else F.lit(0.0)
-            ).alias(f"_v{i}{j}")
-            for i, j in PAIRS
-        ],
+                for i, j in ENTRIES
+            ]
+        ).alias("_v"),
     )
-    middle = _cholesky(middle).select("_group", "_start", *CENTRE, *FACTOR, "_logdet")
     whole = stored(rows.groupBy("_group").agg(*_sums()), "sums").withColumn("_start", F.lit(1))
-    return middle.unionByName(_estimate(whole, rules, 1.0, "_group", "_start"))
+    return _cholesky(middle, "_group", "_start").unionByName(_estimate(whole, rules, 1.0, "_group", "_start"))
 
 
 def _concentrate(rows: DataFrame, parameters: DataFrame, rules: Rules, small: bool) -> DataFrame:
@@ -271,7 +299,7 @@ def fit(rows: DataFrame, rules: Rules) -> tuple[DataFrame, bool]:
         parameters = stored(after.where("_logdet < _before - 1e-9").drop("_before"), "step")
         visited = visited.unionByName(parameters)
     chosen = visited.groupBy("_group").agg(
-        F.min_by(F.struct(*CENTRE, *FACTOR, "_logdet"), F.struct("_logdet", "_start")).alias("_e")
+        F.min_by(F.struct(*ESTIMATE), F.struct("_logdet", "_start")).alias("_e")
     )
     raw = stored(chosen.select("_group", "_e.*"), "raw")
     weighed = _with_distance(rows, raw, small).where(F.col("_d2") <= chi2_quantile(rules.reweight, DIM))
