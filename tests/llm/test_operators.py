@@ -350,7 +350,14 @@ def test_mix_meets_targets_and_repeats_nothing_too_often(docs):
         assert abs(taken[source[s]] - target[s]) <= 1
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
-    assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(taken.values())
+    texts = {r[1] for r in ROWS}
+    words = Counter()
+    for r in mixed.collect():
+        assert r["text"] in texts
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    longest = {s: max(len(WORD.findall(r[1] or "")) for r in ROWS if r[3] == s) for s in names}
+    for s in names:
+        assert abs(words[s] - taken[source[s]]) <= longest[s] / 2
 
 
 def test_stages_give_the_same_rows_on_frames_and_on_files(spark, docs, tmp_path):
@@ -366,11 +373,43 @@ def test_stages_give_the_same_rows_on_frames_and_on_files(spark, docs, tmp_path)
             assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect())), stage
 
 
-def test_quotas_are_split_exactly():
-    quotas = np.array([5, 0, 1000, 37])
-    dealt = mixing.split_quotas(quotas, 7, 3)
-    assert (dealt.sum(axis=0) == quotas).all() and (dealt >= 0).all()
-    assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
+@pytest.mark.parametrize("largest", [10**9, 100])
+def test_quotas_are_split_exactly(monkeypatch, largest):
+    """Also where the totals are beyond numpy's draws."""
+    monkeypatch.setattr(mixing, "LARGEST_DRAW", largest)
+    quotas, totals = np.array([5, 0, 1000, 37]), np.array([148, 149, 149, 149, 149, 149, 149])
+    shard, source, blocks = mixing.split_quotas(quotas, totals, 3)
+    dealt = np.zeros((7, 4), int)
+    dealt[shard, source] = blocks
+    assert (dealt.sum(axis=0) == quotas).all() and (blocks > 0).all()
+    assert (dealt.sum(axis=1) == totals).all()
+
+
+def test_large_draws_follow_the_hypergeometric_law(monkeypatch):
+    monkeypatch.setattr(mixing, "LARGEST_DRAW", 0)
+    rng = np.random.default_rng(4)
+    found = np.array([mixing.hypergeometric(rng, 300, 700, 50) for _ in range(4000)])
+    assert abs(found.mean() - 15) < 0.2 and abs(found.var() - 50 * 0.3 * 0.7 * 950 / 999) < 0.7
+    assert mixing.hypergeometric(rng, 0, 10, 5) == 0 and mixing.hypergeometric(rng, 10, 0, 5) == 5
+    assert abs(mixing.hypergeometric(rng, 10**12, 3 * 10**12, 4 * 10**11) - 10**11) < 4 * 10**6
+
+
+def test_mix_deals_many_sources_and_shards(spark, monkeypatch):
+    """Every source is a row of its own, in several groups and shards; a hot source has as many rows again."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 300)
+    mix = mixing.Mix(shard_words=20)
+    docs = spark.range(2000).selectExpr(
+        "id doc_id", "repeat('w ', 1 + cast(id % 7 as int)) text", "if(id < 1000, concat('s', id), 'hot') source"
+    )
+    found = mixing.mix_report(docs, mix).collect()
+    shards = Counter(d["shard"] for r in found for d in r["draws"] for _ in range(d["words"]))
+    words, taken = sum(r["size"] for r in found), sum(r["taken"] for r in found)
+    assert len(found) == 2000 and abs(taken - words) <= 1000
+    assert set(shards) == set(range(len(shards))) and len(shards) >= 19
+    assert max(shards.values()) < 1.6 * min(shards.values())
+    hot = [r for r in found if r["doc_id"] >= 1000]
+    assert abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 1
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in found if r["doc_id"] < 1000)
 
 
 def test_encoder_equals_the_tokenizer_file():
