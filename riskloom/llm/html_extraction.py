@@ -10,14 +10,16 @@ same article if there is one. The stop words are those of seven western language
 on pages where they hardly occur, length and links decide alone.
 
 Defined cases: null and empty pages give an empty text; unclosed tags end with the
-page or with the block that encloses them; an empty table gives an empty result;
-further columns are left out.
+page or with the block that encloses them; after a quote that is never closed tags end
+at the next ``>``; very long pages take time in proportion to their length; repeated rows
+give repeated rows; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,13 +42,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A new paragraph or item ends an open one.
 ENDS_ITSELF = frozenset("p li dd dt option tr td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent"
-    r"|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice"
-    r"|notification|pager|pagination|paywall|popup|promo|promoted|promotion|related|reply|replies|respond|responses"
-    r"|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)s?(?:$|[\s_-])",
-    re.IGNORECASE,
+HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent"
+    " cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice"
+    " notification pager pagination paywall popup promo promoted promotion related reply replies respond responses"
+    " share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: A name that begins with one of these states something about its element, such as ``no-sidebar``.
+STATES = frozenset("no not has have with without is".split())
+#: The header of one of these holds a title.
+TITLED = frozenset("page post entry article section content main".split())
 #: Frequent function words of several languages.
 STOP_WORDS = frozenset(
     """the of and to in a is that for it was as with be by on not he i this are or his from at which but have an had they
@@ -62,13 +67,18 @@ STOP_WORDS = frozenset(
     een van dat zijn op te met voor niet aan""".split()
 )
 
+#: A comment or declaration begins, or a whole tag. Its quoted values may hold ``>``; where a quote is never closed the
+#: tag ends at the next ``>`` (group ``broken``). No part can match in two ways, so a search is linear.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/?)>",
-    re.DOTALL,
+    r"<!--|<!\[CDATA\[|<[!?][^>]*+>"
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|(?P<broken>)[^>]*+>)"
 )
+#: The same without quotes.
+PLAIN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?P<broken>)[^>]*+>)")
+UNTIL = {"<!--": "-->", "<![CDATA[": "]]>"}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.DOTALL)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Kana, ideographs and Hangul.
@@ -93,6 +103,17 @@ class Block:
     heading: bool = False
 
 
+def _hinted(names: str) -> bool:
+    """Whether one of the class names or ids says boilerplate: a word of it is a hint, unless it states
+    that something is there or not, or names the header of a text."""
+    for name in names.lower().split():
+        parts = re.split("[_-]+", name)
+        hints = {x for part in parts for x in (part, part.removesuffix("s")) if x in HINTS}
+        if hints and parts[0] not in STATES and not (hints == {"header"} and parts[0] in TITLED):
+            return True
+    return False
+
+
 def _encloses_boilerplate(tag: str, rest: str, in_article: bool) -> bool:
     if tag in BOILERPLATE_TAGS:
         # The header of an article holds its title.
@@ -102,17 +123,19 @@ def _encloses_boilerplate(tag: str, rest: str, in_article: bool) -> bool:
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
     if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true":
         return True
-    if HIDDEN.search(values.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", rest):
+    if HIDDEN.search(values.get("style", "")) or "hidden" in values or BARE_HIDDEN.search(ATTRIBUTE.sub(" ", rest)):
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return bool(HINTS.search(values.get("class", "")) or HINTS.search(values.get("id", "")))
+    return _hinted(values.get("class", "")) or _hinted(values.get("id", ""))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with their text, the text of links in them, and what encloses them."""
     found = [Block()]
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it makes its content out, whether it is silent
+    open_tags: Counter[str] = Counter()
+    opened: list[int] = []  # places of the block tags in the stack
     out = silent = article = links = 0
 
     def fresh(heading: bool = False) -> None:
@@ -121,6 +144,9 @@ def blocks(page: str) -> list[Block]:
     def pop() -> None:
         nonlocal out, silent, article, links
         tag, made_out, made_silent = stack.pop()
+        open_tags[tag] -= 1
+        if opened and opened[-1] == len(stack):
+            opened.pop()
         out -= made_out
         silent -= made_silent
         article -= tag in ("article", "main")
@@ -136,19 +162,29 @@ def blocks(page: str) -> list[Block]:
         if links:
             block.link_parts.append(piece)
 
-    at = 0
+    at, token = 0, TOKEN
+    closed = page.rfind(">") + 1  # no tag ends beyond
     while at < len(page):
-        match = TOKEN.search(page, at)
+        match = token.search(page, at, closed)
         if match is None:
-            text(page[at:])
+            # What is left has no tag; a comment that is not closed goes on to the end.
+            text(re.split("<[!?]", page[at:], maxsplit=1)[0])
             break
         text(page[at : match.start()])
         at = match.end()
+        if match[0] in UNTIL:
+            end = page.find(UNTIL[match[0]], at)
+            at = end + len(UNTIL[match[0]]) if end >= 0 else len(page)
+            continue
         tag = (match["tag"] or "").lower()
         if not tag:
             continue
+        if match["broken"] is not None:
+            token = PLAIN
+        rest = match["rest"][:-1]
+        ends_here = rest.endswith("/")
         if match["close"]:
-            if any(t == tag for t, _, _ in stack):
+            if open_tags[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -165,17 +201,20 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if match["self"] and tag not in BLOCK_TAGS:
+        if ends_here and tag not in BLOCK_TAGS:
             continue
         if tag in ENDS_ITSELF or (tag in BLOCK_TAGS and stack and stack[-1][0] == "p"):
             # An open paragraph, with inline tags left open in it, ends here.
-            opened = [i for i, s in enumerate(stack) if s[0] in BLOCK_TAGS]
             ends = tag if tag in ENDS_ITSELF else "p"
             if opened and stack[opened[-1]][0] == ends:
-                while len(stack) > opened[-1]:
+                bottom = opened[-1]
+                while len(stack) > bottom:
                     pop()
-        makes_out = _encloses_boilerplate(tag, match["rest"], article > 0)
+        makes_out = _encloses_boilerplate(tag, rest.removesuffix("/"), article > 0)
         makes_silent = tag in SILENT_TAGS
+        if tag in BLOCK_TAGS:
+            opened.append(len(stack))
+        open_tags[tag] += 1
         stack.append((tag, makes_out, makes_silent))
         out += makes_out
         silent += makes_silent
@@ -248,39 +287,42 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
     # Where the page marks an article, only that can be main text.
     marked = any(b.article and not b.out for _, b, _ in kept)
     first = [False if marked and not b.article else label for _, b, label in kept]
-    result = []
-    for i, ((text, block, _), label) in enumerate(zip(kept, first)):
-        if label is None:
-            label = _inherit(i, first, [b for _, b, _ in kept], marked)
-        if label:
-            result.append(text)
-    return "\n\n".join(result)
+    final = _inherit(first, [b for _, b, _ in kept], marked)
+    return "\n\n".join(text for (text, _, _), label in zip(kept, final) if label)
+
 
+def _nearest(labels: list[bool | None], found: list[Block], marked: bool) -> list[tuple[int, bool] | None]:
+    """For every block the place and label of the last decided one before it, in one scan."""
+    last, result = None, []
+    for j, (label, block) in enumerate(zip(labels, found)):
+        result.append(last)
+        if marked and not block.article:
+            last = None
+        elif label is not None and not block.out:
+            last = j, label
+    return result
 
-def _inherit(i: int, labels: list[bool | None], found: list[Block], marked: bool) -> bool:
+
+def _inherit(labels: list[bool | None], found: list[Block], marked: bool) -> list[bool]:
     """Second pass: the label both neighbours agree on; else a heading follows the block after it, and other
     blocks follow the nearer neighbour. Blocks that are out by what encloses them say nothing about others,
     and inside a marked article only its own blocks are neighbours. Without any decided neighbour the block
     is main text."""
 
-    def nearest(step: int) -> tuple[int, bool] | None:
-        j = i + step
-        while 0 <= j < len(labels):
-            if marked and not found[j].article:
-                return None
-            if labels[j] is not None and not found[j].out:
-                return abs(j - i), bool(labels[j])
-            j += step
-        return None
-
-    before, after = nearest(-1), nearest(1)
-    if before is None and after is None:
-        return found[i].article or not marked
-    if before is None or after is None:
-        return (before or after)[1]
-    if before[1] == after[1] or found[i].heading:
-        return after[1]
-    return before[1] if before[0] < after[0] else after[1] if after[0] < before[0] else True
+    def decide(i: int, before: tuple[int, bool] | None, after: tuple[int, bool] | None) -> bool:
+        if before is None and after is None:
+            return found[i].article or not marked
+        if before is None or after is None:
+            return (before or after)[1]
+        if before[1] == after[1] or found[i].heading:
+            return after[1]
+        ahead, behind = len(labels) - 1 - after[0] - i, i - before[0]
+        return before[1] if behind < ahead else after[1] if ahead < behind else True
+
+    # Seen from the end, the neighbour after a block is the one before it.
+    behind = _nearest(labels, found, marked)
+    ahead = _nearest(labels[::-1], found[::-1], marked)[::-1]
+    return [decide(i, behind[i], ahead[i]) if label is None else label for i, label in enumerate(labels)]
 
 
 def main_texts(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:

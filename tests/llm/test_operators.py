@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -626,6 +627,59 @@ def test_pages_of_other_languages_are_kept(lang, tag):
     assert html_extraction.extract(page).split("\n\n") == [one, FOREIGN[lang][:20].strip(), two]
 
 
+PARAGRAPH = "The quick brown fox is in the house of the king and it was not for him to be there at all. " * 4
+
+
+@pytest.mark.parametrize(
+    "attributes, kept",
+    [
+        ('class="site no-sidebar"', True),
+        ('class="post has-comments"', True),
+        ('style="overflow:hidden"', True),
+        ('class="overflow hidden md:block"', True),
+        ('class="page-header"', True),
+        ('class="sidebar"', False),
+        ('class="comment-list"', False),
+        ('id="site-footer"', False),
+        ('style="color:red; display: none"', False),
+        ("hidden", False),
+    ],
+)
+def test_names_and_styles_say_boilerplate_by_themselves(attributes, kept):
+    assert (html_extraction.extract(f"<div {attributes}><p>{PARAGRAPH}</p></div>") != "") == kept
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " + "\"'" * 50_000 + "<p>x",
+        "<p>ab</p>" * 50_000,
+        "<div>" * 50_000 + "x",
+        "<a " * 50_000,
+        "<b>" * 30_000 + "<p>x</p>" * 30_000,
+        "<a \"'>" * 50_000,
+        "<a '\">x" * 30_000 + '<b ">y' * 30_000,
+        "<!-- " * 50_000,
+    ],
+)
+def test_long_and_malformed_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extraction.extract(page)
+    assert time.process_time() - began < 10
+
+
+def test_blocks_follow_their_neighbours():
+    """The second pass decides: short blocks take the label of the nearer neighbour."""
+    link = "<p><a href='x'>" + "more links here " * 10 + "</a></p>"
+    page = f"{link}<p>near links</p><p>also near</p><p>between</p><p>near text</p><p>{PARAGRAPH}</p><p>after</p>"
+    found = html_extraction.extract(page).split("\n\n")
+    assert found == ["between", "near text", PARAGRAPH.strip(), "after"]
+    found = [html_extraction.Block() for _ in range(5)]
+    assert html_extraction._inherit([True, None, None, None, False], found, False) == [True, True, True, False, False]
+    found[2].heading = True
+    assert html_extraction._inherit([True, None, None, None, False], found, False) == [True, True, False, False, False]
+
+
 def test_code_and_tables_stay_on_pages_without_an_article():
     prose = "It was the first time that all of them had been there, and it is what they would do when the other one is in. " * 3
     code = "for row in range(100): total[row] = left[row] * right[row] + offset[row]; print(total[row], row)"
