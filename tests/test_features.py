@@ -186,6 +186,58 @@ def test_usual_persons_need_one_exchange_of_the_counted_events(spark):
     assert "Generate explode" not in plan
 
 
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    """Tasks of so few rows that the time line needs several."""
+    monkeypatch.setattr(ft, "TASK_ROWS", 2000)
+
+
+@pytest.mark.parametrize("name", ["measurement", "measurement_range_dt", "measurement_bin"])
+def test_work_beyond_a_task_is_dealt_by_person_without_a_change(spark, rows, monkeypatch, name):
+    omop, cohort = timeline(spark)
+    analysis = ft.default_analyses()[name]
+    whole = rows(ft.analyze(omop, cohort, analysis))
+    monkeypatch.setattr(ft, "TASK_ROWS", 2000)
+    stored = []
+    monkeypatch.setattr(ft, "materialize", lambda df, name="table", f=ft.materialize: stored.append(name) or f(df, name))
+    assert rows(ft.analyze(omop, cohort, analysis)) == whole
+    # Pairs are as many as events times cohort rows: they are not stored.
+    assert "pairs" not in stored
+
+
+def test_tasks_follow_the_input_and_one_exchange_moves_the_events(spark, small_tasks):
+    analysis = ft.default_analyses()["measurement"]
+    sizes = [ft.load_of(*timeline(spark, busy), analysis).tasks for busy in (1000, 3000, 9000)]
+    assert sizes == sorted(set(sizes)) and sizes[2] / sizes[1] == pytest.approx(3, rel=0.2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exchanges(ft.analyze(*timeline(spark), analysis))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 2 and all(f", {sizes[1]})" in line for line in found)
+
+
+def test_a_table_of_several_analyses_moves_once(spark, rows, small_tasks):
+    omop, cohort = timeline(spark)
+    names = ["measurement", "measurement_dt", "measurement_range"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        together = ft.featurize(omop, cohort, names)
+        # Cohort rows move to the stored events, for each analysis.
+        assert len(exchanges(together)) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    alone = [ft.analyze(omop, cohort, ft.default_analyses()[n]) for n in names]
+    columns = ["prediction_id", "feature_id", "concept_count"]
+    assert rows(together, *columns) == sorted(sum((rows(a, *columns) for a in alone), []), key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert any("events-" in f for f in together.inputFiles())
+
+
 def test_large_vocabulary_is_reduced_to_the_codes_in_use(spark, rows, monkeypatch):
     omop, cohort = timeline(spark, 300)
     analysis = ft.default_analyses()["measurement"]
