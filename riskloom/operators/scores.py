@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.functions.joins import fits_broadcast, lookup_join, salted_join
 from riskloom.session import bucketed, materialize, scratch_path
@@ -19,6 +21,8 @@ from riskloom.sources.omop import union_all
 # Smallest probability inside a logarithm, column of the intercept.
 LOG_FLOOR = 1e-15
 BIAS = -1
+#: Features up to which a fit keeps its few vectors of weights on the driver, as MLlib does; beyond, in a table.
+LOCAL_WEIGHTS = 1_000_000
 PENALTY_MODES = ("unconditional", "conditional", "conditional_pos", "conditional_neg")
 
 
@@ -199,7 +203,8 @@ def fit_score_fair(
     ``long`` holds ``row_id, col_id, value`` and ``rows`` holds ``row_id, labels, group``.
     Returns ``col_id, weight`` with the intercept, which has no ridge, under col_id -1.
 
-    Limited-memory quasi-Newton without a vector on the driver: weights, gradient and the
+    Up to ``LOCAL_WEIGHTS`` features :func:`_fit_rows` does it by two short jobs a step. Beyond,
+    limited-memory quasi-Newton without a vector on the driver: weights, gradient and the
     last ``memory`` steps are columns of one stored table by feature, and the driver sees
     only their scalar products, of which the direction's coefficients follow. A step needs
     two passes over the features, for the logits of the direction and for the gradient;
@@ -210,6 +215,10 @@ def fit_score_fair(
     if mode not in PENALTY_MODES:
         raise ValueError(f"mode must be one of {PENALTY_MODES}")
     n_rows = rows.count()
+    seen = materialize(_with_bias(long, rows).where(F.col("value").isNotNull()), "seen")
+    columns = materialize(seen.select("col_id").where(F.col("col_id").isNotNull()).distinct(), "columns")
+    if columns.count() <= LOCAL_WEIGHTS:
+        return _fit_rows(seen, columns, rows, n_rows, lam, mode, ridge, tol, memory)
     with bucketed(_with_bias(long, rows), "row_id") as features:
 
         def gradient(scored: DataFrame) -> DataFrame:
@@ -277,6 +286,184 @@ def fit_score_fair(
     return state.select("col_id", F.col("w").alias("weight"))
 
 
+class _Rows:
+    """Training rows in the tasks: sparse rows as arrays, and sums over them for given weights.
+
+    ``stored`` has one row per row id: ``cols`` (0..n_cols-1), ``values``, ``labels`` and ``cell``,
+    the number of its stratum and group, -1 for no stratum. Functions of the tasks name nothing of
+    this module, so the workers need not have it.
+    """
+
+    def __init__(self, stored: DataFrame, n_cols: int, n_cells: int, n_rows: int, lam: float):
+        self.stored, self.n_cols, self.n_cells, self.n_rows, self.lam = stored, n_cols, n_cells, n_rows, lam
+
+    def _total(self, part: Callable[[np.ndarray, ...], np.ndarray], size: int) -> np.ndarray:
+        """The sum of a vector that ``part`` makes of each batch, added up in each task and then by Spark."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                cols, values = batch.column("cols"), batch.column("values")
+                owner = np.repeat(np.arange(len(batch)), np.diff(cols.offsets.to_numpy()))
+                total += part(
+                    owner,
+                    cols.flatten().to_numpy(),
+                    values.flatten().to_numpy(),
+                    batch.column("labels").to_numpy(),
+                    batch.column("cell").to_numpy(),
+                )
+            own = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["j", "x"])
+
+        found = self.stored.mapInArrow(run, "j bigint, x double").groupBy("j").agg(F.sum("x").alias("x")).toArrow()
+        result = np.zeros(size)
+        result[found["j"].to_numpy()] = found["x"].to_numpy()
+        return result
+
+    def curvature(self) -> np.ndarray:
+        """Per column, the mean of a quarter of the squared values: a bound of the loss's second derivative."""
+        n_cols, n_rows = self.n_cols, self.n_rows
+        return self._total(lambda owner, cols, values, *_: np.bincount(cols, values * values / (4 * n_rows), n_cols), n_cols)
+
+    def sums(self, w: np.ndarray, d: np.ndarray, steps: Sequence[float]) -> np.ndarray:
+        """At ``w + t * d`` for several t: the summed loss, then per cell the rows and their log-probabilities."""
+        n_cells = self.n_cells
+
+        def part(owner, cols, values, labels, cell):
+            z = np.bincount(owner, values * w[cols], len(labels))
+            dz = np.bincount(owner, values * d[cols], len(labels))
+            have = cell >= 0
+            out = []
+            for t in steps:
+                at = z + t * dz
+                log_prob = -np.logaddexp(0.0, -at)
+                # log(1 + e^z) - y z, and log p is -log(1 + e^-z).
+                out.append([((1.0 - labels) * at - log_prob).sum()])
+                out.append(np.bincount(cell[have], minlength=n_cells))
+                out.append(np.bincount(cell[have], log_prob[have], n_cells))
+            return np.concatenate(out)
+
+        return self._total(part, len(steps) * (1 + 2 * n_cells)).reshape(len(steps), -1)
+
+    def penalty(self, sums: np.ndarray, groups: int) -> tuple[float, np.ndarray]:
+        """The penalty and, per cell, its derivative by a row's log-probability, from one line of :meth:`sums`."""
+        n, p = sums[1 : 1 + self.n_cells], sums[1 + self.n_cells :]
+        value, pull = 0.0, np.zeros(self.n_cells)
+        for first in range(0, self.n_cells, groups):
+            own = first + np.flatnonzero(n[first : first + groups])
+            if len(own):
+                gap = p[own] / n[own] - p[own].sum() / n[own].sum()
+                value += self.lam * float(gap @ gap)
+                pull[own] = self.lam * 2.0 * (gap / n[own] - gap.sum() / n[own].sum())
+        return value, pull
+
+    def slopes(self, w: np.ndarray, pull: np.ndarray) -> np.ndarray:
+        """The gradient of mean loss + penalty."""
+        n_cols, n_rows = self.n_cols, self.n_rows
+
+        def part(owner, cols, values, labels, cell):
+            z = np.bincount(owner, values * w[cols], len(labels))
+            prob = np.exp(-np.logaddexp(0.0, -z))
+            slope = (prob - labels) / n_rows + np.where(cell >= 0, pull[cell], 0.0) * (1.0 - prob)
+            return np.bincount(cols, values * slope[owner], n_cols)
+
+        return self._total(part, n_cols)
+
+
+def _fit_rows(
+    seen: DataFrame,
+    columns: DataFrame,
+    rows: DataFrame,
+    n_rows: int,
+    lam: float,
+    mode: str,
+    ridge: float,
+    tol: float,
+    memory: int,
+) -> DataFrame:
+    """:func:`fit_score_fair` with the weights on the driver: limited-memory quasi-Newton, two jobs a step.
+
+    Rows are stored once as sparse arrays and stay in the tasks. A step is a job for the line search,
+    whose group sums also give the penalty's derivative, and a job for the gradient. Columns are
+    scaled by a bound of their curvature, as features differ much in frequency.
+    """
+    spark = rows.sparkSession
+    ids = np.sort(columns.toArrow()["col_id"].to_numpy())
+    if not len(ids):
+        return columns.select("col_id", F.lit(0.0).alias("weight"))
+    places = materialize(
+        spark.createDataFrame(pa.table({"col_id": ids, "j": np.arange(len(ids), dtype=np.int32)})), "places"
+    )
+    # Null is a value of the attribute like others, as in the windows over strata.
+    keys = rows.select(_strata(mode).alias("_s"), "group").distinct().collect()
+    strata = sorted({k["_s"] for k in keys if k["_s"] is not None})
+    groups = sorted({k["group"] for k in keys}, key=lambda g: (g is None, str(g)))
+    cells = [(s, g, i * len(groups) + j) for i, s in enumerate(strata) for j, g in enumerate(groups)]
+    typed = rows.select(_strata(mode).cast("bigint").alias("_s"), "group").schema
+    cell_table = spark.createDataFrame(cells, StructType([*typed.fields, StructField("cell", LongType())]))
+    marked = rows.where(F.col("labels").isNotNull()).withColumn("_s", _strata(mode).cast("bigint")).alias("r").join(
+        F.broadcast(cell_table.alias("c")),
+        (F.col("r._s") == F.col("c._s")) & F.col("r.group").eqNullSafe(F.col("c.group")),
+        "left",
+    )
+    marked = marked.select(
+        "r.row_id", F.col("r.labels").cast("double").alias("labels"), F.coalesce("c.cell", F.lit(-1)).alias("cell")
+    )
+    arrays = (
+        lookup_join(seen, places, ["col_id"], spread=["row_id"])
+        .groupBy("row_id")
+        .agg(F.collect_list("j").alias("cols"), F.collect_list("value").alias("values"))
+    )
+    stored = materialize(marked.join(arrays, "row_id").drop("row_id"), "rows")
+    data = _Rows(stored, len(ids), max(1, len(cells)), n_rows, lam)
+    free = np.where(ids != BIAS, 1.0, 0.0)
+    scale = 1.0 / np.sqrt(np.maximum(data.curvature() + ridge * free, 1e-12))
+
+    def state(sums: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, pull = data.penalty(sums, max(1, len(groups)))
+        return sums[0] / n_rows + value + ridge / 2 * float(free @ (w * w)), pull
+
+    w = np.zeros(len(ids))
+    now, pull = state(data.sums(w, w, [0.0])[0], w)
+    g = data.slopes(w, pull) + ridge * free * w
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    while np.abs(g).max() > tol:
+        # Two-loop recursion in the scaled columns.
+        q, alphas = -g * scale, []
+        for s, y in reversed(pairs):
+            alphas.append((s @ q) / (s @ y))
+            q = q - alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            q = q * ((s @ y) / (y @ y))
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            q = q + (alpha - (y @ q) / (s @ y)) * s
+        d = q * scale
+        slope = float(g @ d)
+        if slope >= 0:
+            d, pairs = -g * scale * scale, []
+            slope = float(g @ d)
+        first = 1.0 if pairs else min(1.0, 1.0 / float(np.linalg.norm(g * scale)))
+        step = None
+        while step is None and first > 1e-14:
+            tried = [first / 2**j for j in range(4)]
+            for t, sums in zip(tried, data.sums(w, d, tried)):
+                value, pull = state(sums, w + t * d)
+                # The last term is the rounding of the objective.
+                if value <= now + 1e-4 * t * slope + 1e-14 * abs(now):
+                    step, now = t, value
+                    break
+            first = tried[-1] / 2
+        if step is None:
+            break
+        w = w + step * d
+        before, g = g, data.slopes(w, pull) + ridge * free * w
+        s, y = step * d / scale, (g - before) * scale
+        if s @ y > 0:
+            pairs = [*pairs, (s, y)][-memory:]
+    return materialize(spark.createDataFrame(pa.table({"col_id": ids, "weight": w})), "weights")
+
+
 def logits(
     features: DataFrame, weights: DataFrame, rows: DataFrame, small: bool | None = None, name: str = "z"
 ) -> DataFrame:

@@ -81,6 +81,23 @@ def test_fit_equals_numpy_at_convergence(data, lam, mode, ridge):
     assert [got[j] for j in (0, 1, 2, -1)] == pytest.approx(list(want), abs=2e-6)
 
 
+def test_a_fit_takes_few_jobs_and_equals_that_by_tables(spark, data, monkeypatch):
+    long, rows, *_ = data
+
+    def fitted(name):
+        spark.sparkContext.setJobGroup(name, name)
+        found = sc.fit_score_fair(long, rows, 0.5, "conditional", 0.1, tol=1e-5).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        return [r.weight for r in sorted(found)], jobs
+
+    few, jobs = fitted("rows")
+    monkeypatch.setattr(sc, "LOCAL_WEIGHTS", 0)
+    many, more = fitted("tables")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert few == pytest.approx(many, abs=1e-3)
+    assert jobs < more / 2
+
+
 def test_without_penalty_the_fit_is_the_plain_one(data):
     long, rows, *_ = data
     sparse = mg.to_sparse(
