@@ -210,6 +210,23 @@ def test_work_beyond_a_task_is_dealt_by_person_without_a_change(spark, rows, mon
     assert "pairs" not in stored
 
 
+@pytest.mark.parametrize("name", ["measurement_bin", "measurement_bin_dt"])
+def test_value_bins_are_counted_by_number_and_named_once(spark, rows, monkeypatch, name):
+    omop, cohort = timeline(spark)
+    analysis = ft.default_analyses()[name]
+    got = ft.analyze(omop, cohort, analysis)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line for line in plan.splitlines() if "Aggregate [prediction_id" in line]
+    # Neither texts nor bounds are keys of the counts; texts come from a table of a row per number.
+    assert len(counts) == 1 and "_piece" in counts[0].split("]")[0] and "low#" not in counts[0]
+    assert "concat_ws" not in plan[: plan.index("Aggregate [prediction_id")]
+    whole = rows(got)
+    assert whole and len({r[6] for r in whole}) > 10
+    # Beyond a broadcast both lookups are salted joins.
+    monkeypatch.setattr(ft, "lookup_join", lambda *args, f=ft.lookup_join, **kwargs: f(*args, **kwargs, small=False))
+    assert rows(ft.analyze(omop, cohort, analysis)) == whole
+
+
 def test_tasks_follow_the_input_and_one_exchange_moves_the_events(spark, small_tasks):
     analysis = ft.default_analyses()["measurement"]
     sizes = [ft.load_of(*timeline(spark, busy), analysis).tasks for busy in (1000, 3000, 9000)]
