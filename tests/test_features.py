@@ -239,6 +239,26 @@ def test_tasks_follow_the_input_and_one_exchange_moves_the_events(spark, small_t
     assert len(found) == 2 and all(f", {sizes[1]})" in line for line in found)
 
 
+@pytest.mark.parametrize("name", ["measurement_range", "measurement_bin_dt"])
+def test_a_busy_person_leaves_the_work_of_all_dealt(spark, rows, monkeypatch, name):
+    omop, cohort = timeline(spark)
+    analysis = ft.default_analyses()[name]
+    whole = rows(ft.analyze(omop, cohort, analysis))
+    monkeypatch.setattr(ft, "TASK_ROWS", 2000)
+    tasks = ft.load_of(omop, cohort, analysis).tasks
+    frames = []
+    monkeypatch.setattr(ft, "_pairs", lambda *args, f=ft._pairs, **kwargs: frames.append(f(*args, **kwargs)) or frames[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(ft.analyze(omop, cohort, analysis, block_rows=200)) == whole
+        # Events and cohort rows of usual persons, and those of blocks.
+        assert tasks > 4 and len(frames) == 2
+        for frame in frames:
+            assert len([line for line in exchanges(frame) if f", {tasks})" in line]) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_table_of_several_analyses_moves_once(spark, rows, small_tasks):
     omop, cohort = timeline(spark)
     names = ["measurement", "measurement_dt", "measurement_range"]
