@@ -239,6 +239,21 @@ def test_tasks_follow_the_input_and_one_exchange_moves_the_events(spark, small_t
     assert len(found) == 2 and all(f", {sizes[1]})" in line for line in found)
 
 
+@pytest.mark.parametrize("name", ["measurement", "measurement_bin_dt"])
+def test_tasks_follow_the_pairs_of_each_person(spark, small_tasks, name):
+    """Events of three persons beside a cohort of 40,000 others, some of unknown person."""
+    omop, cohort = timeline(spark)
+    others = spark.range(1000, 41000).select(
+        F.col("id").alias("prediction_id"), F.when(F.col("id") % 50 > 0, F.col("id")).alias("person_id"), F.lit(INDEX).cast("timestamp_ntz").alias("admit_date")
+    )
+    analysis = ft.default_analyses()[name]
+    few = ft.load_of(omop, cohort, analysis)
+    many = ft.load_of(omop, cohort.unionByName(others), analysis)
+    # A row of the cohort is a row to move; the events of others are no pairs of it.
+    assert many.busiest == few.busiest and few.tasks < many.tasks <= few.tasks + 21
+    assert ft.load_of(omop | {"measurement": omop["measurement"].limit(0)}, cohort, analysis) == ft.Load(0)
+
+
 @pytest.mark.parametrize("name", ["measurement_range", "measurement_bin_dt"])
 def test_a_busy_person_leaves_the_work_of_all_dealt(spark, rows, monkeypatch, name):
     omop, cohort = timeline(spark)
