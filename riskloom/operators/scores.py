@@ -23,6 +23,9 @@ LOG_FLOOR = 1e-15
 BIAS = -1
 #: Features up to which a fit keeps its few vectors of weights on the driver, as MLlib does; beyond, in a table.
 LOCAL_WEIGHTS = 1_000_000
+#: Features up to which a fit's second derivatives are a matrix on the driver (32 MB), steps after which it is made
+#: anew, and rows that a task writes out in full to add them up.
+DENSE_WEIGHTS, DENSE_STEPS, DENSE_ROWS = 2_000, 20, 1_000
 PENALTY_MODES = ("unconditional", "conditional", "conditional_pos", "conditional_neg")
 
 
@@ -297,8 +300,11 @@ class _Rows:
     def __init__(self, stored: DataFrame, n_cols: int, n_cells: int, n_rows: int, lam: float):
         self.stored, self.n_cols, self.n_cells, self.n_rows, self.lam = stored, n_cols, n_cells, n_rows, lam
 
-    def _total(self, part: Callable[[np.ndarray, ...], np.ndarray], size: int) -> np.ndarray:
-        """The sum of a vector that ``part`` makes of each batch, added up in each task and then by Spark."""
+    def _total(self, part: Callable[[np.ndarray, ...], np.ndarray], size: int, tasks: int | None = None) -> np.ndarray:
+        """The sum of a vector that ``part`` makes of each batch, added up in each task and then by Spark.
+
+        Of a long vector a few ``tasks`` make fewer rows to add up.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
@@ -315,7 +321,8 @@ class _Rows:
             own = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["j", "x"])
 
-        found = self.stored.mapInArrow(run, "j bigint, x double").groupBy("j").agg(F.sum("x").alias("x")).toArrow()
+        stored = self.stored if tasks is None else self.stored.coalesce(tasks)
+        found = stored.mapInArrow(run, "j bigint, x double").groupBy("j").agg(F.sum("x").alias("x")).toArrow()
         result = np.zeros(size)
         result[found["j"].to_numpy()] = found["x"].to_numpy()
         return result
@@ -325,6 +332,41 @@ class _Rows:
         n_cols, n_rows = self.n_cols, self.n_rows
         return self._total(lambda owner, cols, values, *_: np.bincount(cols, values * values / (4 * n_rows), n_cols), n_cols)
 
+    def second(self, w: np.ndarray, groups: int) -> np.ndarray:
+        """Second derivatives at ``w``: those of the mean loss, and of the penalty the part that is never negative."""
+        n_cols, n_cells, n_rows, chunk = self.n_cols, self.n_cells, self.n_rows, DENSE_ROWS
+
+        def part(owner, cols, values, labels, cell):
+            z = np.bincount(owner, values * w[cols], len(labels))
+            prob = np.exp(-np.logaddexp(0.0, -z))
+            # As a sum of squares; what single precision loses only makes a step a little worse.
+            root = np.sqrt(prob * (1.0 - prob) / n_rows)
+            loss, gaps, counts = np.zeros((n_cols, n_cols)), np.zeros((n_cells, n_cols)), np.zeros(n_cells)
+            for first in range(0, len(labels), chunk):
+                rows = min(chunk, len(labels) - first)
+                own = slice(*np.searchsorted(owner, (first, first + rows)))
+                at = (owner[own] - first) * n_cols + cols[own]
+                x = np.bincount(at, values[own], rows * n_cols).reshape(rows, n_cols).astype(np.float32)
+                here = slice(first, first + rows)
+                y = x * root[here, None].astype(np.float32)
+                loss += y.T @ y
+                for c in np.unique(cell[here][cell[here] >= 0]):
+                    mine = cell[here] == c
+                    gaps[c] += (1.0 - prob[here][mine]) @ x[mine]
+                    counts[c] += mine.sum()
+            return np.concatenate([loss.ravel(), gaps.ravel(), counts])
+
+        size = n_cols * n_cols + n_cells * (n_cols + 1)
+        total = self._total(part, size, self.stored.sparkSession.sparkContext.defaultParallelism)
+        result = total[: n_cols * n_cols].reshape(n_cols, n_cols)
+        gaps, n = total[n_cols * n_cols : -n_cells].reshape(n_cells, n_cols), total[-n_cells:]
+        for first in range(0, n_cells, groups) if self.lam else ():
+            own = first + np.flatnonzero(n[first : first + groups])
+            if len(own):
+                turns = gaps[own] / n[own, None] - gaps[own].sum(axis=0) / n[own].sum()
+                result = result + 2.0 * self.lam * turns.T @ turns
+        return result
+
     def sums(self, w: np.ndarray, d: np.ndarray, steps: Sequence[float]) -> np.ndarray:
         """At ``w + t * d`` for several t: the summed loss, then per cell the rows and their log-probabilities."""
         n_cells = self.n_cells
@@ -384,8 +426,10 @@ def _fit_rows(
     """:func:`fit_score_fair` with the weights on the driver: limited-memory quasi-Newton, two jobs a step.
 
     Rows are stored once as sparse arrays and stay in the tasks. A step is a job for the line search,
-    whose group sums also give the penalty's derivative, and a job for the gradient. Columns are
-    scaled by a bound of their curvature, as features differ much in frequency.
+    whose group sums also give the penalty's derivative, and a job for the gradient. Steps start from the
+    second derivatives, made anew every ``DENSE_STEPS`` steps, where these are a matrix of moderate size: then a
+    few dozen steps do, however many rows there are and however weak the ridge. Else columns are scaled by a bound
+    of their curvature, as features differ much in frequency.
     """
     spark = rows.sparkSession
     ids = np.sort(columns.toArrow()["col_id"].to_numpy())
@@ -417,7 +461,21 @@ def _fit_rows(
     stored = materialize(marked.join(arrays, "row_id").drop("row_id"), "rows")
     data = _Rows(stored, len(ids), max(1, len(cells)), n_rows, lam)
     free = np.where(ids != BIAS, 1.0, 0.0)
-    scale = 1.0 / np.sqrt(np.maximum(data.curvature() + ridge * free, 1e-12))
+    dense = len(ids) <= DENSE_WEIGHTS and len(cells) <= DENSE_WEIGHTS
+
+    def inverse(w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """What turns a gradient into a step."""
+        if dense:
+            second = data.second(w, max(1, len(groups)))
+            # Columns that say the same, without a ridge, leave a matrix that has no inverse.
+            second[np.diag_indices_from(second)] += ridge * free + 1e-10 * (np.trace(second) / len(ids) + 1e-12)
+            try:
+                np.linalg.cholesky(second)
+                return np.linalg.inv(second).__matmul__
+            except np.linalg.LinAlgError:
+                pass
+        scale = 1.0 / np.maximum(data.curvature() + ridge * free, 1e-12)
+        return lambda v: scale * v
 
     def state(sums: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         value, pull = data.penalty(sums, max(1, len(groups)))
@@ -427,23 +485,27 @@ def _fit_rows(
     now, pull = state(data.sums(w, w, [0.0])[0], w)
     g = data.slopes(w, pull) + ridge * free * w
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    turn, solve = 0, inverse(w)
     while np.abs(g).max() > tol:
-        # Two-loop recursion in the scaled columns.
-        q, alphas = -g * scale, []
+        if dense and turn and turn % DENSE_STEPS == 0:
+            pairs, solve = [], inverse(w)
+        turn += 1
+        # Two-loop recursion.
+        q, alphas = -g, []
         for s, y in reversed(pairs):
             alphas.append((s @ q) / (s @ y))
             q = q - alphas[-1] * y
+        d = solve(q)
         if pairs:
             s, y = pairs[-1]
-            q = q * ((s @ y) / (y @ y))
+            d = d * ((s @ y) / (y @ solve(y)))
         for (s, y), alpha in zip(pairs, reversed(alphas)):
-            q = q + (alpha - (y @ q) / (s @ y)) * s
-        d = q * scale
+            d = d + (alpha - (y @ d) / (s @ y)) * s
         slope = float(g @ d)
         if slope >= 0:
-            d, pairs = -g * scale * scale, []
+            d, pairs = -solve(g), []
             slope = float(g @ d)
-        first = 1.0 if pairs else min(1.0, 1.0 / float(np.linalg.norm(g * scale)))
+        first = 1.0 if pairs or dense else min(1.0, 1.0 / math.sqrt(-slope))
         step = None
         while step is None and first > 1e-14:
             tried = [first / 2**j for j in range(4)]
@@ -458,7 +520,7 @@ def _fit_rows(
             break
         w = w + step * d
         before, g = g, data.slopes(w, pull) + ridge * free * w
-        s, y = step * d / scale, (g - before) * scale
+        s, y = step * d, g - before
         if s @ y > 0:
             pairs = [*pairs, (s, y)][-memory:]
     return materialize(spark.createDataFrame(pa.table({"col_id": ids, "weight": w})), "weights")

@@ -98,6 +98,29 @@ def test_a_fit_takes_few_jobs_and_equals_that_by_tables(spark, data, monkeypatch
     assert jobs < more / 2
 
 
+def test_a_weak_ridge_and_like_features_take_few_steps(spark, monkeypatch):
+    """Features that nearly repeat each other, as bins of a history do: jobs do not grow with the condition."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((400, 1)) < 0.5) ^ (rng.random((400, 25)) < 0.02)
+    y = rng.random(400) < 1 / (1 + np.exp(1.0 - 2.0 * x[:, 0]))
+    long = [(i, int(j), 1.0) for i in range(400) for j in np.flatnonzero(x[i])]
+    rows = [(i, int(y[i]), "ab"[i % 3 == 0]) for i in range(400)]
+    calls = []
+    monkeypatch.setattr(sc._Rows, "_total", lambda *args, f=sc._Rows._total: calls.append(1) or f(*args))
+    tables = (
+        spark.createDataFrame(long, "row_id bigint, col_id bigint, value double"),
+        spark.createDataFrame(rows, "row_id bigint, labels int, group string"),
+    )
+    few = {r.col_id: r.weight for r in sc.fit_score_fair(*tables, 1.0, "conditional", 1e-4).collect()}
+    assert len(calls) <= 45
+    # Without the matrix it ends at the same weights, by more steps.
+    jobs = len(calls)
+    monkeypatch.setattr(sc, "DENSE_WEIGHTS", 0)
+    many = {r.col_id: r.weight for r in sc.fit_score_fair(*tables, 1.0, "conditional", 1e-4).collect()}
+    assert len(calls) - jobs > 2 * jobs
+    assert [few[j] for j in sorted(few)] == pytest.approx([many[j] for j in sorted(many)], abs=1e-3)
+
+
 def test_without_penalty_the_fit_is_the_plain_one(data):
     long, rows, *_ = data
     sparse = mg.to_sparse(
