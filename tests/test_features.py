@@ -290,6 +290,29 @@ def test_a_table_of_several_analyses_moves_once(spark, rows, small_tasks):
     assert any("events-" in f for f in together.inputFiles())
 
 
+@pytest.mark.parametrize("name", ["measurement", "measurement_range", "measurement_range_dt", "measurement_bin"])
+def test_events_of_few_pairs_are_counted_after_the_join(spark, rows, monkeypatch, name):
+    """A cohort of a row a person: counting events before the join would not make them fewer."""
+    omop, cohort = timeline(spark)
+    cohort = cohort.where(F.col("prediction_id").isin(101, 200, 300))
+    analysis = ft.default_analyses()[name]
+    assert ft.load_of(omop, cohort, analysis).fan <= 1
+    counted = []
+    monkeypatch.setattr(ft, "_events", lambda *args, f=ft._events: counted.append(args[2]) or f(*args))
+    got = rows(ft.analyze(omop, cohort, analysis))
+    monkeypatch.setattr(ft, "PAIRS_PER_EVENT", 0)
+    assert got and got == rows(ft.analyze(omop, cohort, analysis))
+    assert counted == [False, True]
+
+
+def test_range_levels_are_numbers_until_they_are_counted(spark, rows):
+    omop, cohort = timeline(spark)
+    got = ft.analyze(omop, cohort, ft.default_analyses()["measurement_range"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "abnormal" not in plan[plan.index("Aggregate [") :]
+    assert {r[0] for r in rows(got, "concept_id")} == {f"{c}_{level}" for c in (6, 7) for level in ft.LEVELS}
+
+
 def test_large_vocabulary_is_reduced_to_the_codes_in_use(spark, rows, monkeypatch):
     omop, cohort = timeline(spark, 300)
     analysis = ft.default_analyses()["measurement"]
@@ -360,6 +383,17 @@ def test_merge_adds_duplicates_or_stays_binary(rows, tables):
     assert {r[0] for r in rows(mg.merge_features(tables, binary=True), "concept_count")} == {1}
 
 
+def test_merge_moves_numbers_and_names_features_after(spark, rows, tables):
+    merged = mg.merge_features(tables)
+    moved = [line for line in merged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert moved and not any("feature_id" in line for line in moved)
+    assert merged.columns == ["prediction_id", "person_id", "feature_id", "col_id", "concept_count"]
+    # A vocabulary in which features share a column or a feature has two keeps each (feature, column) apart.
+    vocab = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("c", 2)], "feature_id string, col_id bigint")
+    got = rows(mg.merge_features(tables, vocab=vocab), "prediction_id", "feature_id", "col_id", "concept_count")
+    assert got == [(1, "a", 0, 3), (1, "b", 0, 1), (2, "a", 0, 5), (3, "c", 1, 4), (3, "c", 2, 4)]
+
+
 def test_reused_vocabulary_drops_unknown_features(spark, rows, tables):
     vocab = spark.createDataFrame([("a", 0)], "feature_id string, col_id bigint")
     assert rows(mg.merge_features(tables, vocab=vocab), "prediction_id", "col_id") == [(1, 0), (2, 0)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.plans import jobs
 from riskloom.session import bucketed, materialize, scratch_path, shared_dir
 from riskloom.sources import tables as io
-from riskloom.sources.omop import load_omop
+from riskloom.sources.omop import READS, VIEWS, load_omop, sample_omop, sample_omop_joined
 
 
 def test_overwrite_guard(spark, tmp_path):
@@ -146,3 +146,17 @@ def test_destination_keeps_other_analyses_and_drops_old_bins(spark, rows, tmp_pa
     assert merged.count() == again.select("prediction_id", "feature_id").distinct().count()
     assert jobs.featurize_to_destination(omop, cohort, name, []).count() == again.count()
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_views_over_the_stored_join_hold_the_same_rows(spark, tmp_path):
+    lines = [(1, 5, 7, 1, 10.0, "A", "F"), (1, 6, 11, 2, 50.0, "N", "O"), (1, 6, 11, 2, 50.0, "N", "O"), (2, 29, 8, 1, None, "R", None), (9, 1, 1, 1, 1.0, "A", "O"), (None, 1, 1, 1, 1.0, "A", "F")]
+    lineitem = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber bigint, l_quantity double, l_returnflag string, l_linestatus string")
+    lineitem.withColumn("l_shipdate", F.expr("timestamp_ntz'1996-02-03 00:00:00'")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.createDataFrame([(1, 100), (2, None), (2, 7), (3, 8)], "o_orderkey bigint, o_custkey bigint")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    joined, plain = sample_omop_joined(spark, str(tmp_path)), sample_omop(spark, str(tmp_path))
+    for name in sorted(set(VIEWS) - set(READS)):
+        assert joined[name].schema == plain[name].schema
+        assert sorted(map(str, joined[name].collect())) == sorted(map(str, plain[name].collect())) != []
+        plan = joined[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Join" in plain[name]._jdf.queryExecution().optimizedPlan().toString()
