@@ -313,7 +313,8 @@ def test_range_levels_are_numbers_until_they_are_counted(spark, rows):
     # Levels are keys as numbers; texts come with the result of the last aggregate.
     assert all("_level" in line.split("]")[0] for line in counts)
     assert "abnormal" not in plan[plan.index(counts[0]) + len(counts[0]) :]
-    assert {r[0] for r in rows(got, "concept_id")} == {f"{c}_{level}" for c in (6, 7) for level in ft.LEVELS}
+    # The one value of concept 6 below the range is on the day of the index, which is in no bin.
+    assert {r[0] for r in rows(got, "concept_id")} == {f"{c}_{level}" for c in (6, 7) for level in ft.LEVELS} - {"6_abnormal_low"}
 
 
 def test_large_vocabulary_is_reduced_to_the_codes_in_use(spark, rows, monkeypatch):
